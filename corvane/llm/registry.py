@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .secrets import op1_secret_scans
+from .substrings import op3_substring_dedup
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op3_substring_dedup": op3_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
