@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .html import op2_html_extraction
+from .near_duplicates import OP6_SQL, op6_minhash_near_dedup
 from .secrets import op1_secret_scans
 from .substrings import op3_substring_dedup
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_html_extraction": op2_html_extraction,
     "op3_substring_dedup": op3_substring_dedup,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_minhash_near_dedup": OP6_SQL,
+}
