@@ -6,11 +6,13 @@ from .html import op2_html_extraction
 from .near_duplicates import OP6_SQL, op6_minhash_near_dedup
 from .secrets import op1_secret_scans
 from .substrings import op3_substring_dedup
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_html_extraction": op2_html_extraction,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_toxicity": op4_toxicity,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
 }
 
