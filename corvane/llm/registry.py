@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .html import op2_html_extraction
+from .language import op8_language_id
 from .near_duplicates import OP6_SQL, op6_minhash_near_dedup
 from .secrets import op1_secret_scans
 from .substrings import op3_substring_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
