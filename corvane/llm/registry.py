@@ -5,6 +5,7 @@ from __future__ import annotations
 from .html import op2_html_extraction
 from .language import op8_language_id
 from .near_duplicates import OP6_SQL, op6_minhash_near_dedup
+from .quality import op9_quality_rules
 from .secrets import op1_secret_scans
 from .substrings import op3_substring_dedup
 from .toxicity import op4_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_language_id": op8_language_id,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
