@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op7_decontamination
 from .html import op2_html_extraction
 from .language import op8_language_id
 from .near_duplicates import OP6_SQL, op6_minhash_near_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
 }
