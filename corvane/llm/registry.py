@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op7_decontamination
 from .html import op2_html_extraction
 from .language import op8_language_id
+from .mixing import OP10_SQL, op10_mixing
 from .near_duplicates import OP6_SQL, op6_minhash_near_dedup
 from .quality import op9_quality_rules
 from .secrets import op1_secret_scans
@@ -20,8 +21,10 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_minhash_near_dedup": OP6_SQL,
+    "op10_mixing": OP10_SQL,
 }
