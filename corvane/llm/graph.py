@@ -46,3 +46,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def merge_components(components: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links (a, b) between nodes, known ones or new."""
+    of = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = connected_components(ends).withColumnRenamed("component", "to").withColumnRenamed("node", "component")
+    old = components.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = joined.join(components.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
+    return written(old.unionByName(new))

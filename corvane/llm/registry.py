@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op7_decontamination
 from .html import op2_html_extraction
 from .language import op8_language_id
+from .lines import op5_line_dedup
 from .mixing import OP10_SQL, op10_mixing
 from .near_duplicates import OP6_SQL, op6_minhash_near_dedup
 from .quality import op9_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_line_dedup": op5_line_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
