@@ -41,3 +41,16 @@ def written(df: DataFrame) -> DataFrame:
 def crc_mod(column, modulus: int):
     """crc32 of the id written as text, modulo ``modulus``."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
+
+
+def sampled_labels(docs: DataFrame, labels: DataFrame, label: str, sample: int, text: str = "text") -> DataFrame:
+    """(doc_id, label) of at most ``sample`` documents of each of the labels 0 and 1.
+
+    The first by a hash of the id are taken, so the choice does not depend on the run.  Only ids
+    are shuffled; the result has at most 2 * ``sample`` rows, which bounds what a join with the
+    texts has to broadcast.
+    """
+    one = labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias(label)).withColumn("h", F.xxhash64("doc_id", F.lit(11)))
+    known = one.join(docs.filter(F.col(text).isNotNull()).select("doc_id").distinct(), "doc_id", "left_semi")
+    picked = [known.filter(F.col(label) == y).orderBy("h", "doc_id").limit(sample).select("doc_id", label) for y in (0, 1)]
+    return written(picked[0].unionByName(picked[1]))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .io import crc_mod, table, written
+from .io import crc_mod, sampled_labels, table, written
 
 PREFIXES = (3, 4, 5, 6)
 _DELIMITER = np.zeros(256, bool)
@@ -174,8 +174,13 @@ def fit_toxicity(labelled: DataFrame, id: str = "doc_id", text: str = "text", la
     hashes = np.sort(chosen["feature"].to_numpy(np.int64).view(np.uint64))
     if not len(hashes):
         return none
-    found = rows.mapInArrow(_instances(hashes), "label int, sentences long, sentence array<long>, feature array<int>").collect()
-    weights, bias = fit_noisy_or([(r.label, r.sentences, r.sentence, r.feature) for r in found], len(hashes))
+    found = rows.mapInArrow(_instances(hashes), "label int, sentences long, sentence array<long>, feature array<int>").toArrow().combine_chunks()
+    label, count = found["label"].to_numpy(), found["sentences"].to_numpy()
+    lists = found["sentence"].combine_chunks(), found["feature"].combine_chunks()
+    sentence, feature = (x.flatten().to_numpy() for x in lists)
+    at = lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py()
+    docs = [(label[i], count[i], sentence[at[i] : at[i + 1]], feature[at[i] : at[i + 1]]) for i in range(len(label))]
+    weights, bias = fit_noisy_or(docs, len(hashes))
     return ToxicityModel(hashes, weights, bias)
 
 
@@ -226,10 +231,11 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", out:
     return df.mapInArrow(score, schema)
 
 
-def labelled_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the toxic label, without the held-out fifth."""
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic IS NOT NULL")
-    return docs.select("doc_id", "text").filter(crc_mod(F.col("doc_id"), 5) != 0).join(labels, "doc_id")
+def labelled_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, sample: int = 3000) -> DataFrame:
+    """A bounded sample of documents with the toxic label, without the held-out fifth."""
+    usable = docs.select("doc_id", "text").filter(crc_mod(F.col("doc_id"), 5) != 0)
+    labels = table(spark, sf_dir, "labels").filter(crc_mod(F.col("doc_id"), 5) != 0)
+    return usable.join(F.broadcast(sampled_labels(usable, labels, "toxic", sample)), "doc_id")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
