@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .io import table
+from .io import sampled_labels, table
 
 # The base measures.
 SYMBOLS = "#*$%&|<>"
@@ -259,7 +259,7 @@ def rate_quality(df: DataFrame, field: LineField, text: str = "text", out: str =
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures, base rule and the field's verdict for all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    field = fit_lines(docs.join(labels, "doc_id"))
+    labels = sampled_labels(docs, table(spark, sf_dir, "labels"), "quality", 500)
+    field = fit_lines(docs.join(F.broadcast(labels), "doc_id"))
     rated = rate_quality(docs, field)
     return rated.select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in BASE), F.col("quality.base_failed").alias("base_failed"), F.col("quality.kept").alias("kept"), F.col("quality.content_words").alias("content_words"))
