@@ -233,5 +233,5 @@ def config_grid(axes: list[DataFrame]) -> DataFrame:
 
 def model_cell_matrix(df: DataFrame, models: list[str]) -> DataFrame:
     """Config by model: judge and time to first token as text, a dash where missing."""
-    cell = F.concat(F.coalesce(F.format_number("judge", 3), F.lit("–")), F.lit(" / "), F.coalesce(F.format_string("%d", F.col("ttft_p50").cast("long")), F.lit("–")))
+    cell = F.concat(F.coalesce(F.format_number("judge", 3), F.lit("–")), F.lit(" / "), F.coalesce(F.col("ttft_p50").cast("long").cast("string"), F.lit("–")))
     return df.withColumn("cell", cell).groupBy("config").pivot("model", models).agg(F.first("cell")).fillna("–", models)

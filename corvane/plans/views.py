@@ -60,6 +60,13 @@ def messages(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "conv_id", F.col("turn").alias("created_at"), "role", F.col("text").alias("content"))
 
 
+def lines(spark, sf_dir) -> DataFrame:
+    """One row for each order and line number: the table repeats some."""
+    keys = ["l_orderkey", "l_linenumber"]
+    values = ["l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag"]
+    return table(spark, sf_dir, "lineitem").groupBy(*keys).agg(*(F.min(c).alias(c) for c in values))
+
+
 # The twins' views. DuckDB's regular expressions have no look-around.
 _STOP = "['the','a','an','and','or','of','to','in','on','for','with','is','are','was','were','be','by','at','as','it','der','die','das','den','dem','des','ein','eine','einer','eines','und','oder','von','zu','im','auf','für','mit','ist','sind']"
 
@@ -74,6 +81,7 @@ VIEWS = {
     "queries": "SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') AS query FROM benchmark",
     "vectors": "SELECT vec_id, label::BIGINT AS doc_id, embedding FROM embeddings",
     "query_vectors": "SELECT vec_id AS query_id, embedding AS query_vector, doc_id AS query_label FROM vectors WHERE vec_id % 50 = 0",
+    "lines": "SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity, min(l_discount) AS l_discount, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2",
     "messages": "SELECT conv_id * 1000 + turn AS message_id, conv_id, turn AS created_at, role, text AS content FROM conversations",
     "cosines": "SELECT q.query_id, q.query_label, v.vec_id, v.doc_id, list_dot_product(q.query_vector::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.query_vector::DOUBLE[], q.query_vector::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))) AS cosine FROM query_vectors q CROSS JOIN vectors v",
     "terms": f"SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({tokens_sql('c.text')}) AS term FROM chunks c) GROUP BY 1, 2",
