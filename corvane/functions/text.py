@@ -18,11 +18,11 @@ CORPUS_WORDS = (
     "alle aller allen habe hab ich mir mich mein meine meiner meinen gibt es zum zur thema über ueber behandeln behandelt decken deckt ab gehen geht handeln handelt steht stehen enthalten enthält"
 ).split()
 SUMMARY_RULE = (
-    r"(?i)(?<![A-Za-z0-9_])(?:summari[sz]e|summary|tl;?dr|overview|recap|in (?:a |one )?(?:few|short) (?:words|sentences))(?![A-Za-z0-9_])"
+    r"(?iu)(?<![A-Za-z0-9_])(?:summari[sz]e|summary|tl;?dr|overview|recap|in (?:a |one )?(?:few|short) (?:words|sentences))(?![A-Za-z0-9_])"
     r"|zusammenfass|kurzfassung|überblick|übersicht|(?<![A-Za-z0-9_])fass(?:e|t|en)?(?![A-Za-z0-9_])[^.?!\n]{0,40}(?<![A-Za-z0-9_])zusammen(?![A-Za-z0-9_])"
 )
 BROAD_RULE = (
-    r"(?i)(?<![A-Za-z0-9_])(?:list (?:all|every|each|the)|enumerate|what are (?:all|the)|which (?:ones|of|are)|every|each of|compare|contrast|differences? between|similarit(?:y|ies)|versus|vs|alle|jede[rs]?|welche|nenne|zähl(?:e|en)?(?![A-Za-z0-9_])[^.?!\n]{0,40}(?<![A-Za-z0-9_])auf)(?![A-Za-z0-9_])"
+    r"(?iu)(?<![A-Za-z0-9_])(?:list (?:all|every|each|the)|enumerate|what are (?:all|the)|which (?:ones|of|are)|every|each of|compare|contrast|differences? between|similarit(?:y|ies)|versus|vs|alle|jede[rs]?|welche|nenne|zähl(?:e|en)?(?![A-Za-z0-9_])[^.?!\n]{0,40}(?<![A-Za-z0-9_])auf)(?![A-Za-z0-9_])"
     r"|(?<![A-Za-z0-9_])vergleich|(?<![A-Za-z0-9_])unterschied|sämtliche|gegenüber"
 )
 _NOUN = "(?:documents?|docs?|files?|sources?|pdfs?|notes?|dokumente?n?|dateien?|quellen?|unterlagen|notizen)"
@@ -149,7 +149,7 @@ def condense(c, most: int) -> Column:
 
 def clean_rewrite(c) -> Column:
     """First line with text, without quotes and a leading label."""
-    first = F.element_at(F.filter(F.transform(F.split(_col(c), r"\r?\n"), trim_all), lambda s: F.length(s) > 0), 1)
+    first = F.get(F.filter(F.transform(F.split(_col(c), r"\r?\n"), trim_all), lambda s: F.length(s) > 0), F.lit(0))
     bare = F.regexp_replace(F.regexp_replace(first, EDGE_QUOTES, ""), REWRITE_LABEL, "")
     return F.coalesce(F.regexp_replace(bare, EDGE_QUOTES, ""), F.lit(""))
 

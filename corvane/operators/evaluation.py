@@ -127,8 +127,14 @@ def _gram_rows(df: DataFrame, column: str, ids: list[str]) -> DataFrame:
     bare = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"(?U)\s+", "")
     words = F.filter(F.split(F.coalesce(F.col(column), F.lit("")), r"(?U)\s+"), lambda w: F.length(w) > 0)
     places = lambda size, n: F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-    lists = [F.transform(places(F.length(bare), n), lambda i, n=n: F.struct(F.lit(f"c{n}").alias("kind"), bare.substr(i, F.lit(n)).alias("gram"))) for n in range(1, CHAR_N + 1)]
-    lists += [F.transform(places(F.size(words), n), lambda i, n=n: F.struct(F.lit(f"w{n}").alias("kind"), F.array_join(F.slice(words, i, F.lit(n)), " ").alias("gram"))) for n in range(1, WORD_N + 1)]
+
+    def chars(n):
+        return F.transform(places(F.length(bare), n), lambda i: F.struct(F.lit(f"c{n}").alias("kind"), bare.substr(i, F.lit(n)).alias("gram")))
+
+    def runs(n):
+        return F.transform(places(F.size(words), n), lambda i: F.struct(F.lit(f"w{n}").alias("kind"), F.array_join(F.slice(words, i, F.lit(n)), " ").alias("gram")))
+
+    lists = [*map(chars, range(1, CHAR_N + 1)), *map(runs, range(1, WORD_N + 1))]
     return df.select(*ids, F.inline(F.concat(*lists)))
 
 
