@@ -88,21 +88,55 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, id: str = "vec_id"
     return top_per_group(out, ["query_id"], [F.desc(F.round("cosine", 9)), id], k).select("query_id", "rank", id, "cosine")
 
 
-def knn_per_doc_cap(scored: DataFrame, k: int, cap: int, id: str = "vec_id") -> DataFrame:
-    """Top-k of scored pairs (query_id, doc_id, id, cosine) with at most ``cap`` of a document."""
+def _scored(queries: DataFrame, vectors: DataFrame, id: str, vector: str, keep: tuple[str, ...], cut) -> DataFrame:
+    """(query_id, id, keep..., cosine) of all queries with all vectors, in blocks of queries.
+
+    ``cut`` takes the scored rows of one query and one batch of vectors and returns those to keep,
+    before they leave the task.
+    """
+    first = queries.select(F.size("query_vector")).filter("query_vector IS NOT NULL").head()
+    kinds = {f.name: f for f in vectors.schema.fields}
+    schema = StructType([StructField("query_id", LongType()), *(kinds[c] for c in (id, *keep)), StructField("cosine", DoubleType())])
+    out = None
+    for ids, unit in _blocks(queries.filter("query_vector IS NOT NULL"), first[0] if first else 1):
+
+        def score(batches, ids=ids, unit=unit):
+            for b in batches:
+                b = b[b[vector].notna()]
+                b = b[b[vector].map(len) == unit.shape[1]]
+                if not len(b):
+                    continue
+                m = np.array(b[vector].tolist(), float)
+                length = np.linalg.norm(m, axis=1)
+                rows = b.loc[length > 0, [id, *keep]].reset_index(drop=True)
+                s = (m[length > 0] / length[length > 0, None]) @ unit.T
+                for j in np.flatnonzero(np.abs(unit).sum(axis=1) > 0):
+                    found = rows.assign(query_id=ids[j], cosine=s[:, j])
+                    yield cut(found)[["query_id", id, *keep, "cosine"]]
+
+        part = vectors.select(id, *keep, vector).mapInPandas(score, schema)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else vectors.sparkSession.createDataFrame([], schema)
+
+
+def all_scores(queries: DataFrame, vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Cosine of every stated query with every vector."""
+    return _scored(queries, vectors, id, vector, keep, lambda rows: rows)
+
+
+def knn_per_doc_cap(queries: DataFrame, vectors: DataFrame, k: int, cap: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Top-k of every query with at most ``cap`` vectors of a document."""
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(_r=rows["cosine"].round(9)).sort_values(["_r", id], ascending=[False, True])
+        return rows[rows.groupby("doc_id").cumcount() < cap]
+
+    scored = _scored(queries, vectors, id, vector, ("doc_id",), cut)
     order = [F.desc(F.round("cosine", 9)), F.asc(id)]
     capped = top_per_group(scored, ["query_id", "doc_id"], order, cap, "_in_doc").drop("_in_doc")
     return top_per_group(capped, ["query_id"], order, k)
 
 
-def all_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Cosine of every query with every vector; the query table must be the small stated set."""
-    a = queries.withColumn("_q", norm("query_vector"))
-    b = vectors.filter("embedding IS NOT NULL").withColumn("_v", norm("embedding"))
-    pairs = b.join(a).filter("_q > 0 AND _v > 0")
-    return pairs.withColumn("cosine", dot("query_vector", "embedding") / (F.col("_q") * F.col("_v"))).drop("_q", "_v", "embedding", "query_vector")
-
-
 def knn_lsh(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 12, bits: int = 6, seed: int = 0, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Approximate top-k: random hyperplane keys, exact cosine within shared keys."""
     row = vectors.filter(F.col(vector).isNotNull()).select(vector).head()

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import maintenance as B
+from ..operators import models as U
 from ..operators import relational as K
 from ..sources import files as A
-from .views import NOW, chunks, docs, query, table
+from .views import NOW, chunks, docs, queries, query, table
 
 
 @query("scan_tables", "SELECT doc_id, title, workspace_id, byte_size, added_at, status FROM docs", "docs")
@@ -392,4 +393,20 @@ def batch_assign(spark, d):
     return K.batch_assign(docs(spark, d), "source", ["doc_id"]).select("doc_id", "batch")
 
 
-_ = Window
+@query("with_embedder", "SELECT chunk_id, length(text)::DOUBLE AS n_chars, len(string_split(text, ' '))::DOUBLE AS n_parts, 'stub' AS embedder_identity FROM chunks", "chunks")
+def with_embedder(spark, d):
+    @F.pandas_udf("array<double>")
+    def stub(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [float(len(t)), float(t.count(" ") + 1)])
+
+    out = U.with_embedder(chunks(spark, d), stub, identity="stub")
+    return out.select("chunk_id", F.get("embedding", F.lit(0)).alias("n_chars"), F.get("embedding", F.lit(1)).alias("n_parts"), "embedder_identity")
+
+
+@query("with_generator", "SELECT query_id, upper(query) AS raw FROM queries WHERE NOT contains(query, 'ß')", "queries")
+def with_generator(spark, d):
+    @F.pandas_udf("string")
+    def stub(prompts: pd.Series) -> pd.Series:
+        return prompts.str.upper()
+
+    return U.with_generator(queries(spark, d).filter("NOT contains(query, 'ß')"), stub, "query").select("query_id", "raw")

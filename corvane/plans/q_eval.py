@@ -19,7 +19,8 @@ n AS (SELECT c.config, g.query_id, count(r.id) FILTER (r.rank <= 5) / count(*) A
 
 
 def _ranked(spark, d):
-    scored = V.all_scores(query_vectors(spark, d), vectors(spark, d)).filter("vec_id <> query_id")
+    q = query_vectors(spark, d)
+    scored = V.all_scores(q, vectors(spark, d)).filter("vec_id <> query_id").join(q.select("query_id", "query_label"), "query_id")
     full = V.top_per_group(scored, ["query_id"], [F.desc(F.round("cosine", 9)), "vec_id"], 15).select(F.lit("full").alias("config"), "query_id", "query_label", "rank", F.col("vec_id").alias("id"), "doc_id")
     late = full.filter("rank > 5").withColumn("config", F.lit("late")).withColumn("rank", F.col("rank") - 5)
     return full.unionByName(late)

@@ -135,7 +135,7 @@ def knn_exact(spark, d):
 
 @query("knn_per_doc_cap", "SELECT query_id, rank, vec_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(cosine, 9) DESC, vec_id) AS n FROM cosines) WHERE n <= 2) WHERE rank <= 10", "cosines")
 def knn_per_doc_cap(spark, d):
-    return V.knn_per_doc_cap(V.all_scores(query_vectors(spark, d), vectors(spark, d)), 10, 2).select("query_id", "rank", "vec_id", "doc_id")
+    return V.knn_per_doc_cap(query_vectors(spark, d), vectors(spark, d), 10, 2).select("query_id", "rank", "vec_id", "doc_id")
 
 
 @query("knn_lsh")

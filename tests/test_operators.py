@@ -182,3 +182,16 @@ def test_headline_and_sentinels(spark):
     assert "⟦Lens⟧" in got[1] and "⟦light⟧" in got[1] and got[2] == "nothing to see"
     parts = E.split_sentinels(spark.createDataFrame([(1, "⟦a⟧ b ⟦⟧c")], "id long, t string"), "id", "t").orderBy("seq").collect()
     assert [(r.part, r.highlighted) for r in parts] == [("a", True), (" b ", False), ("c", False)]
+
+
+def test_models_plug_in(spark):
+    import pandas as pd
+
+    from corvane.operators import models as U
+
+    @F.pandas_udf("double")
+    def score(q: pd.Series, t: pd.Series) -> pd.Series:
+        return (q.str.len() - t.str.len()).astype(float)
+
+    pairs = spark.createDataFrame([(1, 2, "abc", "a")], "query_id long, chunk_id long, query string, text string")
+    assert U.with_pair_scorer(pairs, score).first().pair_score == 2.0
