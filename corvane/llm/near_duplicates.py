@@ -10,11 +10,13 @@
    With 5 registers a band and 32 bands a pair at similarity 0.8 is missed with odds of 3e-6.
    Random hubs stand for a key's members, so candidates stay linear in the members.
 4. *Estimate.*  The share of equal registers, corrected for the expected accidental collisions,
-   picks each class's best hub; pairs whose estimate is five standard errors too low are dropped.
-5. *Verify.*  Links are confirmed on the full shingle sets.  Components of confirmed links are
-   contracted; all pairs of a key's members that are still in different components are
-   estimated in blocks, and the possible ones are verified too.  So a component is whole even
-   where its members are linked through a single pair.
+   picks each class's best hub; pairs whose estimate is four standard errors too low are dropped.
+5. *Verify.*  Links are confirmed on the full shingle sets: first each class's best hub, then
+   the best pairs between the components so found, then for each class the best of all members of
+   its keys in every other component, and last all possible pairs that are still between
+   components.  For the last, components that have a possible pair make a cluster, and inside
+   each cluster an index from shingle to class gives the exact intersections.  So a component is
+   whole even where a single pair links its members, and pairs inside it are never formed.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked
 with nothing; a text shorter than a shingle is its own only shingle; a null id counts as
@@ -26,12 +28,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .graph import connected_components
+from .graph import connected_components, merge_components
 from .io import table, written
+from .pairing import cross_component_pairs
 
 NULL_ID = -(2**63)
 REGISTERS, PER_BAND, MANTISSA = 160, 5, 10
@@ -39,7 +42,7 @@ BANDS = REGISTERS // PER_BAND
 EMPTY = np.uint16(0xFFFF)
 PROBES = 64
 HUBS = 3
-BLOCK = 2048
+CLUSTER_BLOCK = 1024
 _BUCKET = np.arange(REGISTERS, dtype=np.uint64)
 _PROBE = np.stack([(K.mix(_BUCKET, 1000 + t) % np.uint64(REGISTERS)).astype(np.int64) for t in range(PROBES)])
 
@@ -141,9 +144,9 @@ def estimate(equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
 
 
 def _lowest(percent: int) -> float:
-    """Five standard errors below the threshold."""
+    """Four standard errors below the threshold."""
     j = percent / 100
-    return j - 5 * (j * (1 - j) / REGISTERS) ** 0.5
+    return j - 4 * (j * (1 - j) / REGISTERS) ** 0.5
 
 
 def _regs(column) -> np.ndarray:
@@ -159,31 +162,22 @@ def _estimated(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(estimate(equal, n_a, n_b))], names=["a", "b", "j"])
 
 
-def _across(percent: int):
-    """Possible pairs between the components of each key's block."""
+def _near(percent: int):
+    """Which members may be linked to row ``f``, by sizes and estimates, and the estimates."""
 
-    def across(rows: pa.Table) -> pa.Table:
-        key, rep, comp, n = (rows[c].to_numpy() for c in ("key", "rep", "comp", "n"))
-        block, odd, own = (rows[c].to_numpy() for c in ("block", "odd", "own"))
-        regs = _regs(rows["registers"])
-        order = np.lexsort((rep, block, key))
-        edges = np.flatnonzero(np.concatenate(([True], (np.diff(key[order]) != 0) | (np.diff(block[order]) != 0), [True])))
-        a, b = [], []
-        for x, y in zip(edges[:-1], edges[1:], strict=True):
-            at = order[x:y]
-            members = at[own[at]]
-            for f in at[odd[at]]:
-                m = members[(comp[members] != comp[f]) & (~odd[members] | (rep[members] < rep[f]))]
-                low, high = np.minimum(n[m], n[f]), np.maximum(n[m], n[f])
-                m = m[100 * low >= percent * high]
-                if len(m):
-                    m = m[estimate((regs[m] == regs[f]).sum(axis=1), n[m], np.full(len(m), n[f])) >= _lowest(percent)]
-                    a += [int(rep[f])] * len(m)
-                    b += rep[m].tolist()
-        pairs = {(min(p), max(p)) for p in zip(a, b, strict=True)}
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+    def near(columns, f, members):
+        n = columns["n"]
+        low, high = np.minimum(n[members], n[f]), np.maximum(n[members], n[f])
+        members = members[100 * low >= percent * high]
+        if not len(members):
+            return members, np.zeros(0)
+        own = np.frombuffer(columns["registers"][f], np.uint16)
+        equal = (np.frombuffer(b"".join([columns["registers"][m] for m in members]), np.uint16).reshape(-1, REGISTERS) == own).sum(axis=1)
+        j = estimate(equal, n[members], np.full(len(members), n[f]))
+        fine = j >= _lowest(percent)
+        return members[fine], j[fine]
 
-    return across
+    return near
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -193,6 +187,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(100 * both >= percent * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
+def _linked(percent: int):
+    """Links between components inside each cluster's block, one for each class and component.
+
+    An index from shingle to members gives a class's intersections with all members at once.
+    """
+
+    def linked(rows: pa.Table) -> pa.Table:
+        cluster, block, node, comp, n = (rows[c].to_numpy() for c in ("cluster", "block", "node", "comp", "n"))
+        odd, own = rows["odd"].to_numpy(), rows["own"].to_numpy()
+        lists = rows["shingles"].combine_chunks()
+        values, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        order = np.lexsort((node, block, cluster))
+        edges = np.flatnonzero(np.concatenate(([True], (np.diff(cluster[order]) != 0) | (np.diff(block[order]) != 0), [True])))
+        a, b = [], []
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            at = order[x:y]
+            members = at[own[at]]
+            if not len(members):
+                continue
+            keys = np.concatenate([values[cuts[m] : cuts[m + 1]] for m in members])
+            owner = np.repeat(np.arange(len(members)), n[members])
+            by = np.argsort(keys, kind="stable")
+            keys, owner = keys[by], owner[by]
+            for f in at[odd[at]]:
+                mine = values[cuts[f] : cuts[f + 1]]
+                low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+                size = high - low
+                places = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+                both = np.bincount(owner[places], minlength=len(members))
+                hit = np.flatnonzero((100 * both >= percent * (n[f] + n[members] - both)) & (comp[members] != comp[f]))
+                if len(hit):
+                    _, first = np.unique(comp[members[hit]], return_index=True)
+                    a += [node[f]] * len(first)
+                    b += node[members[hit[first]]].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return linked
+
+
+def _links_across(clusters: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between the components of each cluster (node, component), on full sets.
+
+    Classes outside a cluster's largest component are compared with all its classes.  Large
+    clusters are cut into blocks; only the former are copied to every block.
+    """
+    nodes = clusters.withColumnRenamed("component", "cluster").join(found.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sizes = nodes.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("large"), F.sum("count").alias("members"), F.count("*").alias("comps")).filter("comps > 1")
+    blocks = F.ceil(F.col("members") / CLUSTER_BLOCK).cast("int")
+    split = (
+        nodes.join(sizes, "cluster")
+        .withColumn("odd", F.col("comp") != F.col("large"))
+        .withColumn("mine", F.pmod(F.hash("node"), blocks))
+        .withColumn("block", F.explode(F.when(F.col("odd"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("mine"))))
+        .withColumn("own", F.col("block") == F.col("mine"))
+    )
+    left = written(split.select("cluster", "node", "comp", "block", "odd", "own"))
+    rows = left.join(sets.select(F.col("id").alias("node"), F.size("shingles").cast("long").alias("n"), "shingles"), "node")
+    groups = max(512, left.count() // 1024)
+    return rows.groupBy(F.pmod(F.xxhash64("cluster", "block"), F.lit(groups))).applyInArrow(_linked(percent), "a long, b long")
+
+
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``df``: id, ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -217,30 +272,24 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     pairs = to_hub.filter(close).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).distinct()
     regs = reps.join(active.select("rep").distinct(), "rep", "left_semi")
     side = lambda s: regs.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("registers").alias(f"regs_{s}"))
-    judged = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated, "a long, b long, j double")
-    best = judged.filter(F.col("j") >= _lowest(percent)).groupBy("a").agg(F.max_by("b", F.struct("j", "b")).alias("b"))
+    judged = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated, "a long, b long, j double").filter(F.col("j") >= _lowest(percent)))
 
     wanted = active.select(F.col("rep").alias("id")).distinct()
     sets = written(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<long>"))
-    links = written(_verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent))
-    found = connected_components(links)
-
-    with_comp = active.join(found.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    largest = with_comp.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("large"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    mine = F.pmod(F.hash("rep"), blocks)
-    split = (
-        with_comp.join(largest, "key")
-        .withColumn("odd", F.col("comp") != F.col("large"))
-        .withColumn("mine", mine)
-        .withColumn("block", F.explode(F.when(F.col("odd"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("mine"))))
-        .withColumn("own", F.col("block") == F.col("mine"))
-    )
-    left = written(split.join(reps.select("rep", "registers"), "rep").select("key", "rep", "comp", "n", "block", "odd", "own", "registers"))
-    groups = max(512, left.count() // 8192)
-    more = left.groupBy(F.pmod(F.xxhash64("key", "block"), F.lit(groups))).applyInArrow(_across(percent), "a long, b long").distinct()
-    more_links = written(_verified(more, sets, percent))
-    found = connected_components(links.unionByName(more_links))
+    ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    best = judged.groupBy("a").agg(F.max_by("b", F.struct("j", "b")).alias("b"))
+    found = connected_components(_verified(ordered(best), sets, percent))
+
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    crossing = judged.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"of_a": F.coalesce("of_a", "a"), "of_b": F.coalesce("of_b", "b")}).filter("of_a <> of_b")
+    per_pair = Window.partitionBy(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).orderBy(F.desc("j"), "a", "b")
+    some = crossing.withColumn("turn", F.row_number().over(per_pair)).filter("turn <= 3")
+    found = merge_components(found, _verified(ordered(some), sets, percent))
+    across = cross_component_pairs(active, found, "rep", ("n", "registers"), _near(percent), reps.select("rep", "registers"), most=3)
+    across = written(across)
+    clusters = merge_components(found, across)
+    found = merge_components(found, _verified(across, sets, percent))
+    found = merge_components(found, written(_links_across(clusters, found, sets, percent)))
 
     labelled = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     joined = sketches.join(labelled, ["set_a", "set_b"], "left")
