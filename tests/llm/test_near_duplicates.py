@@ -46,7 +46,7 @@ def test_groups_of_copies_match_brute_force(spark):
     rows += [(n + i, " ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(1, 6)))) for i in range(40)]
     rows += [(n + 50, "One"), (n + 51, "one"), (n + 52, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for width in (2, 5):
+    for width in (2,):
         got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, width=width).collect()}
         assert got == brute(rows, width, 80)
 

@@ -3,7 +3,7 @@ from corvane.llm.secrets import base_spans, find_secrets, joined, linked_spans,
 
 def test_base_patterns_and_limits():
     t = 'x Password : "abcdefghijkl" AKIAABCDEFGHIJKLMN AKIASHORT 0123456789abcdef 0123456789abcde token=short'
-    assert joined(base_spans(t)) == "assign:2:28,access:30:48,hex:59:75"
+    assert joined(base_spans(t)) == "assign:2:26,access:28:46,hex:57:73"
 
 
 def test_matches_do_not_overlap_and_failing_ones_are_dropped():
@@ -21,7 +21,7 @@ def test_weak_parts_need_complements():
     alone = f"note {weak} end"
     assert linked_spans(alone, base_spans(alone), 200) == []
     both = f"user = alice\nkey {weak}"
-    assert [k for *_, k in linked_spans(both, base_spans(both), 200)] == ["identity", "opaque"] or {k for *_, k in linked_spans(both, base_spans(both), 200)} == {"identity", "opaque"}
+    assert {k for *_, k in linked_spans(both, base_spans(both), 200)} == {"identity", "opaque"}
     apart = f"user = alice\n\nkey {weak}"
     assert linked_spans(apart, base_spans(apart), 200) == []
     far = "user = alice " + "x " * 300 + weak
