@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +57,42 @@ def sampled_labels(docs: DataFrame, labels: DataFrame, label: str, sample: int,
     known = one.join(docs.filter(F.col(text).isNotNull()).select("doc_id").distinct(), "doc_id", "left_semi")
     picked = [known.filter(F.col(label) == y).orderBy("h", "doc_id").limit(sample).select("doc_id", label) for y in (0, 1)]
     return written(picked[0].unionByName(picked[1]))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more.
+
+    Spark's cleaner acts when the driver's garbage is collected, which a job of many small
+    steps can put off until the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def membership(df: DataFrame, column, bits: int) -> np.ndarray:
+    """Bitmap of the values (low bits of a long column) that occur: a filter of fixed size.
+
+    It is built by Spark and has bits / 8 bytes whatever the input, so tasks may hold it.  It
+    only ever thins out what an exact join then decides.
+    """
+    x = df.select(column.bitwiseAND(bits - 1).alias("x"))
+    words = x.groupBy(F.shiftright("x", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("v")).collect()
+    member = np.zeros(max(bits // 64, 1), np.uint64)
+    for r in words:
+        member[r.w] = r.v & 0xFFFFFFFFFFFFFFFF
+    return member
+
+
+def in_membership(member: np.ndarray, values: np.ndarray) -> np.ndarray:
+    low = values.view(np.uint64) & np.uint64(64 * len(member) - 1)
+    return ((member[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def maybe_member(member: np.ndarray):
+    """The same as a column function of a long column without nulls."""
+
+    @F.pandas_udf("boolean")
+    def maybe(values: pd.Series) -> pd.Series:
+        return pd.Series(in_membership(member, values.to_numpy(np.int64)))
+
+    return maybe
