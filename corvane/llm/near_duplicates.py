@@ -11,12 +11,11 @@
    Random hubs stand for a key's members, so candidates stay linear in the members.
 4. *Estimate.*  The share of equal registers, corrected for the expected accidental collisions,
    picks each class's best hub; pairs whose estimate is four standard errors too low are dropped.
-5. *Verify.*  Links are confirmed on the full shingle sets: first each class's best hub, then
-   the best pairs between the components so found, then for each class the best of all members of
-   its keys in every other component, and last all possible pairs that are still between
-   components.  For the last, components that have a possible pair make a cluster, and inside
-   each cluster an index from shingle to class gives the exact intersections.  So a component is
-   whole even where a single pair links its members, and pairs inside it are never formed.
+5. *Verify.*  Links are confirmed on the full shingle sets: first each class's best hubs.
+   Components so found that still have a possible pair between them (a shared key and a high
+   enough estimate) make a cluster, and inside each cluster an index from shingle to class gives
+   the exact intersections of all classes outside its largest component with all others.  So a
+   component is whole even where a single pair links its members, and pairs inside it are never formed.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked
 with nothing; a text shorter than a shingle is its own only shingle; a null id counts as
@@ -28,12 +27,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import connected_components, merge_components
-from .io import table, written
+from .io import release, table, written
 from .pairing import cross_component_pairs
 
 NULL_ID = -(2**63)
@@ -41,7 +40,7 @@ REGISTERS, PER_BAND, MANTISSA = 160, 5, 10
 BANDS = REGISTERS // PER_BAND
 EMPTY = np.uint16(0xFFFF)
 PROBES = 64
-HUBS = 3
+HUBS, FIRST = 3, 3
 CLUSTER_BLOCK = 1024
 _BUCKET = np.arange(REGISTERS, dtype=np.uint64)
 _PROBE = np.stack([(K.mix(_BUCKET, 1000 + t) % np.uint64(REGISTERS)).astype(np.int64) for t in range(PROBES)])
@@ -277,19 +276,15 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     wanted = active.select(F.col("rep").alias("id")).distinct()
     sets = written(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<long>"))
     ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    best = judged.groupBy("a").agg(F.max_by("b", F.struct("j", "b")).alias("b"))
-    found = connected_components(_verified(ordered(best), sets, percent))
-
-    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    crossing = judged.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"of_a": F.coalesce("of_a", "a"), "of_b": F.coalesce("of_b", "b")}).filter("of_a <> of_b")
-    per_pair = Window.partitionBy(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).orderBy(F.desc("j"), "a", "b")
-    some = crossing.withColumn("turn", F.row_number().over(per_pair)).filter("turn <= 3")
-    found = merge_components(found, _verified(ordered(some), sets, percent))
-    across = cross_component_pairs(active, found, "rep", ("n", "registers"), _near(percent), reps.select("rep", "registers"), most=3)
-    across = written(across)
+    # a class has at most HUBS hubs a band, so its list is bounded
+    best = judged.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("j")).alias("j"), "b"))), 1, FIRST).alias("best"))
+    found = connected_components(_verified(ordered(best.select("a", F.explode("best.b").alias("b"))), sets, percent))
+    release(df.sparkSession)
+
+    across = cross_component_pairs(active, found, "rep", ("n", "registers"), _near(percent), reps.select("rep", "registers"), most=1)
     clusters = merge_components(found, across)
-    found = merge_components(found, _verified(across, sets, percent))
-    found = merge_components(found, written(_links_across(clusters, found, sets, percent)))
+    found = merge_components(found, _links_across(clusters, found, sets, percent))
+    release(df.sparkSession)
 
     labelled = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     joined = sketches.join(labelled, ["set_a", "set_b"], "left")
