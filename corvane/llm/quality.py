@@ -33,6 +33,7 @@ SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
 
 FEATURES = 11
+CHAIN = 40
 
 
 def _set(chars: str) -> np.ndarray:
@@ -217,12 +218,14 @@ def fit_lines(labelled: DataFrame, id: str = "doc_id", text: str = "text", label
     docs = sorted(((r.label, r.features) for r in found if r.features), key=lambda d: (d[0], len(d[1]), d[1]))
     if len({d[0] for d in docs}) < 2:
         return LineField(np.zeros(FEATURES), np.array([0.0, 1.0]), np.zeros((2, 2)))
-    lines = np.repeat(np.arange(len(docs)), [len(d[1]) for d in docs])
+    good = np.repeat([d[0] for d in docs], [len(d[1]) for d in docs])
+    turn = np.concatenate([np.arange(len(d[1])) for d in docs])
+    chains = np.cumsum(turn % CHAIN == 0) - 1  # long documents are trained on as several chains
     features = np.concatenate([np.asarray(d[1]) for d in docs])
-    good = np.array([d[0] for d in docs])[lines]
-    field = train_field(lines, features, good, len(docs))
-    again = np.where(good == 1, 1, viterbi(field, lines, features, len(docs)))
-    return train_field(lines, features, again, len(docs))
+    n = int(chains[-1]) + 1
+    field = train_field(chains, features, good, n)
+    again = np.where(good == 1, 1, viterbi(field, chains, features, n))
+    return train_field(chains, features, again, n)
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
