@@ -34,16 +34,16 @@ BASE_KINDS = ("assign", "access", "hex")
 _ASSIGN_HINT = ("passw", "secret", "token", "key")
 
 # Weak parts: each means nothing alone.
-IDENTITY = re.compile(r"(?i:\b(?:user(?:name)?|login|client_?id|account|access_?key_?id))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{3,64})", re.ASCII)
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"(?:[a-z][a-z0-9+]{1,12}://[^\s\"'<>]{4,200}|(?i:\b(?:host|server|endpoint|url)[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9.-]{4,120}))")
+IDENTITY = re.compile(r"(?i:\b(?:user(?:name)?|login|client_?id|account|access_?key_?id))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{3,})", re.ASCII)
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+ENDPOINT = re.compile(r"(?:[a-z][a-z0-9+]{1,12}://[^\s\"'<>]{4,}|(?i:\b(?:host|server|endpoint|url)[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9.-]{4,}))")
 _IDENTITY_HINT = ("user", "login", "client", "account", "access")
 _ENDPOINT_HINT = ("://", "host", "server", "endpoint", "url")
 _HAS_DIGIT = re.compile(r"[0-9]")
 
-LINKED_KINDS = ("identity", "opaque", "endpoint")
+LINKED_KINDS = ("identity", "opaque", "endpoint", "short")
 KIND_ORDER = {k: i for i, k in enumerate(BASE_KINDS + LINKED_KINDS)}
-ROLE = {"assign": "secret", "hex": "secret", "opaque": "secret", "access": "identity", "identity": "identity", "endpoint": "endpoint"}
+ROLE = {"assign": "secret", "hex": "secret", "opaque": "secret", "short": "secret", "access": "identity", "identity": "identity", "endpoint": "endpoint"}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -66,6 +66,8 @@ def weak_parts(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(1), m.end(1), "identity") for m in IDENTITY.finditer(text)]
     if any(h in low for h in _ENDPOINT_HINT):
         found += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
+    if any(h in low for h in _ASSIGN_HINT):
+        found += [(m.start(), m.end(), "short") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) < ASSIGN_LEAST]
     if _HAS_DIGIT.search(text):
         found += [(m.start(), m.end(), "opaque") for m in OPAQUE.finditer(text)]
     return found
@@ -97,7 +99,7 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int) -> lis
         at = bisect_left(scope, (span[0], span[0]))
         return any(s <= span[1] + reach and span[0] - reach <= e for s, e in scope[max(0, at - 1) : at + 1] if (s, e) != (span[0], span[1]))
 
-    needs = {"identity": ("secret",), "opaque": ("identity",), "endpoint": ("identity", "secret")}
+    needs = {"identity": ("secret",), "opaque": ("identity",), "short": ("identity",), "endpoint": ("identity", "secret")}
     return [w for w in weak if all(beside(w, role) for role in needs[w[2]])]
 
 
@@ -116,8 +118,8 @@ FINDINGS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.St
 def find_secrets(df: DataFrame, text: str = "text", out: str = "findings", reach: int = 200) -> DataFrame:
     """``df`` with ``out``: all findings of ``text`` as structs (kind, start, end, value).
 
-    Kinds ``assign``, ``access`` and ``hex`` stand alone; ``identity``, ``opaque`` and
-    ``endpoint`` are weak parts that complementary parts within ``reach`` code points of the
+    Kinds ``assign``, ``access`` and ``hex`` stand alone; ``identity``, ``opaque``, ``endpoint``
+    and ``short`` (an assigned value too short for ``assign``) are weak parts that complementary parts within ``reach`` code points of the
     same paragraph confirm.  Positions are code points, the end is exclusive.
     """
 

@@ -38,3 +38,15 @@ def test_nulls_empty_repeats_and_clashing_columns(spark):
     assert find_secrets(df.limit(0)).count() == 0
     cut = redact(find_secrets(df)).filter("doc_id = 3").first()
     assert cut.text == "[secret]"
+
+
+def test_short_values_one_case_tokens_and_long_parts():
+    kinds = lambda t: {k: t[s:e] for s, e, k in linked_spans(t, base_spans(t), 200)}
+    assert kinds("user=admin password=hunter2 host=db1.local") == {"identity": "admin", "short": "password=hunter2", "endpoint": "host=db1.local"}
+    assert kinds("password=hunter2 host=db1.local") == {}
+    low, long = "k3j9x0q7w2m5z8y1t6r4", "Ab3dEf6hIjk" * 8 + "=="
+    assert kinds(f"login: bob {low}") == {"identity": "bob", "opaque": low}
+    assert kinds(f"login: bob {long}") == {"identity": "bob", "opaque": long}
+    name, url = "n" * 100, "https://db.example.com/" + "p" * 300
+    assert kinds(f"user={name} {low} {url}") == {"identity": name, "opaque": low, "endpoint": url}
+    assert kinds(f"user=svc;AccountKey={long}") == {"identity": "svc", "opaque": long}
