@@ -2,11 +2,11 @@
 
 A page is cut into blocks (runs of text between block-level tags), each with its root-to-leaf
 path of tags.  Subtrees that say they are something else (navigation, page headers and
-footers, asides, forms, scripts, adverts, notices, comments, by tag, role, class or id) are left out
-first.  Per tag path the text length and the punctuation are aggregated over its blocks;
+footers, asides, forms, scripts, adverts, notices, comments, by tag, role, or a whole word of class or id) are left out
+first, but not for a class or id where they hold most of a page without article or main.  Per tag path the text length and the punctuation are aggregated over its blocks;
 both ratios are smoothed over neighbouring paths in page order, fused to one score, and paths
-at or above a threshold are content paths.  Their blocks select the content: the smallest element
-that holds most of their text, or the article or main element around it, whose
+at or above a threshold are content paths.  Their blocks select the content: the article or main element
+around most of their text, or the smallest element around all of them and more than one block, whose
 remaining blocks all belong to the text (so headings and short paragraphs stay).
 
 Defined results: a null or empty page, or one without text, gives an empty text; broken markup
@@ -54,27 +54,30 @@ _WORDS = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
+def _dropped(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether the element is left out, and whether only a word of its class or id says so."""
     if tag in DROP_TAGS or (tag == "header" and not in_article):
-        return True
+        return True, False
     if not attributes or tag in EXEMPT:
-        return False
+        return False, False
+    worded = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id"):
-            words = set(_WORDS.findall(value))
-            if words & DROP_WORDS or (not in_article and words & HEADER_WORDS):
-                return True
+            words = set(value.split())
+            worded = worded or bool(words & DROP_WORDS or (not in_article and words & HEADER_WORDS))
         elif name == "role" and value in DROP_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, False
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, False
+    return worded, worded
 
 
-def blocks(page: str) -> tuple[list[tuple[str, tuple[int, ...]]], list[tuple[str, int]]]:
-    """Blocks that may be content, as (text, open elements), and the elements as (tag, parent)."""
+def blocks(page: str) -> tuple[list[tuple[str, tuple[int, ...]]], list[tuple[str, int]], set[int]]:
+    """Blocks that may be content, as (text, open elements), the elements as (tag, parent), and
+    those that a word of their class or id would leave out, whose blocks are still listed."""
     elements: list[tuple[str, int]] = []
+    worded: set[int] = set()
     stack: list[tuple[str, int, bool]] = []  # tag, element, dropped here or above
     out: list[tuple[str, tuple[int, ...]]] = []
     parts: list[str] = []
@@ -132,12 +135,16 @@ def blocks(page: str) -> tuple[list[tuple[str, tuple[int, ...]]], list[tuple[str
                 elif name in SCOPE:
                     break
         in_article = any(name in ("article", "main") for name, _, _ in stack)
-        dropped = bool(stack and stack[-1][2]) or _dropped(tag, attributes, in_article)
+        dropped, by_word = _dropped(tag, attributes, in_article)
+        by_word = by_word and tag in BLOCK  # others are parts of a block
+        if by_word:
+            worded.add(len(elements))
+        dropped = bool(stack and stack[-1][2]) or dropped and not by_word
         elements.append((tag, stack[-1][1] if stack else -1))
         stack.append((tag, len(elements) - 1, dropped))
     pop_to(0)
     flush()
-    return out, elements
+    return out, elements, worded
 
 
 def path_scores(lengths: list[int], marks: list[int], paths: list[tuple[str, ...]], radius: int = 1) -> dict[tuple[str, ...], float]:
@@ -162,32 +169,74 @@ def path_scores(lengths: list[int], marks: list[int], paths: list[tuple[str, ...
     return {p: t * (1 + k) for p, t, k in zip(order, text, punctuation, strict=True)}
 
 
-def main_text(page: str | None, share: float = 0.7, strictness: float = 0.5) -> str:
-    found, elements = blocks(page or "")
-    if not found:
-        return ""
+def _chosen(found, elements, strictness: float) -> tuple[list[int], list[float]]:
+    """Blocks on content paths, and the scores of the paths of all blocks."""
     paths = [tuple(elements[e][0] for e in open_ if elements[e][0] in BLOCK) for _, open_ in found]
-    lengths = [len(t) for t, _ in found]
-    scores = path_scores(lengths, [len(_PUNCTUATION.findall(t)) for t, _ in found], paths)
+    scores = path_scores([len(t) for t, _ in found], [len(_PUNCTUATION.findall(t)) for t, _ in found], paths)
     mean = sum(scores.values()) / len(scores)
     deviation = (sum((s - mean) ** 2 for s in scores.values()) / len(scores)) ** 0.5
     threshold = min(max(scores.values()), strictness * deviation)
-    chosen = [i for i, p in enumerate(paths) if scores[p] >= threshold]
+    return [i for i, p in enumerate(paths) if scores[p] >= threshold], [scores[p] for p in paths]
+
+
+def _held(found, chosen) -> tuple[dict[int, int], int]:
+    """Length of the chosen blocks in each element, and of all."""
     held: dict[int, int] = {}
-    whole = 0
     for i in chosen:
-        whole += lengths[i]
         for e in found[i][1]:
-            held[e] = held.get(e, 0) + lengths[i]
-    inside = [e for e, n in held.items() if n >= share * whole]
-    root = max(inside, default=-1)  # elements are numbered in page order, so the last is the deepest
-    around, e = -1, root
+            held[e] = held.get(e, 0) + len(found[i][0])
+    return held, sum(len(found[i][0]) for i in chosen)
+
+
+def _without_worded(found, elements, worded, strictness: float):
+    """The blocks outside the elements that their class or id leaves out.
+
+    An element that holds most of the page's chosen text stays, unless an article or main
+    element stands outside of all of them.
+    """
+    if not worded:
+        return found
+    left = [b for b in found if worded.isdisjoint(b[1])]
+    if not any(elements[e][0] in ("article", "main") for _, open_ in left for e in open_):
+        held, whole = _held(found, _chosen(found, elements, strictness)[0])
+        most = {e for e in worded if 2 * held.get(e, 0) > whole}
+        left = [b for b in found if (worded - most).isdisjoint(b[1])] if most else left
+    return left
+
+
+def _common_element(found, elements, chosen, scores) -> int:
+    """The lowest element around all chosen blocks and around more than one of the page's blocks.
+
+    A path that a single block holds, with less than half the best score, has no say.
+    """
+    best, alone = max(scores[i] for i in chosen), {}
+    tags = {i: tuple(elements[e][0] for e in found[i][1] if elements[e][0] in BLOCK) for i in chosen}
+    for i in chosen:
+        alone[tags[i]] = alone.get(tags[i], 0) + 1
+    said = [i for i in chosen if alone[tags[i]] > 1 or 2 * scores[i] >= best]
+    common = list(found[said[0]][1])
+    for i in said[1:]:
+        n = sum(1 for x, y in zip(common, found[i][1]) if x == y)
+        common = common[:n]
+    while common and sum(common[-1] in open_ for _, open_ in found) < min(2, len(found)):
+        common.pop()
+    return common[-1] if common else -1
+
+
+def main_text(page: str | None, share: float = 0.7, strictness: float = 0.5) -> str:
+    found, elements, worded = blocks(page or "")
+    found = _without_worded(found, elements, worded, strictness) if found else found
+    if not found:
+        return ""
+    chosen, scores = _chosen(found, elements, strictness)
+    held, whole = _held(found, chosen)
+    # Elements are numbered in page order, so the last is the deepest.
+    e, around = max((e for e, n in held.items() if n >= share * whole), default=-1), -1
     while e >= 0:
         if elements[e][0] == "article" or elements[e][0] == "main" and around < 0:
             around = e
         e = elements[e][1]
-    if around >= 0:
-        root = around
+    root = around if around >= 0 else _common_element(found, elements, chosen, scores)
     return "\n".join(t for t, open_ in found if root < 0 or root in open_)
 
 

@@ -32,3 +32,22 @@ def test_nulls_empty_and_other_columns(spark):
     df = spark.createDataFrame([(1, None, "u"), (2, "", "u"), (3, "<p>x</p>", "u")], "page_id long, html string, text string")
     assert [r.text for r in extract_main_text(df).collect()] == ["", "", "x"]
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+LONG, SHORT = "A long sentence, with commas, and more words, that goes on and on. " * 12, "Short one, indeed."
+
+
+def test_all_parts_of_an_article_without_article_element():
+    one = f"<body><div class='post'><h2>Head</h2><p>{LONG}</p><p>{SHORT}</p><p>{SHORT}</p></div></body>"
+    assert main_text(one).split("\n") == ["Head", LONG.strip(), SHORT, SHORT]
+    two = f"<body><div>{f'<p>{LONG}</p>' * 6}</div><div>{f'<p>{LONG}</p>' * 2}</div></body>"
+    assert main_text(two).split("\n") == [LONG.strip()] * 8
+
+
+def test_class_words_count_whole_and_not_on_most_of_the_text():
+    for name in ("content has-sidebar", "no-comments", "related-links-off", "widget"):
+        page = f"<body><div class='menu'><a>a</a></div><div class='{name}'><p>{LONG}</p><p>{LONG}</p></div><div class='sidebar'>x</div></body>"
+        assert main_text(page).split("\n") == [LONG.strip()] * 2
+    assert main_text(f"<article><p>{SHORT}</p></article><div class='comments'><p>{LONG}</p></div>") == SHORT
+    assert main_text(f"<div class='widget'><article><p>{LONG}</p></article></div>") == LONG.strip()
+    assert main_text(f"<div><p>{LONG}<span class='share'>Tell all</span></p><p>{LONG}</p></div>").split("\n") == [LONG.strip()] * 2
