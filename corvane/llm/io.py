@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,18 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where it is unset (tests on one machine) a fresh temporary folder is made and kept in the
-    session's settings.
+    A local master may leave it unset (tests): then a temporary folder of this machine is made
+    and kept in the session's settings.  On a cluster it has to be set.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("corvane.checkpoint.dir", None)
     if not folder:
-        folder = spark.conf.get("corvane.checkpoint.dir", None)
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="corvane-checkpoint-")
-            spark.conf.set("corvane.checkpoint.dir", folder)
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="corvane-checkpoint-")
+        spark.conf.set("corvane.checkpoint.dir", folder)
     return folder
 
 
+#: Where the tables written here stand, as long as their frames live.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` computed once as a table in the shared folder and read back.
 
@@ -38,7 +41,16 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/corvane-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[back] = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Frees the table behind a frame of written() that nothing reads any more: an empty one takes its place."""
+    path = _PATHS.pop(df, None)
+    if path:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
 
 
 def crc_mod(column, modulus: int):
@@ -59,16 +71,6 @@ def sampled_labels(docs: DataFrame, labels: DataFrame, label: str, sample: int,
     return written(picked[0].unionByName(picked[1]))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more.
-
-    Spark's cleaner acts when the driver's garbage is collected, which a job of many small
-    steps can put off until the disks are full.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def membership(df: DataFrame, column, bits: int) -> np.ndarray:
     """Bitmap of the values (low bits of a long column) that occur: a filter of fixed size.
 
@@ -76,23 +78,12 @@ def membership(df: DataFrame, column, bits: int) -> np.ndarray:
     only ever thins out what an exact join then decides.
     """
     x = df.select(column.bitwiseAND(bits - 1).alias("x"))
-    words = x.groupBy(F.shiftright("x", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("v")).collect()
+    words = x.groupBy(F.shiftright("x", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("v")).toArrow()
     member = np.zeros(max(bits // 64, 1), np.uint64)
-    for r in words:
-        member[r.w] = r.v & 0xFFFFFFFFFFFFFFFF
+    member[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
     return member
 
 
 def in_membership(member: np.ndarray, values: np.ndarray) -> np.ndarray:
     low = values.view(np.uint64) & np.uint64(64 * len(member) - 1)
     return ((member[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)
-
-
-def maybe_member(member: np.ndarray):
-    """The same as a column function of a long column without nulls."""
-
-    @F.pandas_udf("boolean")
-    def maybe(values: pd.Series) -> pd.Series:
-        return pd.Series(in_membership(member, values.to_numpy(np.int64)))
-
-    return maybe

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import connected_components, merge_components
-from .io import release, table, written
-from .pairing import cross_component_pairs
+from .io import table, written
+from .pairing import block_edges, block_pairs, cross_component_pairs
 
 NULL_ID = -(2**63)
 REGISTERS, PER_BAND, MANTISSA = 160, 5, 10
@@ -193,23 +193,21 @@ def _linked(percent: int):
     """
 
     def linked(rows: pa.Table) -> pa.Table:
-        cluster, block, node, comp, n = (rows[c].to_numpy() for c in ("cluster", "block", "node", "comp", "n"))
-        odd, own = rows["odd"].to_numpy(), rows["own"].to_numpy()
+        cluster, i, j, node, comp, n, probe = (rows[c].to_numpy() for c in ("cluster", "i", "j", "node", "comp", "n", "probe"))
         lists = rows["shingles"].combine_chunks()
         values, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        order = np.lexsort((node, block, cluster))
-        edges = np.flatnonzero(np.concatenate(([True], (np.diff(cluster[order]) != 0) | (np.diff(block[order]) != 0), [True])))
+        order, edges = block_edges(cluster, i, j, node)
         a, b = [], []
         for x, y in zip(edges[:-1], edges[1:], strict=True):
             at = order[x:y]
-            members = at[own[at]]
+            members = at[~probe[at]]
             if not len(members):
                 continue
             keys = np.concatenate([values[cuts[m] : cuts[m + 1]] for m in members])
             owner = np.repeat(np.arange(len(members)), n[members])
             by = np.argsort(keys, kind="stable")
             keys, owner = keys[by], owner[by]
-            for f in at[odd[at]]:
+            for f in at[probe[at]]:
                 mine = values[cuts[f] : cuts[f + 1]]
                 low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
                 size = high - low
@@ -228,23 +226,14 @@ def _linked(percent: int):
 def _links_across(clusters: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All links between the components of each cluster (node, component), on full sets.
 
-    Classes outside a cluster's largest component are compared with all its classes.  Large
-    clusters are cut into blocks; only the former are copied to every block.
+    Classes outside a cluster's largest component are compared with all its classes, in pairs of
+    bounded blocks.
     """
     nodes = clusters.withColumnRenamed("component", "cluster").join(found.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = nodes.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("large"), F.sum("count").alias("members"), F.count("*").alias("comps")).filter("comps > 1")
-    blocks = F.ceil(F.col("members") / CLUSTER_BLOCK).cast("int")
-    split = (
-        nodes.join(sizes, "cluster")
-        .withColumn("odd", F.col("comp") != F.col("large"))
-        .withColumn("mine", F.pmod(F.hash("node"), blocks))
-        .withColumn("block", F.explode(F.when(F.col("odd"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("mine"))))
-        .withColumn("own", F.col("block") == F.col("mine"))
-    )
-    left = written(split.select("cluster", "node", "comp", "block", "odd", "own"))
+    left = written(block_pairs(nodes, "cluster", CLUSTER_BLOCK).select("cluster", "node", "comp", "i", "j", "probe"))
     rows = left.join(sets.select(F.col("id").alias("node"), F.size("shingles").cast("long").alias("n"), "shingles"), "node")
     groups = max(512, left.count() // 1024)
-    return rows.groupBy(F.pmod(F.xxhash64("cluster", "block"), F.lit(groups))).applyInArrow(_linked(percent), "a long, b long")
+    return rows.groupBy(F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(groups))).applyInArrow(_linked(percent), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -279,12 +268,10 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     # a class has at most HUBS hubs a band, so its list is bounded
     best = judged.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("j")).alias("j"), "b"))), 1, FIRST).alias("best"))
     found = connected_components(_verified(ordered(best.select("a", F.explode("best.b").alias("b"))), sets, percent))
-    release(df.sparkSession)
 
     across = cross_component_pairs(active, found, "rep", ("n", "registers"), _near(percent), reps.select("rep", "registers"), most=1)
     clusters = merge_components(found, across)
     found = merge_components(found, _links_across(clusters, found, sets, percent))
-    release(df.sparkSession)
 
     labelled = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     joined = sketches.join(labelled, ["set_a", "set_b"], "left")

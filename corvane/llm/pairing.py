@@ -22,25 +22,48 @@ def _best(found: np.ndarray, score: np.ndarray, groups: np.ndarray, most: int) -
     return found[order[rank < most]]
 
 
-def _across(node: str, payload: tuple[str, ...], judge: Callable, most: int | None):
+def block_pairs(nodes: DataFrame, key: str, block: int) -> DataFrame:
+    """Rows (``key``, node, comp, ...) dealt to pairs (i, j) of bounded blocks of each ``key``.
+
+    The nodes outside a key's largest component (``odd``) have to meet all others: block i of all
+    its nodes meets block j of the odd ones (``probe``).  So a task holds two blocks of a key, never
+    the key, and pairs inside the largest component are never formed.
+    """
+    sizes = nodes.groupBy(key, "comp").count().groupBy(key).agg(F.max_by("comp", F.struct("count", "comp")).alias("large"), F.max("count").alias("most"), F.sum("count").alias("all"), F.count("*").alias("comps"))
+    sizes = sizes.filter("comps > 1").select(key, "large", F.ceil(F.col("all") / block).cast("int").alias("n_i"), F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("n_j"))
+    met = nodes.join(sizes, key).withColumn("odd", F.col("comp") != F.col("large")).withColumn("hash", F.hash("node"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = met.withColumns({"i": F.pmod("hash", "n_i"), "probe": F.lit(False)}).withColumn("j", every("n_j"))
+    odd = met.filter("odd").withColumns({"j": F.pmod("hash", "n_j"), "probe": F.lit(True)}).withColumn("i", every("n_i"))
+    return own.unionByName(odd).drop("large", "n_i", "n_j", "hash")
+
+
+def block_edges(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows by ``columns`` (the first counts most) and where the runs equal in all but the last begin."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(max(len(order) - 1, 0), bool)
+    for c in columns[:-1]:
+        new |= np.diff(c[order]) != 0
+    return order, np.flatnonzero(np.concatenate(([True], new, [True])))
+
+
+def _across(payload: tuple[str, ...], judge: Callable, most: int | None):
     def across(rows: pa.Table) -> pa.Table:
         columns = {c: (rows[c].to_pylist() if pa.types.is_binary(rows.schema.field(c).type) else rows[c].to_numpy()) for c in payload}
-        key, own_id, comp = (rows[c].to_numpy() for c in ("key", node, "comp"))
-        block, odd, own = (rows[c].to_numpy() for c in ("block", "odd", "own"))
-        order = np.lexsort((own_id, block, key))
-        edges = np.flatnonzero(np.concatenate(([True], (np.diff(key[order]) != 0) | (np.diff(block[order]) != 0), [True])))
+        key, node, comp, i, j, odd, probe = (rows[c].to_numpy() for c in ("key", "node", "comp", "i", "j", "odd", "probe"))
+        order, edges = block_edges(key, i, j, node)
         pairs = set()
         for x, y in zip(edges[:-1], edges[1:], strict=True):
             at = order[x:y]
-            members = at[own[at]]
-            for f in at[odd[at]]:
-                m = members[(comp[members] != comp[f]) & (~odd[members] | (own_id[members] < own_id[f]))]
+            members = at[~probe[at]]
+            for f in at[probe[at]]:
+                m = members[(comp[members] != comp[f]) & (~odd[members] | (node[members] < node[f]))]
                 if len(m):
                     m, score = judge(columns, f, m)
                     if most is not None and len(m):
                         m = _best(m, score, comp[m], most)
-                    one = int(own_id[f])
-                    pairs |= {(min(one, o), max(one, o)) for o in own_id[m].tolist()}
+                    one = int(node[f])
+                    pairs |= {(min(one, o), max(one, o)) for o in node[m].tolist()}
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
     return across
@@ -53,24 +76,13 @@ def cross_component_pairs(active: DataFrame, components: DataFrame, node: str, p
     ``most`` keeps only so many best partners of a node in each other component and block: a
     first round of few pairs that joins most components, before a round of all that are left.
 
-    ``active``: (key, node, members, ...), members being the key's number of nodes; ``extra``: a
-    table of further payload by node.  In each key the nodes outside its largest component are
-    compared with all its other nodes.  Keys with many nodes are cut into blocks, and only the
-    nodes outside the largest component are copied to every block, so no task holds a
-    whole key and pairs inside a component are never formed.
+    ``active``: (key, node, ...); ``extra``: a table of further payload by node.
     """
-    with_comp = active.join(components.select(F.col("node").alias(node), F.col("component").alias("comp")), node, "left").withColumn("comp", F.coalesce("comp", node))
-    largest = with_comp.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("large"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    split = (
-        with_comp.join(largest, "key")
-        .withColumn("odd", F.col("comp") != F.col("large"))
-        .withColumn("mine", F.pmod(F.hash(node), blocks))
-        .withColumn("block", F.explode(F.when(F.col("odd"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("mine"))))
-        .withColumn("own", F.col("block") == F.col("mine"))
-    )
+    own = [c for c in payload if c in active.columns]
+    nodes = active.select("key", F.col(node).alias("node"), *own).join(components.select("node", F.col("component").alias("comp")), "node", "left")
+    split = block_pairs(nodes.withColumn("comp", F.coalesce("comp", "node")), "key", BLOCK)
     if extra is not None:
-        split = split.join(extra, node)
-    left = written(split.select("key", node, "comp", "block", "odd", "own", *payload))
+        split = split.join(extra.withColumnRenamed(node, "node"), "node")
+    left = written(split.select("key", "node", "comp", "i", "j", "odd", "probe", *payload))
     groups = max(512, left.count() // 8192)
-    return left.groupBy(F.pmod(F.xxhash64("key", "block"), F.lit(groups))).applyInArrow(_across(node, payload, judge, most), "a long, b long").distinct()
+    return left.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups))).applyInArrow(_across(payload, judge, most), "a long, b long").distinct()
