@@ -3,15 +3,18 @@
 A test item may occur in a document with up to ``budget`` edits, a share of its length.  Cut
 into budget + 1 pieces, at least one piece must occur unchanged in any such occurrence.  One
 Aho-Corasick pass over every whole text finds the exact piece hits; each hit fixes where the
-item would stand, and Myers' bit-parallel algorithm verifies the edit distance of the item to
-that stretch of the document.
+item would stand, overlapping stretches are joined, and Myers' bit-parallel algorithm gives the edit
+distance of the item to each.  So an item costs at most one pass over a text, however often its
+pieces occur.
 
-The test items are the stated query set.  They are read in blocks of at most ``block`` items,
+The test items are the stated query set.  They are read in blocks of about ``block`` characters,
 which bounds what a task holds whatever the number of items; documents are never shuffled.
 
 Texts are compared with letters lower-cased and white space as one space.  Defined results: a
 null or empty document or item matches nothing; repeated items are reported under each of
-their ids; repeated documents each report their own matches.
+their ids; repeated documents each report their own matches, and so do rows with a null or repeated
+id; of occurrences with the same distance the first is reported; texts of any length are read
+whole; without items or documents there are no matches; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,6 +65,18 @@ def best_occurrence(pattern: str, text: str) -> tuple[int, int]:
     return best
 
 
+def stretches(starts: list[int], size: int, budget: int) -> list[tuple[int, int]]:
+    """Where items that would start at the ascending ``starts`` can stand; overlapping stretches are one."""
+    out: list[tuple[int, int]] = []
+    for s in starts:
+        a, b = max(0, s - budget), s + size + budget
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def _matches(items: list[tuple[int, str]], rate: float):
     """Task function: documents to matches with a block of items."""
 
@@ -86,24 +101,25 @@ def _matches(items: list[tuple[int, str]], rate: float):
                 if not text or not where:
                     continue
                 found: dict[int, tuple] = {}
-                tried: dict[int, list[int]] = {}
+                starts: dict[int, set[int]] = {}
                 for end, (size, uses) in automaton.iter(text):
                     for i, place in uses:
-                        start = end + 1 - size - place
-                        k, item = budgets[i], texts[i]
-                        if i in found and found[i][0] == 0 or any(abs(start - s) <= k // 2 for s in tried.get(i, ())):
-                            continue
-                        tried.setdefault(i, []).append(start)
-                        if start >= 0 and text.startswith(item, start):
-                            found[i] = (0, start, start + len(item))
+                        starts.setdefault(i, set()).add(end + 1 - size - place)
+                for i, at in starts.items():
+                    k, item = budgets[i], texts[i]
+                    for a, b in stretches(sorted(at), len(item), k):
+                        whole = text.find(item, a, b)
+                        if whole >= 0:
+                            distance, stop = 0, whole + len(item)
+                        elif k:
+                            distance, stop = best_occurrence(item, text[a:b])
+                            stop += a
+                        else:
                             continue
-                        a = max(0, start - k)
-                        # pieces already tried within half a budget share this stretch, so it is widened by as much
-                        stretch = text[max(0, a - k // 2) : start + len(item) + k + k // 2]
-                        distance, stop = best_occurrence(item, stretch)
                         if distance <= k and (i not in found or distance < found[i][0]):
-                            stop += max(0, a - k // 2)
                             found[i] = (distance, max(0, stop - len(item)), stop)
+                        if distance == 0:
+                            break
                 for i, (distance, a, b) in sorted(found.items()):
                     for name, value in zip(out, (doc, i, distance, a, b), strict=True):
                         out[name].append(value)
@@ -112,19 +128,18 @@ def _matches(items: list[tuple[int, str]], rate: float):
     return match
 
 
-def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.05, block: int = 20000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.05, block: int = 1 << 24) -> DataFrame:
     """(doc_id, item_id, distance, start, end): the nearest occurrence of every item in every document.
 
     An item matches within int(``rate`` * length) edits; start and end are places in the
     normalised text, the start to within the edits.
     """
     items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    n = items.count()
-    blocks = max(1, -(-n // block))
+    blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block))
     if blocks > 1:  # even blocks by a hash of the id, in one written table
         items = written(items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(2 * blocks))))
     else:
-        blocks, items = 1, items.withColumn("block", F.lit(0))
+        items = items.withColumn("block", F.lit(0))
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, item_id long, distance long, start long, end long"
     out = None

@@ -8,7 +8,7 @@ base rule fails it and content lines hold at least half of its words.
 The field is trained in numpy on a bounded sample (``sample`` documents of each quality label,
 the first by a hash of the id).  Labels are of documents, not of lines, so training runs twice:
 first with every line labelled as its document, then with the lines of bad documents relabelled
-by the first field.
+by the first field.  A document is one chain, whatever its length.
 
 Defined results: a null or empty text has no words, fails the word count and is not kept;
 without labelled documents of both classes every line is content; texts of any length are
@@ -33,7 +33,6 @@ SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
 
 FEATURES = 11
-CHAIN = 40
 
 
 def _set(chars: str) -> np.ndarray:
@@ -161,39 +160,48 @@ def viterbi(field: LineField, rows: np.ndarray, features: np.ndarray, n: int) ->
 
 
 def train_field(rows: np.ndarray, features: np.ndarray, labels: np.ndarray, n: int, steps: int = 120, rate: float = 0.1, l2: float = 1e-3) -> LineField:
-    """Adam on the conditional likelihood; forward-backward runs over all documents at once."""
+    """Adam on the conditional likelihood; forward-backward runs over all documents at once.
+
+    Lines are held turn by turn and, inside a turn, by descending length of their documents, so
+    those that go on to the next turn are the first ones and no array is padded.
+    """
     doc, turn, length = _padded(rows, n)
-    longest = int(length.max())
-    x = np.zeros((n, longest, features.shape[1]))
-    y = np.zeros((n, longest), np.int64)
-    x[doc, turn], y[doc, turn] = features, labels
-    live = np.arange(longest)[None] < length[:, None]
-    theta = np.zeros(features.shape[1] + 6)
+    by_length = np.argsort(-length, kind="stable")
+    rank = np.argsort(by_length)[doc]
+    order = np.lexsort((rank, turn))
+    x, y, rank, turn = features[order], labels[order].astype(np.int64), rank[order], turn[order]
+    length = length[by_length]
+    length = length[length > 0]
+    going = np.bincount(turn)
+    at = np.concatenate(([0], np.cumsum(going)))
+    last = at[length - 1] + np.arange(len(length))
+    later = np.flatnonzero(turn > 0)
+    earlier = at[turn[later] - 1] + rank[later]
+    theta = np.zeros(x.shape[1] + 6)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    parts = lambda th: (th[: features.shape[1]], th[-6:-4], th[-4:].reshape(2, 2))
-    add = lambda a, axis: (lambda top: (np.log(np.exp(a - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis))(a.max(axis=axis, keepdims=True))
+    parts = lambda th: (th[: x.shape[1]], th[-6:-4], th[-4:].reshape(2, 2))
     seen = np.zeros((2, 2))
-    pair = live[:, 1:]
-    np.add.at(seen, (y[:, :-1][pair], y[:, 1:][pair]), 1)
+    np.add.at(seen, (y[earlier], y[later]), 1)
     for k in range(1, steps + 1):
         w, start, step = parts(theta)
-        emit = np.stack([np.zeros((n, longest)), x @ w], axis=2)
-        ahead, behind = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        ahead[:, 0] = start + emit[:, 0]
-        for t in range(1, longest):
-            new = add(ahead[:, t - 1][:, :, None] + step[None], 1) + emit[:, t]
-            ahead[:, t] = np.where(live[:, t, None], new, ahead[:, t - 1])
-        z = add(ahead[:, -1], 1)
-        for t in range(longest - 2, -1, -1):
-            new = add((behind[:, t + 1] + emit[:, t + 1])[:, None, :] + step[None], 2)
-            behind[:, t] = np.where(live[:, t + 1, None], new, 0)
-        p = np.exp(ahead + behind - z[:, None, None]) * live[..., None]
+        emit = np.stack([np.zeros(len(x)), x @ w], axis=1)
+        ahead, behind = emit.copy(), np.zeros((len(x), 2))
+        ahead[: going[0]] += start
+        for t in range(1, len(going)):
+            before, now = slice(at[t - 1], at[t - 1] + going[t]), slice(at[t], at[t + 1])
+            ahead[now] += np.logaddexp(ahead[before, :1] + step[0], ahead[before, 1:] + step[1])
+        for t in range(len(going) - 1, 0, -1):
+            before, now = slice(at[t - 1], at[t - 1] + going[t]), slice(at[t], at[t + 1])
+            on = behind[now] + emit[now]
+            behind[before] = np.logaddexp(on[:, :1] + step[:, 0], on[:, 1:] + step[:, 1])
+        z = np.logaddexp(ahead[last, 0], ahead[last, 1])
+        p = np.exp(np.minimum(ahead + behind - z[rank][:, None], 0))
         grad = np.zeros_like(theta)
-        grad[: features.shape[1]] = np.einsum("nt,ntf->f", p[..., 1] - y * live, x)
-        grad[-6:-4] = p[:, 0].sum(axis=0) - np.bincount(y[:, 0], minlength=2)
-        both = ahead[:, :-1, :, None] + step + (emit[:, 1:] + behind[:, 1:])[:, :, None, :] - z[:, None, None, None]
-        grad[-4:] = ((np.exp(np.minimum(both, 0)) * pair[..., None, None]).sum(axis=(0, 1)) - seen).ravel()
-        grad = grad / live.sum() + l2 * theta
+        grad[: x.shape[1]] = (p[:, 1] - y) @ x
+        grad[-6:-4] = p[: going[0]].sum(axis=0) - np.bincount(y[: going[0]], minlength=2)
+        both = ahead[earlier][:, :, None] + step + (emit[later] + behind[later])[:, None, :] - z[rank[later]][:, None, None]
+        grad[-4:] = (np.exp(np.minimum(both, 0)).sum(axis=0) - seen).ravel()
+        grad = grad / len(x) + l2 * theta
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
@@ -219,13 +227,11 @@ def fit_lines(labelled: DataFrame, id: str = "doc_id", text: str = "text", label
     if len({d[0] for d in docs}) < 2:
         return LineField(np.zeros(FEATURES), np.array([0.0, 1.0]), np.zeros((2, 2)))
     good = np.repeat([d[0] for d in docs], [len(d[1]) for d in docs])
-    turn = np.concatenate([np.arange(len(d[1])) for d in docs])
-    chains = np.cumsum(turn % CHAIN == 0) - 1  # long documents are trained on as several chains
+    rows = np.repeat(np.arange(len(docs)), [len(d[1]) for d in docs])
     features = np.concatenate([np.asarray(d[1]) for d in docs])
-    n = int(chains[-1]) + 1
-    field = train_field(chains, features, good, n)
-    again = np.where(good == 1, 1, viterbi(field, chains, features, n))
-    return train_field(chains, features, again, n)
+    field = train_field(rows, features, good, len(docs))
+    again = np.where(good == 1, 1, viterbi(field, rows, features, len(docs)))
+    return train_field(rows, features, again, len(docs))
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,41 +73,63 @@ def weak_parts(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+class Intervals:
+    """Distinct spans ordered by start, with the two furthest ends of every prefix.
+
+    The join of one interval with all of them is two lookups: the spans that start early enough
+    are a prefix, and one of them reaches far enough if the furthest end does.
+    """
+
+    def __init__(self, spans):
+        self.spans = sorted(set(spans))
+        self.starts = [s for s, _ in self.spans]
+        self.furthest = []  # (end, span) and the same of all other spans
+        one = two = (float("-inf"), None)
+        for span in self.spans:
+            here = (span[1], span)
+            if here[0] > one[0]:
+                one, two = here, one
+            elif here[0] > two[0]:
+                two = here
+            self.furthest.append((one, two))
+
+    def meets(self, start: int, end: int, but: tuple[int, int] | None = None) -> bool:
+        """Whether a span other than ``but`` shares a point with [start, end]."""
+        n = bisect_right(self.starts, end)
+        if not n:
+            return False
+        one, two = self.furthest[n - 1]
+        return (two if one[1] == but else one)[0] >= start
+
+
 def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int) -> list[tuple[int, int, str]]:
     """Weak parts that a complementary part makes a credential.
 
-    Interval join by a sweep: inside a scope each part's interval, widened by ``reach``, is
-    joined with the intervals of the parts of other roles.  A weak identity needs a secret, a
-    weak secret needs an identity, and an endpoint needs both.  Parts are sorted once and each
-    looks only at the nearest part of a role on either side, so a text with many parts costs
-    n log n.
+    Interval join inside a scope: each part's interval, widened by ``reach``, is joined with the
+    intervals of the parts of other roles.  A weak identity needs a secret, a weak secret
+    needs an identity, and an endpoint needs both.  Parts are sorted once and each join is a binary
+    search, so a text with many parts costs n log n.  A weak part that overlaps a base span is none,
+    but for endpoints, which may hold one.
     """
     weak = weak_parts(text)
     if not weak:
         return []
-    taken = [(s, e) for s, e, _ in base]
-    weak = [w for w in weak if w[2] == "endpoint" or not any(s < w[1] and w[0] < e for s, e in _near(taken, w))]
+    taken = Intervals((s, e) for s, e, _ in base)
+    weak = [w for w in weak if w[2] == "endpoint" or not taken.meets(w[0] + 1, w[1] - 1)]
     breaks = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
-    ends = {"identity": {}, "secret": {}, "endpoint": {}}
-    for s, e, kind in sorted(base + weak):
-        ends[ROLE[kind]].setdefault(bisect_left(breaks, s), []).append((s, e))
+    parts: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for s, e, kind in base + weak:
+        parts.setdefault((ROLE[kind], bisect_left(breaks, s)), []).append((s, e))
+    scopes = {k: Intervals(v) for k, v in parts.items()}
 
     def beside(span, role) -> bool:
-        scope = ends[role].get(bisect_left(breaks, span[0]))
-        if not scope:
-            return False
-        at = bisect_left(scope, (span[0], span[0]))
-        return any(s <= span[1] + reach and span[0] - reach <= e for s, e in scope[max(0, at - 1) : at + 1] if (s, e) != (span[0], span[1]))
+        near = scopes.get((role, bisect_left(breaks, span[0])))
+        return near is not None and near.meets(span[0] - reach, span[1] + reach, (span[0], span[1]))
 
     needs = {"identity": ("secret",), "opaque": ("identity",), "short": ("identity",), "endpoint": ("identity", "secret")}
     return [w for w in weak if all(beside(w, role) for role in needs[w[2]])]
 
 
-def _near(spans: list[tuple[int, int]], w) -> list[tuple[int, int]]:
-    at = bisect_left(spans, (w[0], w[0]))
-    return spans[max(0, at - 3) : at + 3]
-
-
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 

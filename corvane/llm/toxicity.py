@@ -1,14 +1,20 @@
 """Toxicity by multiple-instance learning (operator 4).
 
-A document is a bag of sentences and toxic if at least one of them is: its score is the
-noisy-or 1 - prod(1 - p_s) of sentence scores p_s = sigmoid(b + sum of feature weights).  The
-sentence scores are trained from document labels alone, by the gradient of that likelihood.
-Features are the words of a sentence and their beginnings of 3 to 6 bytes, case folded.
+A document is a bag of sentences and toxic if at least one of them is: with sentence scores
+p_s = sigmoid(b + sum of feature weights) it is toxic with the noisy-or 1 - (1 - leak) prod(1 - p_s).
+The sentence scores are trained from document labels alone, by the gradient of that
+likelihood; the leak, one of a document, takes up labels that no sentence explains.  Features are
+the words of a sentence and their beginnings of 3 to 6 bytes, case folded.
+
+The bag is a set: sentences with the same features are one instance, those without any are none.
+A score combines, by the noisy-or, the sentences that offend by themselves (p_s >= 0.5); where there
+are none it is the largest p_s.  So many harmless sentences never add up, a score does not follow the
+length of a text or its repeats, and a document predicted toxic always has a located sentence.
 
 Training reads a bounded sample: at most ``sample`` rows of each class, the first by a hash of
 the id.  Tasks count the documents of each feature by class, Spark sums the counts, and the at
-most ``features`` features with the largest absolute z-score of the log odds ratio enter the
-model.  The fitted weights are a few thousand numbers; scoring is one pass without a shuffle.
+most ``features`` features with the largest z-score of the log odds ratio enter the model.  The
+fitted weights are a few thousand numbers; scoring is one pass without a shuffle.
 
 Defined results: a null or empty text, or one without letters, has no sentences and scores 0; without
 training rows of both classes every score is 0; repeated rows score alike; texts of any length
@@ -83,8 +89,8 @@ def _count_features(batches):
 
 
 def _instances(features: np.ndarray):
-    """Sentences with at least one chosen feature, and per document the count of the others."""
-    model = ToxicityModel(features, np.arange(len(features), dtype=np.float64), 0.0)
+    """The features of each document's distinct sentences that have any: sentence numbers and features."""
+    model = ToxicityModel(features, np.zeros(len(features)), 0.0)
 
     def instances(batches):
         for batch in batches:
@@ -92,21 +98,37 @@ def _instances(features: np.ndarray):
             for at, n, data, offsets in K.string_chunks(batch.column("text")):
                 starts, ends, rows, sentence = _tokens(data, offsets)
                 which, index = _hits(model, data, starts, ends)
-                numbers, first = np.unique(sentence, return_index=True)
-                count = np.bincount(rows[first], minlength=n)
+                numbers, first, where = _distinct(which, index, rows, sentence)
+                kept = np.isin(sentence[which], numbers)
+                which, index = which[kept], index[kept]
                 order = np.lexsort((index, sentence[which]))
                 which, index = which[order], index[order]
+                cuts = np.searchsorted(rows[which], np.arange(n + 1))
                 yield pa.RecordBatch.from_pylist(
-                    [
-                        {"label": int(label[at + i]), "sentences": int(count[i]), "sentence": sentence[which[a:b]].tolist(), "feature": index[a:b].tolist()}
-                        for i, (a, b) in enumerate(zip(*(lambda c: (c[:-1], c[1:]))(np.searchsorted(rows[which], np.arange(n + 1))), strict=True))
-                    ],
-                    pa.schema([("label", pa.int32()), ("sentences", pa.int64()), ("sentence", pa.list_(pa.int64())), ("feature", pa.list_(pa.int32()))]),
+                    [{"label": int(label[at + i]), "sentence": sentence[which[a:b]].tolist(), "feature": index[a:b].tolist()} for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))],
+                    pa.schema([("label", pa.int32()), ("sentence", pa.list_(pa.int64())), ("feature", pa.list_(pa.int32()))]),
                 )
 
     return instances
 
 
+def _distinct(which, index, rows, sentence) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the sentences with features, but for those whose features another one of the same
+    document has; a token of each, and for each hit which of all sentences with features it is in."""
+    numbers, token, where = np.unique(sentence[which], return_index=True, return_inverse=True)
+    if not len(numbers):
+        return numbers, token, where
+    with np.errstate(over="ignore"):
+        own = np.zeros(len(numbers), np.uint64)
+        np.add.at(own, where, K.mix(index.astype(np.uint64), 27))
+    token = which[token]
+    order = np.lexsort((numbers, own, rows[token]))
+    new = np.ones(len(order), bool)
+    new[1:] = (own[order[1:]] != own[order[:-1]]) | (rows[token][order[1:]] != rows[token][order[:-1]])
+    kept = np.sort(order[new])
+    return numbers[kept], token[kept], where
+
+
 def _hits(model: ToxicityModel, data, starts, ends) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and indices of the model's features in them."""
     tokens, indices = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -121,43 +143,41 @@ def _hits(model: ToxicityModel, data, starts, ends) -> tuple[np.ndarray, np.ndar
 
 
 def fit_noisy_or(docs: list, n_features: int, steps: int = 400, rate: float = 0.1, l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the noisy-or likelihood.
+    """Weights and bias by Adam on the noisy-or likelihood with a leak.
 
-    ``docs``: (label, number of sentences, sentence numbers, feature indices); the last two are
-    parallel, and sentences without features count through the number alone.
+    ``docs``: (label, sentence numbers, feature indices); the last two are parallel.
     """
-    sent, feat, doc_of, rest, labels = [], [], [], [], []
-    for d, (label, n, sentences, features) in enumerate(docs):
+    sent, feat, doc_of, labels = [], [], [], []
+    for d, (label, sentences, features) in enumerate(docs):
         own, where = np.unique(np.asarray(sentences, np.int64), return_inverse=True)
         sent.append(where + len(doc_of))
         feat.append(np.asarray(features, np.int64))
         doc_of += [d] * len(own)
-        rest.append(n - len(own))
         labels.append(label)
     sent, feat = np.concatenate(sent), np.concatenate(feat)
-    doc_of, rest, y = np.asarray(doc_of, np.int64), np.asarray(rest, float), np.asarray(labels, float)
+    doc_of, y = np.asarray(doc_of, np.int64), np.asarray(labels, float)
     weight_of = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    theta = np.zeros(n_features + 1)
-    theta[-1] = -4.0
+    theta = np.zeros(n_features + 2)  # weights, bias, leak
+    theta[-2:] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        s = theta[-1] + np.bincount(sent, weights=theta[feat], minlength=len(doc_of))
+        s = theta[-2] + np.bincount(sent, weights=theta[feat], minlength=len(doc_of))
         p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-        p0 = 1 / (1 + np.exp(-np.clip(theta[-1], -30, 30)))
-        log_clean = rest * np.log1p(-p0) + np.bincount(doc_of, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y))
+        leak = 1 / (1 + np.exp(-np.clip(theta[-1], -30, 30)))
+        log_clean = np.log1p(-leak) + np.bincount(doc_of, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y))
         clean = np.exp(log_clean)
         pull = weight_of * np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0)
         g_s = pull[doc_of] * p
         grad = np.empty_like(theta)
-        grad[:-1] = np.bincount(feat, weights=g_s[sent], minlength=n_features) + l2 / len(y) * theta[:-1]
-        grad[-1] = g_s.sum() + (pull * rest * p0).sum()
+        grad[:-2] = np.bincount(feat, weights=g_s[sent], minlength=n_features) + l2 * theta[:-2]
+        grad[-2:] = g_s.sum(), (pull * leak).sum()
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return theta[:-1], float(theta[-1])
+    return theta[:-2], float(theta[-2])
 
 
-def fit_toxicity(labelled: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 3000, features: int = 2048, z_least: float = 3.0) -> ToxicityModel:
+def fit_toxicity(labelled: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 3000, features: int = 2048, z_least: float = 2.5) -> ToxicityModel:
     """Model from rows with a label of 0 or 1; ``sample`` bounds the rows used of each class."""
     rows = labelled.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")).filter("text IS NOT NULL AND label IN (0, 1)")
     rows = rows.withColumn("h", F.xxhash64("id", F.lit(4)))
@@ -170,16 +190,16 @@ def fit_toxicity(labelled: DataFrame, id: str = "doc_id", text: str = "text", la
     counts = rows.mapInArrow(_count_features, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     p, q = F.col("pos") + 0.5, F.col("neg") + 0.5
     z = (F.log(p / (n[1] - F.col("pos") + 0.5)) - F.log(q / (n[0] - F.col("neg") + 0.5))) / F.sqrt(1 / p + 1 / q)
-    chosen = counts.filter("pos + neg >= 3").withColumn("z", z).filter(F.abs("z") >= z_least).orderBy(F.abs("z").desc(), "feature").limit(features).select("feature").toPandas()
+    chosen = counts.filter("pos + neg >= 3").withColumn("z", z).filter(F.col("z") >= z_least).orderBy(F.col("z").desc(), "feature").limit(features).select("feature").toPandas()
     hashes = np.sort(chosen["feature"].to_numpy(np.int64).view(np.uint64))
     if not len(hashes):
         return none
-    found = rows.mapInArrow(_instances(hashes), "label int, sentences long, sentence array<long>, feature array<int>").toArrow().combine_chunks()
-    label, count = found["label"].to_numpy(), found["sentences"].to_numpy()
+    found = rows.mapInArrow(_instances(hashes), "label int, sentence array<long>, feature array<int>").toArrow().combine_chunks()
+    label = found["label"].to_numpy()
     lists = found["sentence"].combine_chunks(), found["feature"].combine_chunks()
     sentence, feature = (x.flatten().to_numpy() for x in lists)
     at = lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py()
-    docs = [(label[i], count[i], sentence[at[i] : at[i + 1]], feature[at[i] : at[i + 1]]) for i in range(len(label))]
+    docs = [(label[i], sentence[at[i] : at[i + 1]], feature[at[i] : at[i + 1]]) for i in range(len(label))]
     weights, bias = fit_noisy_or(docs, len(hashes))
     return ToxicityModel(hashes, weights, bias)
 
@@ -198,21 +218,22 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", out:
     arrow = pa.struct([("score", pa.float64()), ("sentences", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))])
 
     def score(batches):
-        p0 = 1 / (1 + np.exp(-model.bias))
         for batch in batches:
             results = []
             for _, n, data, offsets in K.string_chunks(batch.column(text)):
                 starts, ends, rows, sentence = _tokens(data, offsets)
                 which, index = _hits(model, data, starts, ends)
-                numbers, first = np.unique(sentence, return_index=True)
-                rest = np.bincount(rows[first], minlength=n).astype(float)
-                hit, where = np.unique(sentence[which], return_inverse=True)
+                hit, token, where = np.unique(sentence[which], return_index=True, return_inverse=True)
                 s = model.bias + np.bincount(where, weights=model.weights[index], minlength=len(hit)) if len(hit) else np.zeros(0)
                 p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-                token = first[np.searchsorted(numbers, hit)]
+                token = which[token]
                 row = rows[token]
-                rest -= np.bincount(row, minlength=n)
-                log_clean = rest * np.log1p(-p0) + np.bincount(row, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n)
+                own, _, _ = _distinct(which, index, rows, sentence)
+                bad = (p >= 0.5) & np.isin(hit, own)
+                log_clean = np.bincount(row[bad], weights=np.log1p(-np.minimum(p[bad], 1 - 1e-12)), minlength=n)
+                highest = np.zeros(n)
+                np.maximum.at(highest, row, p)
+                scores = np.where(highest >= 0.5, -np.expm1(log_clean), highest)
                 marked = [[] for _ in range(n)]
                 if (p >= 0.5).any():
                     breaks = np.flatnonzero(_DELIMITER[data])
@@ -224,7 +245,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", out:
                         b = min(int(offsets[r + 1]), int(breaks[at]) + 1 if at < len(breaks) else len(data))
                         zero = chars[offsets[r]]
                         marked[r].append({"start": int(chars[a] - zero), "end": int(chars[b] - zero), "score": float(p[j])})
-                results += [{"score": float(-np.expm1(x)), "sentences": m} for x, m in zip(log_clean, marked, strict=True)]
+                results += [{"score": float(x), "sentences": m} for x, m in zip(scores, marked, strict=True)]
             keep = [i for i, name in enumerate(batch.schema.names) if name != out]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [pa.array(results, arrow)], names=[batch.schema.names[i] for i in keep] + [out])
 

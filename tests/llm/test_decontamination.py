@@ -1,16 +1,19 @@
 import random
+import time
+
+import numpy as np
 
 from corvane.llm.decontamination import best_occurrence, contaminated, normalised, pieces
 
 
 def slow(pattern, text):
-    prev = [0] * (len(text) + 1)
+    """Sellers' dynamic programming, a row at a time."""
+    t, place = np.frombuffer(text.encode("utf-32-le"), np.uint32), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, int)
     for i, p in enumerate(pattern, 1):
-        cur = [i]
-        for j, t in enumerate(text, 1):
-            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (p != t)))
-        prev = cur
-    return min(prev)
+        new = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (t != ord(p)))))
+        row = np.minimum.accumulate(new - place) + place
+    return int(row.min())
 
 
 def test_bit_parallel_distance_matches_dynamic_programming():
@@ -49,3 +52,23 @@ def test_edge_cases(spark):
     got = {(r.doc_id, r.item_id) for r in contaminated(docs, items).collect()}
     assert got == {(None, 1), (None, 4), (3, 1), (3, 4)}
     assert contaminated(docs.limit(0), items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_repeated_pieces_cost_one_pass(spark):
+    """A piece that stands thousands of times in a text, and several blocks of items."""
+    item = "the answer to the first question is written on page nine of the book " * 2
+    text = item[:20] * 8000 + " and then " + item.replace("page", "pege", 1)
+    items = spark.createDataFrame([(i, item if i == 3 else f"another item number {i} with some words of its own {i}") for i in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (2, item[:20] * 4000), (None, item)], "doc_id long, text string")
+    begun = time.time()
+    want = {(1, 3, 1), (None, 3, 0)}
+    assert {(r.doc_id, r.item_id, r.distance) for r in contaminated(docs, items).collect()} == want
+    assert time.time() - begun < 30
+    assert {(r.doc_id, r.item_id, r.distance) for r in contaminated(docs, items, block=500).collect()} == want
+
+
+def test_nulls_empty_tables_and_ties(spark):
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "say twice now say twice now", 1)], "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "say twice now"), (4, "say twice now")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.start) for r in contaminated(docs, items).orderBy("item_id").collect()] == [(3, 3, 0), (3, 4, 0)]
+    assert contaminated(docs.limit(0), items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0

@@ -1,4 +1,12 @@
-from corvane.llm.html import extract_main_text, main_text, path_scores
+import re
+import time
+from html import unescape
+
+import pytest
+
+from corvane.llm import html as H
+from corvane.llm.html import extract_main_text, main_text, op2_html_extraction, path_scores
+from corvane.llm.io import table
 
 
 def test_article_without_its_surroundings():
@@ -25,6 +33,7 @@ def test_scripts_may_hold_tags_and_markup_may_break():
 
 def test_path_scores_prefer_long_punctuated_paths():
     s = path_scores([10, 200, 180], [0, 9, 8], [("ul", "li"), ("div", "p"), ("div", "p")], radius=0)
+    assert path_scores([10, 200], [0, 9], [1, 2], [1.0, 0.01], radius=0)[2] < s[("div", "p")]
     assert s[("div", "p")] > s[("ul", "li")]
 
 
@@ -51,3 +60,56 @@ def test_class_words_count_whole_and_not_on_most_of_the_text():
     assert main_text(f"<article><p>{SHORT}</p></article><div class='comments'><p>{LONG}</p></div>") == SHORT
     assert main_text(f"<div class='widget'><article><p>{LONG}</p></article></div>") == LONG.strip()
     assert main_text(f"<div><p>{LONG}<span class='share'>Tell all</span></p><p>{LONG}</p></div>").split("\n") == [LONG.strip()] * 2
+
+
+def test_every_page_of_the_table(spark, sf):
+    """The template's article, cut out by hand: head line, paragraphs, line breaks inside blocks."""
+    want = {}
+    for r in table(spark, sf, "pages").collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html or "", re.S)[1]
+        blocks = re.split(r"</?(?:p|h1)>", inner)
+        texts = [" ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", b))).split()) for b in blocks]
+        want[r.page_id] = "\n".join(t for t in texts if t)
+    out = {r.page_id: (r.text, r.n_chars) for r in op2_html_extraction(spark, sf).collect()}
+    assert out == {k: (t, len(t)) for k, t in want.items()}
+
+
+def _noisy(article: bool) -> str:
+    """A page whose surroundings no tag and no class word names."""
+    body = f"<h2>Head</h2><p>{LONG}</p><p>{SHORT}</p><ul><li>one item</li><li>two items</li></ul><p>{LONG}</p>"
+    before = "<div class='x1'><span>Mon</span> <a href='/'>Start</a></div>"
+    inside = "<div class='x7'><p>Nice one.</p><p>Great!</p></div><div class='x8'><a href='/1'>One more</a> <a href='/2'>And more</a></div>"
+    name = "article" if article else "div"
+    return f"<body>{before}<{name}>{inside}{body}{inside}</{name}><div class='x9'>Call now.</div></body>"
+
+
+@pytest.mark.parametrize("article", [True, False])
+def test_path_scores_decide(article, monkeypatch):
+    want = ["Head", LONG.strip(), SHORT, "one item", "two items", LONG.strip()]
+    assert main_text(_noisy(article)).split("\n") == want[0 if article else 0 :]
+    monkeypatch.setattr(H, "path_scores", lambda lengths, marks, paths, factors=None, **_: dict.fromkeys(paths, 1.0))
+    assert main_text(_noisy(article)).split("\n") != want
+
+
+def test_constant_scores_change_the_pages_of_the_table(spark, sf, monkeypatch):
+    pages = [r.html for r in table(spark, sf, "pages").collect()]
+    own = [main_text(p) for p in pages]
+    monkeypatch.setattr(H, "path_scores", lambda lengths, marks, paths, factors=None, **_: dict.fromkeys(paths, 1.0))
+    assert all(main_text(p) != t for p, t in zip(pages, own, strict=True))
+
+
+def test_time_is_linear_in_nesting_and_length():
+    for tag in ("div", "span", "b", "li", "section", "p"):
+        begun = time.time()
+        assert main_text("".join(f"<{tag}>word {i} " for i in range(8000))).count("word") == 8000
+        assert time.time() - begun < 2
+    begun = time.time()
+    assert main_text(f"<article>{'<p>' + SHORT * 30 + '</p>' * 1}</article>" * 1 + "<div>" * 8000 + "x" + "</div>" * 8000).startswith("Short one")
+    assert time.time() - begun < 2
+
+
+def test_repeated_rows_and_very_long_pages(spark):
+    page = f"<nav>a</nav><article>{f'<p>{LONG}</p>' * 3000}</article>"
+    df = spark.createDataFrame([(1, page), (1, page), (2, None)], "page_id long, html string")
+    out = [r.text for r in extract_main_text(df).collect()]
+    assert out[0] == out[1] == "\n".join([LONG.strip()] * 3000) and out[2] == ""

@@ -1,4 +1,9 @@
-from corvane.llm.secrets import base_spans, find_secrets, joined, linked_spans, redact
+import hashlib
+import random
+import re
+
+from corvane.llm.io import table
+from corvane.llm.secrets import ROLE, base_spans, find_secrets, joined, linked_spans, op1_secret_scans, redact, weak_parts
 
 
 def test_base_patterns_and_limits():
@@ -50,3 +55,58 @@ def test_short_values_one_case_tokens_and_long_parts():
     name, url = "n" * 100, "https://db.example.com/" + "p" * 300
     assert kinds(f"user={name} {low} {url}") == {"identity": name, "opaque": low, "endpoint": url}
     assert kinds(f"user=svc;AccountKey={long}") == {"identity": "svc", "opaque": long}
+
+
+def slow_base(text):
+    """The contract word by word, without hints and shortcuts."""
+    found = []
+    for kind, order, pattern, group, least in (
+        ("assign", 0, r"((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
+        ("access", 1, r"AKIA[A-Z0-9]+", 0, 18),
+        ("hex", 2, r"[0-9a-f]+", 0, 16),
+    ):
+        found += [(m.start(), order, m.end(), kind) for m in re.finditer(pattern, text) if len(m.group(group)) >= least]
+    return [(s, e, k) for s, _, e, k in sorted(found)]
+
+
+def slow_links(text, base, reach):
+    """All pairs of parts."""
+    weak = [w for w in weak_parts(text) if w[2] == "endpoint" or not any(s < w[1] and w[0] < e for s, e, _ in base)]
+    scope = lambda s: len([m for m in re.finditer(r"\n[ \t]*\n", text) if m.start() < s])
+    needs = {"identity": ("secret",), "opaque": ("identity",), "short": ("identity",), "endpoint": ("identity", "secret")}
+    near = lambda w, role: any(
+        ROLE[k] == role and (s, e) != w[:2] and scope(s) == scope(w[0]) and s <= w[1] + reach and e >= w[0] - reach for s, e, k in base + weak
+    )
+    return [w for w in weak if all(near(w, role) for role in needs[w[2]])]
+
+
+def test_all_documents_match_brute_force(spark, sf):
+    docs = {r.doc_id: r.text or "" for r in table(spark, sf, "documents").collect()}
+    out = {r.doc_id: r for r in op1_secret_scans(spark, sf).collect()}
+    assert out.keys() == docs.keys()
+    for doc, text in docs.items():
+        base = slow_base(text)
+        links = slow_links(text, base, 200)
+        r = out[doc]
+        assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex, r.n_linked) == tuple(sum(k == x for *_, x in base) for k in ("assign", "access", "hex")) + (len(links),)
+        assert set(r.spans.split(",")) - {""} == {f"{k}:{s}:{e}" for s, e, k in base + links}
+
+
+def test_links_of_random_parts_match_brute_force():
+    rng = random.Random(6)
+    words = ["user = alice", "login: bob2", "Ab3dEf6hIj9lMn2pQr5tUv", "password=hunter2", "host = db.example.com", "https://x.example.com/" + "p" * 90, "token=" + "q" * 60, "0123456789abcdef", "user = k3j9x0q7w2m5z8y1t6r4", "filler text", "\n", "\n\n", "s" * 30 + "1"]
+    for _ in range(400):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(2, 25)))
+        base = base_spans(text)
+        assert base == slow_base(text)
+        for reach in (5, 40, 200):
+            assert linked_spans(text, base, reach) == slow_links(text, base, reach)
+
+
+def test_parts_that_share_a_span_or_hide_each_other():
+    one, two = "Ab3dEf6hIj9lMn2pQr5tUv", "Zb3dEf6hIj9lMn2pQr5tUv"
+    t = f"user = {one} then {two}"
+    assert (t.index(two), len(t), "opaque") in linked_spans(t, base_spans(t), 200)
+    t = "token=" + "q" * 300 + " 0123456789abcdef " + "x" * 150 + " user = alice"
+    assert [k for *_, k in linked_spans(t, base_spans(t), 200)] == ["identity"]
