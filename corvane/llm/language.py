@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from . import kernels as K
 from .io import crc_mod, table, written
 
+PARTS = 256
 BUCKETS = 1 << 16
 _SHAPE = np.full(256, 0x20, np.uint32)
 _SHAPE[K.IS_LETTER] = np.arange(256)[K.IS_LETTER]
@@ -131,8 +132,11 @@ def train_softmax(rows: list, languages: list[str], dim: int = 16, epochs: int =
 def fit_language(rows: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 400, **how) -> LanguageModel:
     """Model from at most ``sample`` rows of each language."""
     known = rows.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).withColumn("h", F.xxhash64("id", F.lit(8)))
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    ids = written(known.select("id", "lang", "h").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).select("id").distinct())
+    # first inside each of many parts of a language, then of what these leave: no task sees a whole language
+    part = F.pmod(F.col("h"), F.lit(PARTS)).alias("part")
+    inside, first = Window.partitionBy("lang", "part").orderBy("h", "id"), Window.partitionBy("lang").orderBy("h", "id")
+    few = known.select("id", "lang", "h", part).withColumn("n", F.row_number().over(inside)).filter(F.col("n") <= sample)
+    ids = written(few.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).select("id").distinct())
     found = known.join(ids, "id", "left_semi").select("lang", "text").repartition(8).mapInArrow(_counted, "lang string, buckets array<int>, counts array<int>").toPandas()
     languages = sorted(found["lang"].unique().tolist())
     data = [(languages.index(x), np.asarray(b, np.int64), np.asarray(c, float)) for x, b, c in zip(found["lang"], found["buckets"], found["counts"], strict=True)]

@@ -8,6 +8,8 @@
    from here on, so thousands of copies cost one row.
 3. *Bands.*  Groups of registers are hashed to keys; classes that share a key are candidates.
    With 5 registers a band and 32 bands a pair at similarity 0.8 is missed with odds of 3e-6.
+   Sets of fewer than ``SMALL`` shingles, whose registers are mostly borrowed, also meet by their
+   smallest hashes, so many that linked sets share one for certain, and are not judged by estimates.
    Random hubs stand for a key's members, so candidates stay linear in the members.
 4. *Estimate.*  The share of equal registers, corrected for the expected accidental collisions,
    picks each class's best hub; pairs whose estimate is four standard errors too low are dropped.
@@ -41,6 +43,7 @@ BANDS = REGISTERS // PER_BAND
 EMPTY = np.uint16(0xFFFF)
 PROBES = 64
 HUBS, FIRST = 3, 3
+SMALL = 32
 CLUSTER_BLOCK = 1024
 _BUCKET = np.arange(REGISTERS, dtype=np.uint64)
 _PROBE = np.stack([(K.mix(_BUCKET, 1000 + t) % np.uint64(REGISTERS)).astype(np.int64) for t in range(PROBES)])
@@ -96,11 +99,11 @@ def registers(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-_SKETCH = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("registers", pa.binary())])
-_SKETCH_DDL = "id long, n long, set_a long, set_b long, registers binary"
+_SKETCH = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("registers", pa.binary()), ("least", pa.list_(pa.int64()))])
+_SKETCH_DDL = "id long, n long, set_a long, set_b long, registers binary, least array<long>"
 
 
-def _sketch(width: int):
+def _sketch(width: int, percent: int):
     def sketch(batches):
         for batch in batches:
             ids = batch.column("id")
@@ -113,7 +116,11 @@ def _sketch(width: int):
                         total = np.concatenate(([np.uint64(0)], np.cumsum(K.mix(keys, salt))))
                     sums.append((total[cuts[1:]] - total[cuts[:-1]]).view(np.int64))
                 found = registers(keys, rows, n)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(np.diff(cuts)), pa.array(sums[0]), pa.array(sums[1]), pa.array([r.tobytes() for r in found], pa.binary())], schema=_SKETCH)
+                size = np.diff(cuts)
+                # two sets that share percent of both lack few of each other's hashes, so their smallest meet
+                few = np.where((size > 0) & (size < SMALL), size + 1 + (-size * percent // 100), 0)
+                least = [keys[a : a + k].view(np.int64) for a, k in zip(cuts[:-1], few, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(np.diff(cuts)), pa.array(sums[0]), pa.array(sums[1]), pa.array([r.tobytes() for r in found], pa.binary()), pa.array(least, pa.list_(pa.int64()))], schema=_SKETCH)
 
     return sketch
 
@@ -158,7 +165,7 @@ def _estimated(batches):
             continue
         equal = (_regs(batch.column("regs_a")) == _regs(batch.column("regs_b"))).sum(axis=1)
         n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(estimate(equal, n_a, n_b))], names=["a", "b", "j"])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(estimate(equal, n_a, n_b)), pa.array(np.minimum(n_a, n_b))], names=["a", "b", "j", "n"])
 
 
 def _near(percent: int):
@@ -173,7 +180,7 @@ def _near(percent: int):
         own = np.frombuffer(columns["registers"][f], np.uint16)
         equal = (np.frombuffer(b"".join([columns["registers"][m] for m in members]), np.uint16).reshape(-1, REGISTERS) == own).sum(axis=1)
         j = estimate(equal, n[members], np.full(len(members), n[f]))
-        fine = j >= _lowest(percent)
+        fine = (j >= _lowest(percent)) | (np.minimum(n[members], n[f]) < SMALL)
         return members[fine], j[fine]
 
     return near
@@ -244,13 +251,14 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     over links and ``kept`` marks the row that has it as its id.
     """
     docs = df.select(F.coalesce(F.col(id).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sketches = written(docs.mapInArrow(_sketch(width), _SKETCH_DDL))
-    classes = sketches.filter("n > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
-    reps = written(sketches.join(classes.withColumnRenamed("rep", "id"), ["set_a", "set_b", "id"]).select(F.col("id").alias("rep"), "n", "registers"))
+    sketches = written(docs.mapInArrow(_sketch(width, percent), _SKETCH_DDL))
+    classes = sketches.filter("n > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    reps = written(sketches.join(classes.select("set_a", "set_b", F.col("rep").alias("id")), ["set_a", "set_b", "id"]).select(F.col("id").alias("rep"), "n", "registers", "least").dropDuplicates(["rep"]))
 
     bytes_of = 2 * PER_BAND
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring(F.col("registers"), i * bytes_of + 1, F.lit(bytes_of)), i))
-    banded = reps.select("rep", "n", F.explode(keys).alias("key"))
+    small = F.transform("least", lambda x: F.xxhash64(x, F.lit("small")))
+    banded = reps.select("rep", "n", F.explode(F.concat(keys, small)).alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     active = written(banded.join(shared, "key"))
 
@@ -260,7 +268,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     pairs = to_hub.filter(close).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).distinct()
     regs = reps.join(active.select("rep").distinct(), "rep", "left_semi")
     side = lambda s: regs.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("registers").alias(f"regs_{s}"))
-    judged = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated, "a long, b long, j double").filter(F.col("j") >= _lowest(percent)))
+    judged = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated, "a long, b long, j double, n long").filter((F.col("j") >= _lowest(percent)) | (F.col("n") < SMALL)))
 
     wanted = active.select(F.col("rep").alias("id")).distinct()
     sets = written(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<long>"))
@@ -273,8 +281,13 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     clusters = merge_components(found, across)
     found = merge_components(found, _links_across(clusters, found, sets, percent))
 
-    labelled = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
-    joined = sketches.join(labelled, ["set_a", "set_b"], "left")
+    labelled = written(classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", "copies", F.coalesce("component", "rep").alias("component")))
+    # classes with more than a thousandth of all rows are a thousand at most: their rows stay where they are
+    often = F.broadcast(labelled.filter(F.col("copies") > sketches.count() / 1000).select("set_a", "set_b", "component"))
+    key, rows = ["set_a", "set_b"], sketches.select("id", "n", "set_a", "set_b")
+    full = rows.filter("n > 0")
+    joined = full.join(often, key).unionByName(full.join(often, key, "left_anti").join(labelled.join(often, key, "left_anti").drop("copies"), key))
+    joined = joined.unionByName(rows.filter("n = 0").withColumn("component", F.lit(None).cast("long")))
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     real = lambda c: F.when(c != NULL_ID, c)
     return joined.select(real(F.col("id")).alias(id), F.col("n").alias("n_shingles"), real(component).alias("component_id"), (component == F.col("id")).alias("kept"))

@@ -3,11 +3,12 @@ from collections import Counter
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from corvane.llm.io import table
+from corvane.llm.io import crc_mod, table
 from corvane.llm.language import fit_language, identify_language, op8_language_id
-from corvane.llm.quality import LineField, op9_quality_rules, rate_quality, train_field, viterbi
-from corvane.llm.toxicity import ToxicityModel, fit_noisy_or, fit_toxicity, op4_toxicity, score_toxicity
+from corvane.llm.quality import LineField, fit_lines, op9_quality_rules, rate_quality, train_field, viterbi
+from corvane.llm.toxicity import ToxicityModel, fit_noisy_or, fit_toxicity, labelled_documents, op4_toxicity, score_toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -46,7 +47,7 @@ def test_toxicity_edge_cases(spark):
 
 
 def test_noisy_or_prefers_the_feature_of_positive_bags():
-    docs = [(1, 3, [0, 1], [0, 1]), (0, 3, [0], [1]), (1, 2, [1], [0]), (0, 2, [], [])] * 10
+    docs = [(1, [0, 1], [0, 1]), (0, [0], [1]), (1, [1], [0]), (0, [], [])] * 10
     weights, bias = fit_noisy_or(docs, 2)
     assert weights[0] > 2 and weights[0] > weights[1] and bias < 0
 
@@ -56,6 +57,27 @@ def test_toxicity_query(spark, sf):
     assert out.count() == 200 and {"doc_id", "held_out", "score", "predicted"} <= set(out.columns)
 
 
+SF_LARGER = "/root/testdata/sf0.01"
+
+
+def test_toxicity_held_out_and_lengths(spark):
+    """By labels of the held-out fifth; repeating a text changes nothing, long clean texts stay clean."""
+    labels = table(spark, SF_LARGER, "labels").select("doc_id", "toxic")
+    docs = table(spark, SF_LARGER, "documents")
+    out = op4_toxicity(spark, SF_LARGER)
+    rows = out.join(labels, "doc_id").join(docs.select("doc_id", F.size(F.split("text", " ")).alias("words")), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    toxic, clean = [r for r in held if r.toxic], [r for r in held if not r.toxic]
+    assert sum(r.predicted for r in toxic) >= 0.75 * len(toxic) and sum(r.predicted for r in clean) <= 0.03 * len(clean)
+    long = [r for r in rows if not r.toxic and r.words > 3000]
+    assert long and not any(r.predicted for r in long)
+    assert all((r.predicted == 1) == bool(r.sentences) for r in out.collect())
+    model = fit_toxicity(labelled_documents(spark, docs, SF_LARGER))
+    once = docs.filter("length(text) < 2000").select("doc_id", F.concat("text", F.lit("\n")).alias("text"))
+    scores = lambda df: {r.doc_id: r.toxicity.score for r in score_toxicity(df, model).collect()}
+    assert scores(once) == scores(once.withColumn("text", F.repeat("text", 50)))
+
+
 def test_language_held_out_accuracy(spark, sf):
     out = op8_language_id(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in out) >= 0.9 * len(out)
@@ -94,6 +116,19 @@ def test_quality_measures_match_brute_force(spark, sf):
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r.base_failed and r.kept)
 
 
+def test_quality_verdict_on_held_out_labels(spark):
+    """A field that never saw a fifth of the labels keeps its good documents and drops its bad ones."""
+    docs = table(spark, SF_LARGER, "documents").select("doc_id", "text")
+    labels = table(spark, SF_LARGER, "labels").select("doc_id", "quality")
+    known = docs.join(labels, "doc_id").withColumn("held", crc_mod(F.col("doc_id"), 5) == 0)
+    field = fit_lines(known.filter("NOT held").drop("held"))
+    rows = rate_quality(known.filter("held").withColumnRenamed("quality", "label"), field).collect()
+    judged = [r for r in rows if not r.quality.base_failed]
+    good, bad = [r for r in judged if r.label == 1], [r for r in judged if r.label == 0]
+    assert len(good) > 30 and sum(r.quality.kept for r in good) >= 0.95 * len(good)
+    assert bad and sum(not r.quality.kept for r in bad) >= 0.7 * len(bad)
+
+
 def test_quality_edge_cases(spark):
     field = LineField(np.zeros(11), np.array([0.0, 1.0]), np.zeros((2, 2)))
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "a b\na b\n\n", 0), (4, "ä " * 100000, 0)], "doc_id long, text string, quality int")

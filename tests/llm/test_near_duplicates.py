@@ -80,3 +80,19 @@ def test_components(spark):
     got = {r.node: r.component for r in more.collect()}
     assert got[11] == 1 and got[500] == 100
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_links_of_very_small_sets_are_exact(spark):
+    """Texts of few words, where one shingle more or less decides, against all pairs."""
+    rng = random.Random(12)
+    rows, n = [], 0
+    for _ in range(700):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(2, 14))]
+        rows.append((n, " ".join(words)))
+        rows.append((n + 1, " ".join(words + [f"x{n}"])))
+        n += 2
+    sets = [{" ".join(w[i : i + 2]) for i in range(len(w) - 1)} for w in (t.split() for _, t in rows)]
+    out = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2, percent=80).collect()}
+    for i in range(0, n, 2):
+        a, b = sets[i], sets[i + 1]
+        assert (out[i + 1] == i) == (100 * len(a & b) >= 80 * len(a | b)) and out[i] == i
