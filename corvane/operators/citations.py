@@ -60,12 +60,20 @@ def word_rows(df: DataFrame, id, text: str) -> DataFrame:
     pattern = r"[\p{L}\p{N}]+"
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     gaps = F.split(F.col(text), pattern, -1)
-    lengths = F.transform(F.arrays_zip(gaps.alias("g"), F.concat(found, F.array(F.lit(""))).alias("w")), lambda x: F.struct(F.length(x.g).alias("g"), F.length(x.w).alias("l"), x.w.alias("w")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<w:string,a:int,b:int>>").alias("out"))
-    placed = F.aggregate(lengths, zero, lambda acc, x: F.struct((acc.at + x.g + x.l).alias("at"), F.concat(acc.out, F.array(F.struct(x.w.alias("w"), (acc.at + x.g).alias("a"), (acc.at + x.g + x.l).alias("b")))).alias("out")), lambda acc: acc.out)
-    kept = F.filter(placed, lambda x: F.length(x.w) >= 2)
-    rows = df.select(*ids, F.posexplode(kept).alias("n", "x"))
-    return rows.select(*ids, "n", F.lower("x.w").alias("word"), F.col("x.a").alias("start"), F.col("x.b").alias("end"))
+    rows = df.select(*ids, F.posexplode(F.arrays_zip(gaps.alias("g"), found.alias("w"))).alias("k", "x"))
+    line = Window.partitionBy(*ids).orderBy("k")
+    upto = F.sum(F.length("x.g") + F.coalesce(F.length("x.w"), F.lit(0))).over(line).cast("int")
+    placed = rows.withColumn("end", upto).filter(F.length("x.w") >= 2)
+    return placed.select(*ids, (F.row_number().over(line) - 1).alias("n"), F.lower("x.w").alias("word"), (F.col("end") - F.length("x.w")).alias("start"), "end")
+
+
+def _grams(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids..., n, size, gram): the 3-grams, 2-grams and words of 5 letters that begin at each word."""
+    line = Window.partitionBy(*ids).orderBy("n")
+    one, two, three = F.col("word"), F.lead("word", 1).over(line), F.lead("word", 2).over(line)
+    wide = rows.select(*ids, "n", F.when(F.length(one) >= 5, one).alias("g1"), F.concat(one, F.lit(" "), two).alias("g2"), F.concat(one, F.lit(" "), two, F.lit(" "), three).alias("g3"))
+    each = F.array(*(F.struct(F.lit(i).alias("size"), F.col(f"g{i}").alias("gram")) for i in (1, 2, 3)))
+    return wide.select(*ids, "n", F.inline(F.filter(each, lambda x: x.gram.isNotNull())))
 
 
 def shingle_overlap(snippets: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -76,18 +84,9 @@ def shingle_overlap(snippets: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     a = word_rows(snippets, ["snippet_id", "chunk_id"], "snippet")
     b = word_rows(chunks.join(snippets.select("chunk_id").distinct(), "chunk_id", "left_semi"), "chunk_id", "text")
-
-    def grams(rows, ids, n):
-        w = Window.partitionBy(*ids).orderBy("n")
-        key = F.concat_ws(" ", *(F.lead("word", i).over(w) for i in range(n)))
-        out = rows.withColumn("gram", F.when(F.lead("word", n - 1).over(w).isNotNull(), key)).filter("gram IS NOT NULL")
-        return out.filter(F.length("gram") >= 5) if n == 1 else out
-
-    found = None
-    for n in (3, 2, 1):
-        wanted = grams(a, ["snippet_id", "chunk_id"], n).select("snippet_id", "chunk_id", "gram").distinct()
-        hit = grams(b, ["chunk_id"], n).join(wanted, ["chunk_id", "gram"]).select("snippet_id", "chunk_id", F.explode(F.sequence("n", F.col("n") + n - 1)).alias("n"), F.lit(n).alias("size")).distinct()
-        found = hit if found is None else found.unionByName(hit)
+    wanted = _grams(a, ["snippet_id", "chunk_id"]).select("snippet_id", "chunk_id", "size", "gram").distinct()
+    hit = _grams(b, ["chunk_id"]).join(wanted, ["chunk_id", "size", "gram"])
+    found = hit.select("snippet_id", "chunk_id", F.explode(F.sequence("n", F.col("n") + F.col("size") - 1)).alias("n"), "size").distinct()
     best = found.withColumn("top", F.max("size").over(Window.partitionBy("snippet_id", "chunk_id"))).filter("size = top").select("snippet_id", "chunk_id", "n").distinct()
     tokens = best.join(b.select("chunk_id", "n", "start", "end"), ["chunk_id", "n"])
     line = Window.partitionBy("snippet_id", "chunk_id").orderBy("n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,12 +46,34 @@ def eval_report(questions: DataFrame, ks=(1, 5, 10), required_ks=(5, 10, 12)) ->
     return questions.groupBy("config").agg(*parts)
 
 
+#: Bins into which the values of a group are counted before only those at a quantile are ordered.
+BINS = 4096
+
+
 def floor_percentile(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """sorted[min(n - 1, floor(n * q))] for each group."""
-    w = Window.partitionBy(*by)
-    placed = df.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    at = lambda q: F.max(F.when(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * q)), F.col(value)))
-    return placed.groupBy(*by).agg(F.count("*").alias("n"), *(at(q).alias(name) for name, q in quantiles.items()), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    """sorted[min(n - 1, floor(n * q))] for each group.
+
+    Groups may be few and large, so none is ordered whole: counts of ``BINS`` bins between a group's least
+    and largest value tell where a quantile lies, and of that bin the distinct values are counted
+    and ordered.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    stats = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("max"), F.avg("_v").alias("mean"))
+    same = lambda a, b: reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in by), F.lit(True))
+    joined = rows.alias("r").join(stats.select(*by, "_lo", F.col("max").alias("_hi")).alias("s"), same(rows, stats)).select("r.*", "_lo", "_hi")
+    spread = F.col("_hi").cast("double") - F.col("_lo")
+    placed = joined.select(*by, "_v", F.when(spread > 0, F.least(F.lit(BINS - 1), F.floor((F.col("_v").cast("double") - F.col("_lo")) / spread * BINS))).otherwise(0).alias("_bin"))
+    upto = Window.partitionBy(*by).orderBy("_bin")
+    bins = placed.groupBy(*by, "_bin").agg(F.count("*").alias("_k")).withColumn("_before", F.sum("_k").over(upto) - F.col("_k"))
+    wanted = stats.select(*by, F.explode(F.array(*(F.struct(F.lit(name).alias("q"), F.least(F.col("n") - 1, F.floor(F.col("n") * q)).alias("i")) for name, q in quantiles.items()))).alias("_w"))
+    at = bins.alias("b").join(wanted.alias("w"), same(bins, wanted) & (F.col("_w.i") >= F.col("_before")) & (F.col("_w.i") < F.col("_before") + F.col("_k")))
+    at = at.select(*(bins[c] for c in by), "_bin", F.col("_w.q").alias("_q"), (F.col("_w.i") - F.col("_before")).alias("_off"))
+    values = placed.groupBy(*by, "_bin", "_v").agg(F.count("*").alias("_k"))
+    near = values.join(at, same(values, at) & (values["_bin"] == at["_bin"])).select(*(values[c] for c in by), "_q", "_off", "_v", "_k")
+    below = F.sum("_k").over(Window.partitionBy(*by, "_q").orderBy("_v")) - F.col("_k")
+    hit = near.withColumn("_below", below).filter((F.col("_off") >= F.col("_below")) & (F.col("_off") < F.col("_below") + F.col("_k")))
+    found = hit.groupBy(*by).agg(*(F.max(F.when(F.col("_q") == name, F.col("_v"))).alias(name) for name in quantiles))
+    return stats.join(found, same(stats, found)).select(*(stats[c] for c in by), "n", *quantiles, "max", "mean")
 
 
 def latency_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:

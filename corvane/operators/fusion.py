@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens, estimate_tokens, hit_header
-from .lexical import top_per_group
+from .lexical import search_chunks, top_per_group
+from .vectors import knn_among, knn_exact
 
 RRF_K = 60
 SMALL_DOCUMENT = 8
@@ -170,9 +171,45 @@ def context_block(hits: DataFrame, header: Column | None = None) -> DataFrame:
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.t), SEPARATOR).alias("context"))
 
 
-def hybrid_search(queries: DataFrame, lexical: DataFrame, dense: DataFrame, chunks: DataFrame, docs: DataFrame, now: int, k: int = 8, answer: str | None = None) -> DataFrame:
-    """Fused, weighted and diversified hits of two ranked lists: (query_id, rank, chunk_id, doc_id, score)."""
-    fused = rrf_fuse([lexical, dense], 64)
-    meta = chunks.select("chunk_id", "doc_id", "ordinal", F.col("text"), "language").join(docs.select("doc_id", "title", "added_at"), "doc_id")
+def hybrid_search(
+    queries: DataFrame,
+    chunks: DataFrame,
+    docs: DataFrame,
+    vectors: DataFrame,
+    query_vectors: DataFrame,
+    now: int,
+    k: int = 8,
+    summaries: DataFrame | None = None,
+    documents: int = 5,
+    least: float = 0.2,
+    pair_scores: DataFrame | None = None,
+    answer: str | None = None,
+    cap: int = 3,
+    radius: int = 1,
+) -> DataFrame:
+    """The whole search: (query_id, rank, chunk_id, doc_id, score, origin).
+
+    ``summaries`` (doc_id, embedding) narrow each query to its ``documents`` nearest ready documents of
+    at least ``least`` similarity; a query without any is not narrowed.  Chunks found by words
+    (BM25) and by ``vectors`` (chunk_id, doc_id, embedding) are fused, weighted, reranked by
+    ``pair_scores`` (query_id, chunk_id, pair_score) where given, and dealt out over documents.  The
+    other chunks of small documents and the neighbours of the hits follow the first hit of their document.
+    """
+    ready = docs.filter(F.col("status") == "ready")
+    vectors = vectors.join(ready.select("doc_id"), "doc_id", "left_semi")
+    candidates = min(64, max(k * 4, k))
+    allowed = None
+    if summaries is not None:
+        own = summaries.join(ready.select("doc_id"), "doc_id", "left_semi")
+        allowed = knn_exact(query_vectors, own, documents, "doc_id", least=least).select("query_id", "doc_id")
+    lexical = search_chunks(queries, chunks, docs, candidates, cap, allowed=allowed)
+    dense = knn_among(query_vectors, vectors, allowed, candidates, cap, "chunk_id")
+    fused = rrf_fuse([lexical, dense], candidates)
+    meta = chunks.select("chunk_id", "doc_id", "ordinal", "text", "language").join(docs.select("doc_id", "title", "added_at"), "doc_id")
     weighed = apply_heuristics(fused.join(meta, "chunk_id").join(queries, "query_id"), now, answer)
-    return diversify_by_document(weighed.select("query_id", "rank", "chunk_id", "doc_id", "ordinal", "score"), k)
+    if pair_scores is not None:
+        weighed = rerank_with_scores(weighed, pair_scores)
+    hits = diversify_by_document(weighed.select("query_id", "rank", "chunk_id", "doc_id", "ordinal", "score"), k)
+    whole = expand_small_documents(hits, chunks)
+    near = expand_neighbours(hits, chunks, radius).join(whole.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    return interleave_by_document(hits, whole.unionByName(near)).select("query_id", "rank", "chunk_id", "doc_id", "score", "origin")

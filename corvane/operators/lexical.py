@@ -1,9 +1,12 @@
 """Lexical search for whole tables of queries.
 
-Postings are a table (term, chunk_id, tf, positions).  Queries join them on the term; document
-frequencies and lengths come from the same postings.  Frequent terms make long posting lists:
-the join is an ordinary shuffled join (AQE splits skewed terms), scores are partially summed
-before they are shuffled, and only queries' own terms are read.
+A search reads the corpus once: chunks are tokenised in the map stage, only tokens that some query
+has go on (by a broadcast of the distinct query terms where their size allows it), and one shuffle
+by document brings a document's tokens together.  Term counts, scores and the cap of a document
+follow from that partitioning without another shuffle, statistics come from the same exchange, and
+the last shuffle carries at most k rows a query and task.  Frequent terms are no hot keys, since
+nothing is dealt out by term.  ``build_postings`` gives the postings (term, chunk_id, tf, positions)
+as a table of their own, for proximity ranks and other uses.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import classify_doc_type, collapse, contains_literal, content_tokens
+from ..functions.text import classify_doc_type, collapse, content_tokens
 
 K1, B = 1.2, 0.75
 MARK, UNMARK = "⟦", "⟧"
@@ -27,22 +30,46 @@ def or_query_terms(queries: DataFrame, id: str = "query_id", text: str = "query"
     return queries.select(id, F.explode(F.array_distinct(content_tokens(text))).alias("term"))
 
 
-def lexical_match(terms: DataFrame, postings: DataFrame) -> DataFrame:
+def lexical_match(terms: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id) of chunks that share a term."""
-    return terms.join(postings, "term").select("query_id", "chunk_id").distinct()
+    return small_side(terms).join(matched_terms(terms, chunks), "term").select("query_id", "chunk_id").distinct()
 
 
-def lexical_rank(terms: DataFrame, postings: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """BM25 scores (query_id, chunk_id, score)."""
-    lengths = postings.groupBy("chunk_id").agg(F.sum("tf").alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    wanted = postings.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
+#: Rows and characters of a user's table up to which it is broadcast.
+SMALL_ROWS, SMALL_CHARS = 200_000, 8 << 20
+
+
+def small_side(df: DataFrame, text: str = "term") -> DataFrame:
+    """``df`` marked for a broadcast if a count of its rows and characters allows it."""
+    n, chars = df.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
+    return F.broadcast(df) if n <= SMALL_ROWS and chars <= SMALL_CHARS else df
+
+
+def matched_terms(terms: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, len, term, tf) of the query terms in each chunk, dealt out by document.
+
+    ``len`` is the number of content tokens of the chunk.  Every chunk with a token also has a row with
+    an empty term, from which the statistics of the corpus are taken.
+    """
+    wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    tokens = chunks.select("doc_id", "chunk_id", content_tokens("text").alias("tokens")).filter(F.size("tokens") > 0)
+    rows = tokens.select("doc_id", "chunk_id", F.size("tokens").alias("len"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
+    return rows.join(small_side(wanted), "term", "left_semi").repartition("doc_id").groupBy("doc_id", "chunk_id", "len", "term").agg(F.count("*").alias("tf"))
+
+
+def lexical_rank(terms: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """BM25 scores (query_id, doc_id, chunk_id, score) of all chunks that share a term with a query."""
+    matched = matched_terms(terms, chunks)
+    stats = matched.filter("term = ''").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    matched = matched.filter("term <> ''")
+    df = matched.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # one row of statistics, and one row for each term of each query
+    asked = terms.join(df, "term").join(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), "avg_len")
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    # one row of statistics: its size is fixed
-    scored = terms.join(df, "term").join(wanted.select("term", "chunk_id", "tf"), "term").join(lengths, "chunk_id").join(F.broadcast(stats))
-    return scored.groupBy("query_id", "chunk_id").agg(F.sum(idf * gain).alias("score"))
+    n, chars = terms.agg(F.count("*"), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
+    asked = F.broadcast(asked) if n <= SMALL_ROWS and chars <= SMALL_CHARS else asked
+    return matched.join(asked, "term").groupBy("query_id", "doc_id", "chunk_id").agg(F.sum(F.col("idf") * gain).alias("score"))
 
 
 def cover_density(terms: DataFrame, postings: DataFrame) -> DataFrame:
@@ -66,23 +93,32 @@ def per_document_cap(hits: DataFrame, cap: int, by: str = "query_id") -> DataFra
     return top_per_group(hits, [by, "doc_id"], [F.desc(F.round("score", 9)), "chunk_id"], cap, "_in_doc").drop("_in_doc")
 
 
-def search_chunks(queries: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = 10, cap: int | None = 3, focus: DataFrame | None = None, workspace: int | None = None) -> DataFrame:
+def search_chunks(queries: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = 10, cap: int | None = 3, focus: DataFrame | None = None, workspace: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """Top-k chunks by BM25 for every query: (query_id, rank, chunk_id, doc_id, score).
 
-    Only ready documents count, optionally of one workspace or of a focus table (doc_id).
+    Only ready documents count, optionally of one workspace or of a focus table (doc_id).  Queries
+    with rows in ``allowed`` (query_id, doc_id) search these documents only.
     """
     ready = docs.filter(F.col("status") == "ready")
     if workspace is not None:
         ready = ready.filter(F.col("workspace_id") == workspace)
     if focus is not None:
         ready = ready.join(focus.select("doc_id").distinct(), "doc_id", "left_semi")
-    postings = build_postings(chunks)
-    scores = lexical_rank(or_query_terms(queries), postings).join(chunks.select("chunk_id", "doc_id"), "chunk_id").join(ready.select("doc_id"), "doc_id", "left_semi")
+    scores = lexical_rank(or_query_terms(queries), chunks).join(ready.select("doc_id"), "doc_id", "left_semi")
+    if allowed is not None:
+        scores = narrow(scores, allowed)
     if cap is not None:
         scores = per_document_cap(scores, cap)
     return top_per_group(scores, ["query_id"], [F.desc(F.round("score", 9)), "chunk_id"], k).select("query_id", "rank", "chunk_id", "doc_id", "score")
 
 
+def narrow(hits: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Hits of allowed documents; queries without an allowed document keep all."""
+    some = allowed.select("query_id").distinct().withColumn("_some", F.lit(True))
+    keep = allowed.select("query_id", "doc_id").distinct().withColumn("_keep", F.lit(True))
+    return hits.join(some, "query_id", "left").join(keep, ["query_id", "doc_id"], "left").filter("_some IS NULL OR _keep").drop("_some", "_keep")
+
+
 SORTS = {
     "relevance": lambda: [F.desc("title_match"), F.desc(F.round("score", 9)), F.asc("doc_id")],
     "filename": lambda: [F.asc(F.lower(F.col("title"))), F.asc("doc_id")],
@@ -90,6 +126,29 @@ SORTS = {
 }
 
 
+#: Characters of a searched part by which it is met.
+GRAM = 8
+
+
+def containing(texts: DataFrame, parts: DataFrame, text: str, part: str) -> DataFrame:
+    """All pairs of rows where ``text`` contains ``part``, as an equi-join.
+
+    A part is met by its first ``GRAM`` characters, or all if it is shorter; texts are cut into
+    all stretches of the (at most ``GRAM``) lengths that occur.  An empty or null part is in none.
+    """
+    keyed = parts.filter(F.length(part) > 0).withColumn("_gram", F.substring(part, 1, GRAM))
+    sizes = sorted(r[0] for r in keyed.select(F.length("_gram")).distinct().collect())
+    if not sizes:
+        return texts.join(keyed, F.lit(False)).drop("_gram")
+
+    def stretches(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.length(text) - n + 1)
+        return F.when(F.length(text) >= n, F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    cut = texts.withColumn("_gram", F.explode(F.array_distinct(F.concat(*(stretches(n) for n in sizes)))))
+    return cut.join(keyed, "_gram").filter(F.contains(text, part)).drop("_gram")
+
+
 def search_library(queries: DataFrame, chunks: DataFrame, docs: DataFrame, types=None, added_after=None, min_bytes=None, max_bytes=None, sort: str = "relevance", limit: int = 50) -> DataFrame:
     """Documents found by content or title, one best chunk each."""
     docs = docs.filter(F.col("status") == "ready").withColumn("doc_type", classify_doc_type("title"))
@@ -101,10 +160,9 @@ def search_library(queries: DataFrame, chunks: DataFrame, docs: DataFrame, types
     if types is not None:
         docs = docs.filter(F.col("doc_type").isin(*types))
     meta = docs.select("doc_id", "title", "added_at", "byte_size", "doc_type")
-    scores = lexical_rank(or_query_terms(queries), build_postings(chunks)).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+    scores = lexical_rank(or_query_terms(queries), chunks)
     best = scores.groupBy("query_id", "doc_id").agg(F.max_by(F.struct("chunk_id", "score"), F.struct(F.round("score", 9).alias("s"), (-F.col("chunk_id")).alias("c"))).alias("b")).select("query_id", "doc_id", "b.chunk_id", "b.score")
-    # queries are the small, user-given side of the title match
-    titles = meta.join(queries, contains_literal(F.col("title"), F.col("query"))).select("query_id", "doc_id", F.lit(True).alias("title_match"))
+    titles = containing(meta.select("doc_id", F.lower("title").alias("about")), queries.select("query_id", F.lower("query").alias("part")), "about", "part").select("query_id", "doc_id", F.lit(True).alias("title_match"))
     found = best.join(titles, ["query_id", "doc_id"], "full_outer").join(meta, "doc_id").select("query_id", "doc_id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("title_match", F.lit(False)).alias("title_match"), "title", "doc_type", "added_at", "byte_size")
     return top_per_group(found, ["query_id"], SORTS[sort](), limit)
 
@@ -135,12 +193,15 @@ def theme_documents(themes: DataFrame, docs: DataFrame, chunks: DataFrame, simil
     every ready document.  ``first_chunk_id`` is the document's first chunk.
     """
     docs = docs.filter(F.col("status") == "ready")
-    # the terms live in the chunks' postings; their documents are counted once per chunk
     terms = themes.select("theme_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    hits = build_postings(chunks).join(terms, "term").select("theme_id", "chunk_id").distinct().join(chunks.select("chunk_id", "doc_id"), "chunk_id").groupBy("theme_id", "doc_id").agg(F.count("*").alias("hits"))
+    hits = matched_terms(terms, chunks).join(small_side(terms), "term").select("theme_id", "doc_id", "chunk_id").distinct().groupBy("theme_id", "doc_id").agg(F.count("*").alias("hits"))
     summary = F.coalesce(F.col("summary"), F.lit("")) if "summary" in docs.columns else F.lit("")
-    named = docs.withColumn("_about", F.lower(F.concat_ws(" ", "title", summary))).join(themes, F.exists("tokens", lambda t: F.contains(F.col("_about"), t))).select("theme_id", "doc_id", F.lit(True).alias("named"))
-    every = docs.join(themes.filter(F.size("tokens") == 0)).select("theme_id", "doc_id", F.lit(True).alias("every"))
+    about = docs.select("doc_id", F.lower(F.concat_ws(" ", "title", summary)).alias("about"))
+    named = containing(about, terms, "about", "term").select("theme_id", "doc_id").distinct().withColumn("named", F.lit(True))
+    # every ready document for a theme without tokens: themes meet the documents of each of a few salts
+    salts = 64
+    broad = themes.filter(F.size("tokens") == 0).select("theme_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    every = docs.select("doc_id", F.pmod(F.hash("doc_id"), F.lit(salts)).alias("_salt")).join(broad, "_salt").select("theme_id", "doc_id", F.lit(True).alias("every"))
     found = hits.join(named, ["theme_id", "doc_id"], "full_outer").join(every, ["theme_id", "doc_id"], "full_outer")
     if similarity is not None:
         found = found.join(similarity.filter(F.col("similarity") >= least), ["theme_id", "doc_id"], "full_outer")

@@ -177,12 +177,3 @@ def append_messages(messages: DataFrame, new: DataFrame) -> tuple[DataFrame, Dat
     """(messages with the valid new ones, rows rejected for their role)."""
     good = F.col("role").isin("user", "assistant", "system")
     return messages.unionByName(new.filter(good)), new.filter(~F.coalesce(good, F.lit(False)))
-
-
-def stems(column) -> Column:
-    return model_stem(column)
-
-
-def latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .lexical import top_per_group
+from .lexical import narrow, top_per_group  # noqa: F401 - narrow is part of vector search too
 
 #: Bytes of query vectors that a task may hold; more queries are taken in blocks.
 QUERY_BYTES = 64 << 20
@@ -164,17 +164,33 @@ def document_prefilter(similarity: DataFrame, n: int = 5, least: float = 0.2, fo
     return top_per_group(similarity.filter(F.col("similarity") >= least), ["query_id"], [F.desc("similarity"), "doc_id"], n)
 
 
-def narrow(hits: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Hits of allowed documents; queries without an allowed document keep all."""
-    some = allowed.select("query_id").distinct().withColumn("_some", F.lit(True))
-    keep = allowed.select("query_id", "doc_id").distinct().withColumn("_keep", F.lit(True))
-    return hits.join(some, "query_id", "left").join(keep, ["query_id", "doc_id"], "left").filter("_some IS NULL OR _keep").drop("_some", "_keep")
+def hash_vectors(df: DataFrame, dimension: int, id: str = "id", text: str = "text") -> DataFrame:
+    """Stand-in embedding (``id``, ``embedding``): counts of character codes modulo ``dimension``, unit
+    length; zeros for a null or empty text."""
 
+    @F.pandas_udf("array<double>")
+    def counted(texts: pd.Series) -> pd.Series:
+        texts = texts.fillna("").tolist()
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) % dimension
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        n = np.bincount(row * dimension + codes, minlength=len(texts) * dimension).reshape(-1, dimension).astype(float)
+        length = np.sqrt((n * n).sum(axis=1, keepdims=True))
+        return pd.Series(list(np.divide(n, length, out=np.zeros_like(n), where=length > 0)))
 
-def hash_vectors(df: DataFrame, dimension: int, id: str = "id", text: str = "text") -> DataFrame:
-    """Stand-in embedding: counts of character codes modulo ``dimension``, unit length, zeros kept."""
-    chars = df.select(id, F.explode(F.split(text, "")).alias("c")).filter("c <> ''").groupBy(id, (F.ascii("c") % dimension).alias("at")).agg(F.count("*").alias("n"))
-    rows = chars.groupBy(id).agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("len"))
-    zeros = F.sequence(F.lit(0), F.lit(dimension - 1))
-    value = F.transform(zeros, lambda i: F.coalesce(F.element_at("m", i) / F.col("len"), F.lit(0.0)))
-    return df.select(id).join(rows, id, "left").select(id, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dimension)).otherwise(value).alias("embedding"))
+    return df.select(id, counted(text).alias("embedding"))
+
+
+def knn_among(queries: DataFrame, vectors: DataFrame, allowed: DataFrame | None, k: int, cap: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """knn_per_doc_cap() where queries with rows in ``allowed`` (query_id, doc_id) see these documents only.
+
+    For them it is an equi-join on the document; only the other queries are compared with all vectors.
+    """
+    if allowed is None:
+        return knn_per_doc_cap(queries, vectors, k, cap, id, vector)
+    pairs = queries.join(allowed.select("query_id", "doc_id").distinct(), "query_id").join(vectors.select(id, "doc_id", F.col(vector).alias("_v")), "doc_id")
+    scored = pairs.withColumn("cosine", cosine("query_vector", "_v")).filter("cosine IS NOT NULL").select("query_id", id, "doc_id", "cosine")
+    order = [F.desc(F.round("cosine", 9)), F.asc(id)]
+    capped = top_per_group(scored, ["query_id", "doc_id"], order, cap, "_in_doc").drop("_in_doc")
+    inside = top_per_group(capped, ["query_id"], order, k)
+    free = queries.join(allowed.select("query_id"), "query_id", "left_anti")
+    return inside.unionByName(knn_per_doc_cap(free, vectors, k, cap, id, vector).select(inside.columns))

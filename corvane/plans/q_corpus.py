@@ -102,9 +102,9 @@ def dedup_by_path(spark, d):
     return B.dedup_by_path(docs(spark, d).withColumn("source_path", F.col("source"))).select("doc_id", "workspace_id", "source_path")
 
 
-@query("reset_documents", "SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'pending' ELSE status END AS status, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE substring(text, 1, 20) END AS summary, CASE WHEN doc_id % 13 = 0 THEN 0 ELSE (SELECT count(*) FROM chunks c WHERE c.doc_id = docs.doc_id) END AS chunks_left FROM docs", "docs", "chunks")
+@query("reset_documents", "SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'pending' ELSE status END AS status, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE md5(text) END AS summary, CASE WHEN doc_id % 13 = 0 THEN 0 ELSE (SELECT count(*) FROM chunks c WHERE c.doc_id = docs.doc_id) END AS chunks_left FROM docs", "docs", "chunks")
 def reset_documents(spark, d):
-    x = docs(spark, d).withColumn("summary", F.substring("text", 1, 20))
+    x = docs(spark, d).withColumn("summary", F.md5(F.col("text").cast("binary")))
     out, left = B.reset_documents(x, chunks(spark, d), x.filter("doc_id % 13 = 0").select("doc_id"))
     n = left.groupBy("doc_id").agg(F.count("*").alias("n"))
     return out.join(n, "doc_id", "left").select("doc_id", "status", "summary", F.coalesce("n", F.lit(0)).alias("chunks_left"))
@@ -252,21 +252,21 @@ def tag_sections_asof(spark, d):
     return C.tag_sections_asof(c, s).select("chunk_id", F.get("heading_path", F.lit(0)).cast("long").alias("section_id"))
 
 
-@query("clean_page_text", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(t, ', ', ' .....  '), '(?:[ \t]*\.){4,}[ \t]*', ' ', 'g'), '_{4,}', ' ', 'g'), '-{4,}', ' ', 'g'), '[ \t]{2,}', ' ', 'g'), '[ \t]+\n', chr(10), 'g') AS cleaned FROM (SELECT doc_id, substring(text, 1, 300) AS t FROM docs)", "docs")
+@query("clean_page_text", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(t, ', ', ' .....  '), '(?:[ \t]*\.){4,}[ \t]*', ' ', 'g'), '_{4,}', ' ', 'g'), '-{4,}', ' ', 'g'), '[ \t]{2,}', ' ', 'g'), '[ \t]+\n', chr(10), 'g') AS cleaned FROM (SELECT doc_id, text AS t FROM docs)", "docs")
 def clean_page_text(spark, d):
-    raw = F.replace(F.substring("text", 1, 300), F.lit(", "), F.lit(" .....  "))
+    raw = F.replace("text", F.lit(", "), F.lit(" .....  "))
     return docs(spark, d).select("doc_id", X.clean_page_text(raw).alias("cleaned"))
 
 
-@query("clean_extract", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(split_part(substring(text, 1, 200) || chr(10) || 'References' || chr(10) || 'tail', chr(10) || 'References', 1) || chr(10), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM docs", "docs")
+@query("clean_extract", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(split_part(text || chr(10) || 'References' || chr(10) || 'tail', chr(10) || 'References', 1) || chr(10), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM docs", "docs")
 def clean_extract(spark, d):
-    raw = F.concat(F.substring("text", 1, 200), F.lit("\nReferences\ntail"))
+    raw = F.concat("text", F.lit("\nReferences\ntail"))
     return docs(spark, d).select("doc_id", X.clean_extract(raw).alias("cleaned"))
 
 
-@query("clean_markdown_images", r"SELECT doc_id, regexp_replace(replace(replace(substring(text, 1, 200), ' the ', chr(10) || chr(10) || chr(10) || chr(10)), ' and ', ' '), '\n{3,}', chr(10) || chr(10), 'g') AS cleaned FROM docs", "docs")
+@query("clean_markdown_images", r"SELECT doc_id, regexp_replace(replace(replace(text, ' the ', chr(10) || chr(10) || chr(10) || chr(10)), ' and ', ' '), '\n{3,}', chr(10) || chr(10), 'g') AS cleaned FROM docs", "docs")
 def clean_markdown_images(spark, d):
-    raw = F.replace(F.replace(F.substring("text", 1, 200), F.lit(" the "), F.lit("\n\n\n\n")), F.lit(" and "), F.lit("![x y](img/a.png) "))
+    raw = F.replace(F.replace("text", F.lit(" the "), F.lit("\n\n\n\n")), F.lit(" and "), F.lit("![x y](img/a.png) "))
     return docs(spark, d).select("doc_id", X.clean_markdown_images(raw).alias("cleaned"))
 
 
@@ -287,7 +287,12 @@ def reassemble_sentences(spark, d):
     return C.reassemble_sentences(C.segment_sentences(x)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query("pack_windows")
+PACKING = """WITH RECURSIVE k AS MATERIALIZED (SELECT doc_id, ordinal, token_count AS t, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS place FROM chunks),
+r AS (SELECT doc_id, ordinal, place, 0::BIGINT AS n, t AS used FROM k WHERE place = 1 UNION ALL SELECT k.doc_id, k.ordinal, k.place, CASE WHEN r.used + k.t > 1000 THEN r.n + 1 ELSE r.n END, CASE WHEN r.used + k.t > 1000 THEN k.t ELSE r.used + k.t END FROM r JOIN k ON k.doc_id = r.doc_id AND k.place = r.place + 1)
+SELECT doc_id, ordinal, n AS "window" FROM r"""
+
+
+@query("pack_windows", PACKING, "chunks")
 def pack_windows(spark, d):
     return C.pack_windows(chunks(spark, d), 1000)
 
@@ -312,10 +317,10 @@ def estimate_tokens(spark, d):
     return chunks(spark, d).select("chunk_id", X.estimate_tokens("text").alias("tokens"))
 
 
-@query("sliding_context", "SELECT t.chunk_id AS target_id, c.chunk_id, c.doc_id, c.ordinal, c.chunk_id = t.chunk_id AS is_target FROM chunks t JOIN chunks c ON c.doc_id = t.doc_id AND c.ordinal BETWEEN t.ordinal - 1 AND t.ordinal + 2 WHERE t.chunk_id % 10 = 0", "chunks")
+@query("sliding_context", "SELECT t.chunk_id AS target_id, c.chunk_id, c.doc_id, c.ordinal, c.chunk_id = t.chunk_id AS is_target FROM chunks t JOIN chunks c ON c.doc_id = t.doc_id AND c.ordinal BETWEEN t.ordinal - 1 AND t.ordinal + 2", "chunks")
 def sliding_context(spark, d):
     c = chunks(spark, d)
-    return C.sliding_context(c, c.filter("chunk_id % 10 = 0").select("chunk_id"), 1, 2)
+    return C.sliding_context(c, c.select("chunk_id"), 1, 2)
 
 
 # Filters
@@ -403,10 +408,10 @@ def with_embedder(spark, d):
     return out.select("chunk_id", F.get("embedding", F.lit(0)).alias("n_chars"), F.get("embedding", F.lit(1)).alias("n_parts"), "embedder_identity")
 
 
-@query("with_generator", "SELECT query_id, upper(query) AS raw FROM queries WHERE NOT contains(query, 'ß')", "queries")
+@query("with_generator", "SELECT item_id AS query_id, reverse(text) AS raw FROM benchmark")
 def with_generator(spark, d):
     @F.pandas_udf("string")
     def stub(prompts: pd.Series) -> pd.Series:
-        return prompts.str.upper()
+        return prompts.str[::-1]
 
-    return U.with_generator(queries(spark, d).filter("NOT contains(query, 'ß')"), stub, "query").select("query_id", "raw")
+    return U.with_generator(table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), stub, "text").select("query_id", "raw")

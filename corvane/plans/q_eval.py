@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as M
-from ..operators import relational as K
 from ..operators import vectors as V
 from .views import lines, query, query_vectors, table, vectors
 
@@ -259,6 +258,3 @@ def config_grid(spark, d):
 def model_cell_matrix(spark, d):
     s = _scores(spark, d).select(F.col("lang").alias("config"), "model", F.col("score").alias("judge"), F.when(F.col("model") != "2-HIGH", F.floor(F.col("score") * 10)).alias("ttft_p50"))
     return M.model_cell_matrix(s, MODELS)
-
-
-_ = K

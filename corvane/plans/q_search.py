@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..operators import fusion as G
 from ..operators import lexical as E
 from ..operators import vectors as V
-from .views import NOW, VIEWS, chunks, docs, queries, query, query_vectors, table, tokens_sql, vectors
+from .views import NOW, chunks, docs, queries, query, query_vectors, table, tokens_sql, vectors
 
 READY = "SELECT doc_id FROM docs WHERE status = 'ready'"
 CAPPED = "SELECT query_id, chunk_id, doc_id, score FROM (SELECT b.query_id, b.chunk_id, c.doc_id, b.score, row_number() OVER (PARTITION BY b.query_id, c.doc_id ORDER BY round(b.score, 9) DESC, b.chunk_id) AS n FROM bm25 b JOIN chunks c USING (chunk_id) WHERE c.doc_id IN (" + READY + ")) WHERE n <= 3"
@@ -40,15 +40,18 @@ def or_query_terms(spark, d):
 
 @query("lexical_match", "SELECT DISTINCT query_id, chunk_id FROM query_terms JOIN terms USING (term)", "query_terms", "terms")
 def lexical_match(spark, d):
-    return E.lexical_match(E.or_query_terms(queries(spark, d)), E.build_postings(chunks(spark, d)))
+    return E.lexical_match(E.or_query_terms(queries(spark, d)), chunks(spark, d))
 
 
 @query("lexical_rank", "SELECT query_id, chunk_id, round(score, 6) AS score FROM bm25", "bm25")
 def lexical_rank(spark, d):
-    return E.lexical_rank(E.or_query_terms(queries(spark, d)), E.build_postings(chunks(spark, d))).withColumn("score", F.round("score", 6))
+    return E.lexical_rank(E.or_query_terms(queries(spark, d)), chunks(spark, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("cover_density")
+POSITIONS = f"SELECT chunk_id, tokens[i + 1] AS term, i AS p FROM (SELECT chunk_id, tokens, unnest(range(0, len(tokens))) AS i FROM (SELECT chunk_id, {tokens_sql('c.text')} AS tokens FROM chunks c))"
+
+
+@query("cover_density", f"WITH h AS (SELECT q.query_id, o.chunk_id, o.term, o.p FROM query_terms q JOIN ({POSITIONS}) o USING (term)), g AS (SELECT *, CASE WHEN term <> lag(term) OVER w THEN 1.0::DOUBLE / (p - lag(p) OVER w) END AS gap FROM h WINDOW w AS (PARTITION BY query_id, chunk_id ORDER BY p)) SELECT query_id, chunk_id, round(coalesce(sum(gap), 0) + 0.1::DOUBLE * count(*), 6) AS score FROM g GROUP BY 1, 2", "query_terms", "chunks")
 def cover_density(spark, d):
     return E.cover_density(E.or_query_terms(queries(spark, d)), E.build_postings(chunks(spark, d))).withColumn("score", F.round("score", 6))
 
@@ -89,11 +92,10 @@ def headline(spark, d):
     return hits.select("query_id", "rank", "chunk_id", E.headline("text", "terms").alias("headline"))
 
 
-@query("split_sentinels", "SELECT chunk_id, x.seq::BIGINT AS seq, x.part AS part, x.highlighted AS highlighted FROM (SELECT chunk_id, unnest([{'seq': 0, 'part': substring(text, 1, 5), 'highlighted': false}, {'seq': 1, 'part': substring(text, 6, 5), 'highlighted': true}, {'seq': 2, 'part': substring(text, 11, 20), 'highlighted': false}]) AS x FROM chunks WHERE length(text) > 40)", "chunks")
+@query("split_sentinels", "WITH p AS (SELECT chunk_id, list_filter([{'part': substring(text, 1, 5), 'highlighted': false}, {'part': substring(text, 6, 5), 'highlighted': true}, {'part': substring(text, 11), 'highlighted': false}], lambda x: x.part <> '') AS ps FROM chunks) SELECT chunk_id, i AS seq, ps[i + 1].part AS part, ps[i + 1].highlighted AS highlighted FROM (SELECT chunk_id, ps, unnest(range(0, len(ps))) AS i FROM p)", "chunks")
 def split_sentinels(spark, d):
-    c = chunks(spark, d).filter("length(text) > 40")
-    marked = F.concat(F.substring("text", 1, 5), F.lit(E.MARK), F.substring("text", 6, 5), F.lit(E.UNMARK), F.substring("text", 11, 20))
-    return E.split_sentinels(c.select("chunk_id", marked.alias("m")), "chunk_id", "m")
+    marked = F.concat(F.substring("text", 1, 5), F.lit(E.MARK), F.substring("text", 6, 5), F.lit(E.UNMARK), F.substring("text", F.lit(11), F.length("text")))
+    return E.split_sentinels(chunks(spark, d).select("chunk_id", marked.alias("m")), "chunk_id", "m")
 
 
 THEMES = f"""WITH th AS (SELECT item_id AS theme_id, {tokens_sql("array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ')")} AS tokens FROM benchmark),
@@ -174,7 +176,7 @@ def hash_vectors(spark, d):
     return v.select("item_id", F.posexplode("embedding").alias("at", "value")).filter("value > 0").select("item_id", F.col("at").cast("long").alias("at"), F.round("value", 6).alias("value"))
 
 
-# Fusion. A dense ranking of chunks: hashed character vectors stand for an embedding model.
+# Fusion. A second ranking of the same hits stands for another list.
 
 
 def _dense(spark, d, k=10):
@@ -195,7 +197,9 @@ def rrf_fuse(spark, d):
     return G.rrf_fuse([_hits(spark, d), _dense(spark, d)], 15).withColumn("score", F.round("score", 6))
 
 
-@query("rrf_fuse_variants")
+@query("rrf_fuse_variants", FUSED + """, c AS (SELECT query_id, chunk_id, rank, 0 AS list FROM f WHERE rank <= 10 UNION ALL SELECT query_id, chunk_id, 11 - rank, 1 FROM a),
+t AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(list * 1000 + rank) AS seen FROM c GROUP BY 1, 2)
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen, chunk_id) AS rank, chunk_id, round(score, 6) AS score FROM t) WHERE rank <= 10""", "bm25", "chunks", "docs")
 def rrf_fuse_variants(spark, d):
     lists = [_hits(spark, d), _dense(spark, d)]
     other = lists[0].withColumn("rank", F.lit(11) - F.col("rank"))
@@ -269,7 +273,11 @@ def interleave_by_document(spark, d):
     return G.interleave_by_document(hits, G.expand_neighbours(hits, chunks(spark, d))).select("query_id", "chunk_id", "rank")
 
 
-@query("trim_to_char_budget")
+@query("trim_to_char_budget", f"""{PRIMARY}, a AS ({NEAR}), b AS (SELECT query_id, doc_id, min(rank) AS base FROM h GROUP BY 1, 2),
+u AS (SELECT query_id, chunk_id, ordinal, rank AS base, 0 AS added, 'primary' AS origin FROM h UNION ALL SELECT a.query_id, a.chunk_id, a.ordinal, b.base, 1, 'neighbour' FROM a JOIN b USING (query_id, doc_id)),
+r AS (SELECT u.query_id, u.chunk_id, u.origin, length(c.text) AS chars, CASE WHEN origin = 'neighbour' THEN 0 ELSE 2 END AS tier, row_number() OVER (PARTITION BY query_id ORDER BY base, added, u.ordinal, chunk_id) AS rank FROM u JOIN chunks c USING (chunk_id)),
+g AS (SELECT *, sum(chars) OVER (PARTITION BY query_id) - 4000 AS over, coalesce(sum(chars) OVER w, 0) AS gone, count(*) OVER (PARTITION BY query_id) - coalesce(count(*) OVER w, 0) AS left_over FROM r WINDOW w AS (PARTITION BY query_id ORDER BY tier, rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT query_id, rank, chunk_id, origin FROM g WHERE gone >= over OR left_over <= 1""", "bm25", "chunks", "docs")
 def trim_to_char_budget(spark, d):
     hits = _with_place(spark, d, 5)
     every = G.interleave_by_document(hits, G.expand_neighbours(hits, chunks(spark, d)))
@@ -309,7 +317,8 @@ b AS (SELECT query_id, 1 AS section, doc_id, chunk_id, rank, cost, sum(cost) OVE
 SELECT query_id, section, doc_id, chunk_id, rank, cost::BIGINT AS cost FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE turn = 1 OR used <= budget""", "bm25", "chunks", "docs", "queries")
 def pinned_share(spark, d):
     meta = chunks(spark, d).join(docs(spark, d).select("doc_id", "title"), "doc_id")
-    pinned = meta.filter("doc_id IN (3, 5)").select("doc_id", "chunk_id", "ordinal", "title", "text").join(queries(spark, d).select("query_id"))
+    pins = queries(spark, d).select("query_id", F.explode(F.array(F.lit(3).cast("long"), F.lit(5).cast("long"))).alias("doc_id"))
+    pinned = meta.join(pins, "doc_id").select("query_id", "doc_id", "chunk_id", "ordinal", "title", "text")
     hits = _hits(spark, d).join(meta.select("chunk_id", "title", "text"), "chunk_id")
     return G.pinned_share(pinned, hits, 2000)
 
@@ -320,17 +329,39 @@ def below_threshold(spark, d):
     return out.select("query_id", F.round("best", 6).alias("best"), F.array_join(F.transform("suggested", lambda x: x.cast("string")), ",").alias("suggested"))
 
 
-HYBRID = f"""{FUSED}, w AS (SELECT f.query_id, f.rank, f.chunk_id, c.doc_id, f.score * (CASE WHEN list_has_any({tokens_sql('d.title')}, {tokens_sql('q.query')}) THEN 1.25 ELSE 1.0 END)::DOUBLE * (CASE WHEN length(c.text) < 200 THEN 0.7 ELSE 1.0 END)::DOUBLE * (CASE WHEN {NOW} - d.added_at <= 600 THEN 1.1 ELSE 1.0 END)::DOUBLE AS score FROM f JOIN chunks c USING (chunk_id) JOIN docs d ON d.doc_id = c.doc_id JOIN queries q USING (query_id)),
+# Hashed character vectors of chunks, of queries and, as summaries, of each document's first chunk.
+HASHED = """cv AS MATERIALIZED (SELECT chunk_id, unicode(c) % 32 AS slot, count(*)::DOUBLE AS n FROM (SELECT chunk_id, unnest(string_split(text, '')) AS c FROM chunks) WHERE c <> '' GROUP BY 1, 2),
+cl AS (SELECT chunk_id, sqrt(sum(n * n)) AS len FROM cv GROUP BY 1),
+qv AS MATERIALIZED (SELECT query_id, unicode(c) % 32 AS slot, count(*)::DOUBLE AS n FROM (SELECT query_id, unnest(string_split(query, '')) AS c FROM queries) WHERE c <> '' GROUP BY 1, 2),
+ql AS (SELECT query_id, sqrt(sum(n * n)) AS len FROM qv GROUP BY 1),
+sim AS MATERIALIZED (SELECT q.query_id, c.doc_id, sum(qv.n * cv.n) / (any_value(q.len) * any_value(cl.len)) AS cosine FROM ql q JOIN qv USING (query_id) JOIN cv USING (slot) JOIN cl USING (chunk_id) JOIN chunks c ON c.chunk_id = cv.chunk_id AND c.ordinal = 0 JOIN docs d ON d.doc_id = c.doc_id AND d.status = 'ready' GROUP BY 1, 2),
+allowed AS MATERIALIZED (SELECT query_id, doc_id FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, doc_id) AS k FROM sim WHERE cosine >= 0.2) WHERE k <= 5),
+near AS (SELECT a.query_id, c.doc_id, c.chunk_id, sum(qv.n * cv.n) / (any_value(ql.len) * any_value(cl.len)) AS cosine FROM allowed a JOIN chunks c ON c.doc_id = a.doc_id JOIN cv ON cv.chunk_id = c.chunk_id JOIN cl ON cl.chunk_id = c.chunk_id JOIN qv ON qv.query_id = a.query_id AND qv.slot = cv.slot JOIN ql ON ql.query_id = a.query_id GROUP BY 1, 2, 3)"""
+
+#: Every query has an allowed document here: the character vectors of prose are alike.
+HYBRID = f"""WITH {HASHED},
+la AS (SELECT b.query_id, b.chunk_id, b.score, c.doc_id, row_number() OVER (PARTITION BY b.query_id, c.doc_id ORDER BY round(b.score, 9) DESC, b.chunk_id) AS n FROM bm25 b JOIN chunks c USING (chunk_id) JOIN allowed a ON a.query_id = b.query_id AND a.doc_id = c.doc_id),
+lb AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM la WHERE n <= 3),
+da AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(cosine, 9) DESC, chunk_id) AS n FROM near),
+db AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, chunk_id) AS rank FROM da WHERE n <= 3),
+s AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(list * 1000 + rank) AS seen FROM (SELECT *, 0 AS list FROM lb WHERE rank <= 32 UNION ALL SELECT *, 1 FROM db WHERE rank <= 32) GROUP BY 1, 2),
+f AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen, chunk_id) AS rank, chunk_id, score FROM s) WHERE rank <= 32),
+w AS (SELECT f.query_id, f.rank, f.chunk_id, c.doc_id, c.ordinal, f.score * (CASE WHEN list_has_any({tokens_sql('d.title')}, {tokens_sql('q.query')}) THEN 1.25 ELSE 1.0 END)::DOUBLE * (CASE WHEN length(c.text) < 200 THEN 0.7 ELSE 1.0 END)::DOUBLE * (CASE WHEN {NOW} - d.added_at <= 600 THEN 1.1 ELSE 1.0 END)::DOUBLE AS score FROM f JOIN chunks c USING (chunk_id) JOIN docs d ON d.doc_id = c.doc_id JOIN queries q USING (query_id)),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, rank, chunk_id) AS place FROM w),
 v AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY place) AS turn, min(place) OVER (PARTITION BY query_id, doc_id) AS first FROM p),
-z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n <= 8 THEN 0 ELSE turn END, CASE WHEN n <= 8 THEN place ELSE first END) AS final FROM v)
-SELECT query_id, final AS rank, chunk_id, doc_id, round(score, 6) AS score FROM z WHERE final <= 8"""
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n <= 8 THEN 0 ELSE turn END, CASE WHEN n <= 8 THEN place ELSE first END) AS final FROM v),
+h AS MATERIALIZED (SELECT query_id, chunk_id, doc_id, ordinal, final AS rank, score FROM z WHERE final <= 8),
+a AS (SELECT *, 'whole_doc' AS origin FROM ({SMALL}) UNION ALL SELECT *, 'neighbour' FROM ({NEAR}) WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM ({SMALL}))),
+b AS (SELECT query_id, doc_id, min(rank) AS base FROM h GROUP BY 1, 2),
+u AS (SELECT query_id, chunk_id, doc_id, ordinal, rank AS base, 0 AS added, score, 'primary' AS origin FROM h UNION ALL SELECT a.query_id, a.chunk_id, a.doc_id, a.ordinal, b.base, 1, 0.0, a.origin FROM a JOIN b USING (query_id, doc_id))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY base, added, ordinal, chunk_id) AS rank, chunk_id, doc_id, round(score, 6) AS score, origin FROM u"""
 
 
 @query("hybrid_search", HYBRID, "bm25", "chunks", "docs", "queries")
 def hybrid_search(spark, d):
-    found = G.hybrid_search(queries(spark, d), _hits(spark, d), _dense(spark, d), chunks(spark, d), docs(spark, d), NOW)
-    return found.select("query_id", "rank", "chunk_id", "doc_id", F.round("score", 6).alias("score"))
-
-
-_ = VIEWS
+    c, q = chunks(spark, d), queries(spark, d)
+    v = V.hash_vectors(c, 32, "chunk_id").join(c.select("chunk_id", "doc_id"), "chunk_id")
+    summaries = V.hash_vectors(c.filter("ordinal = 0"), 32, "doc_id")
+    asked = V.hash_vectors(q, 32, "query_id", "query").withColumnRenamed("embedding", "query_vector")
+    found = G.hybrid_search(q, c, docs(spark, d), v, asked, NOW, summaries=summaries)
+    return found.withColumn("score", F.round("score", 6))

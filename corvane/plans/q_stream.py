@@ -58,5 +58,5 @@ def counter_stream(spark, d):
 def detect_loops(spark, d):
     m = messages(spark, d)
     tail = F.substring(F.regexp_replace("content", r"[^\p{L}\p{N}]+", "x"), 1, 40)
-    whole = F.when((F.col("message_id") % 2 == 0) & (F.length("content") >= 40), F.repeat(F.rpad(tail, 40, "x"), 3)).otherwise(F.substring("content", 1, 60))
+    whole = F.when((F.col("message_id") % 2 == 0) & (F.length("content") >= 40), F.concat("content", F.repeat(F.rpad(tail, 40, "x"), 3))).otherwise(F.col("content"))
     return N.detect_loops(m.select("message_id", whole.alias("content")))

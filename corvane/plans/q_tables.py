@@ -10,17 +10,17 @@ from ..operators import relational as K
 from .views import chunks, docs, lines, messages, queries, query, table
 
 # Transcripts derived from lineitem: an order is a recording, its lines are segments and turns.
-SEGMENTS = "SELECT l_orderkey AS recording, l_linenumber::BIGINT AS seg, l_linenumber * 10.0::DOUBLE AS s0, l_linenumber * 10.0::DOUBLE + 4 + l_quantity / 10 AS s1 FROM lines WHERE l_orderkey % 3 = 0"
-TURNS = "SELECT l_orderkey AS recording, l_linenumber::BIGINT AS turn, l_suppkey % 3 AS speaker, l_linenumber * 12.0::DOUBLE AS t0, l_linenumber * 12.0::DOUBLE + 3 + l_discount * 40 AS t1 FROM lines WHERE l_orderkey % 3 = 0 AND l_orderkey % 9 <> 0"
+SEGMENTS = "SELECT l_orderkey AS recording, l_linenumber::BIGINT AS seg, l_linenumber * 10.0::DOUBLE AS s0, l_linenumber * 10.0::DOUBLE + 4 + l_quantity / 10 AS s1 FROM lines"
+TURNS = "SELECT l_orderkey AS recording, l_linenumber::BIGINT AS turn, l_suppkey % 3 AS speaker, l_linenumber * 12.0::DOUBLE AS t0, l_linenumber * 12.0::DOUBLE + 3 + l_discount * 40 AS t1 FROM lines WHERE l_orderkey % 9 <> 0"
 
 
 def _segments(spark, d):
-    l = lines(spark, d).filter("l_orderkey % 3 = 0")  # noqa: E741
+    l = lines(spark, d)  # noqa: E741
     return l.select(F.col("l_orderkey").alias("recording"), F.col("l_linenumber").cast("long").alias("seg"), (F.col("l_linenumber") * 10.0).alias("start"), (F.col("l_linenumber") * 10.0 + 4 + F.col("l_quantity") / 10).alias("end"), F.col("l_returnflag").alias("text"))
 
 
 def _turns(spark, d):
-    l = lines(spark, d).filter("l_orderkey % 3 = 0 AND l_orderkey % 9 <> 0")  # noqa: E741
+    l = lines(spark, d).filter("l_orderkey % 9 <> 0")  # noqa: E741
     return l.select(F.col("l_orderkey").alias("recording"), F.col("l_linenumber").cast("long").alias("turn"), (F.col("l_suppkey") % 3).alias("speaker"), (F.col("l_linenumber") * 12.0).alias("start"), (F.col("l_linenumber") * 12.0 + 3 + F.col("l_discount") * 40).alias("end"))
 
 
@@ -163,9 +163,9 @@ def per_document_cap(spark, d):
     return top_per_group(chunks(spark, d), ["doc_id"], [F.desc(F.length("text")), "chunk_id"], 3).select("chunk_id")
 
 
-@query("chunk_counts", "SELECT doc_id, count(*) AS n FROM chunks WHERE doc_id % 3 = 1 GROUP BY doc_id", "chunks")
+@query("chunk_counts", "SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id", "chunks")
 def chunk_counts(spark, d):
-    return chunks(spark, d).filter("doc_id % 3 = 1").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return chunks(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 # Text expressions
@@ -208,24 +208,29 @@ def corpus_intent(spark, d):
     return _asked(spark, d).select("query_id", X.corpus_intent("query").alias("intent"))
 
 
-@query("theme_tokens", "SELECT item_id AS query_id, 'zzz' || CASE WHEN w = '' THEN '' ELSE ' ' || lower(w) END AS tokens FROM (SELECT item_id, regexp_extract(text, '([A-Za-z]{9,})', 1) AS w FROM benchmark WHERE item_id % 8 IN (0, 1, 6, 7))")
+_NO_THEME = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS + X.CORPUS_WORDS) + "]"
+
+
+@query("theme_tokens", f"SELECT item_id AS query_id, array_to_string(list_filter(regexp_split_to_array(lower(({_LIST})[(item_id % 8 + 1)::INT] || text), '[^a-zA-Z0-9äöüß]+'), lambda t: t <> '' AND NOT list_contains({_NO_THEME}, t)), ' ') AS tokens FROM benchmark")
 def theme_tokens(spark, d):
-    return _asked(spark, d).filter("query_id % 8 IN (0, 1, 6, 7)").select("query_id", F.array_join(X.theme_tokens("query"), " ").alias("tokens"))
+    head = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("item_id") % 8 + 1).cast("int"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(X.theme_tokens(F.concat(head, "text")), " ").alias("tokens"))
 
 
-@query("split_questions", "SELECT item_id AS query_id, n + 1 AS seq, part FROM (SELECT item_id, unnest(range(0, 2)) AS n, unnest([substring(text, 1, 20) || '?', substring(text, 30, 20) || '?']) AS part FROM (SELECT item_id, regexp_replace(regexp_replace(text, '[?\\s]+', 'x', 'g'), '^', 'a') AS text FROM benchmark))")
+@query("split_questions", "SELECT item_id AS query_id, n + 1 AS seq, part FROM (SELECT item_id, unnest(range(0, 2)) AS n, unnest([substring(text, 1, length(text) // 2) || '?', substring(text, length(text) // 2 + 1) || '?']) AS part FROM (SELECT item_id, 'a' || regexp_replace(text, '[?\\s]+', 'x', 'g') AS text FROM benchmark))")
 def split_questions(spark, d):
     b = table(spark, d, "benchmark").withColumn("text", F.concat(F.lit("a"), F.regexp_replace("text", r"[?\s]+", "x")))
-    both = F.concat(F.substring("text", 1, 20), F.lit("? ok? "), F.substring("text", 30, 20), F.lit("?"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    both = F.concat(F.substring("text", F.lit(1), half), F.lit("? ok? "), F.substring("text", half + 1, F.length("text")), F.lit("?"))
     return b.select(F.col("item_id").alias("query_id"), F.posexplode(X.split_questions(both)).alias("n", "part")).select("query_id", (F.col("n") + 1).cast("long").alias("seq"), "part")
 
 
-@query("guess_de_en", "SELECT doc_id, CASE WHEN regexp_matches(s, '[äöüßÄÖÜ]') OR regexp_matches(s, '(^|[^A-Za-z0-9_])(?i:was|wie|wer|wo|wann|warum|welche|der|die|das|ist|sind|und|nicht|ein|eine)($|[^A-Za-z0-9_])') THEN 'de' ELSE 'en' END AS lang FROM (SELECT doc_id, substring(text, 1, 60) AS s FROM docs)", "docs")
+@query("guess_de_en", "SELECT doc_id, CASE WHEN regexp_matches(s, '[äöüßÄÖÜ]') OR regexp_matches(s, '(^|[^A-Za-z0-9_])(?i:was|wie|wer|wo|wann|warum|welche|der|die|das|ist|sind|und|nicht|ein|eine)($|[^A-Za-z0-9_])') THEN 'de' ELSE 'en' END AS lang FROM (SELECT doc_id, text AS s FROM docs)", "docs")
 def guess_de_en(spark, d):
-    return docs(spark, d).select("doc_id", X.guess_de_en(F.substring("text", 1, 60)).alias("lang"))
+    return docs(spark, d).select("doc_id", X.guess_de_en("text").alias("lang"))
 
 
-TARGETS = """WITH q AS (SELECT doc_id AS query_id, 'summarize src' || (doc_id % 20) || ' ' || (doc_id * 3 % 400) AS query FROM docs WHERE doc_id % 10 = 0),
+TARGETS = """WITH q AS (SELECT doc_id AS query_id, 'summarize src' || (doc_id % 20) || ' ' || (doc_id * 3 % 400) AS query FROM docs),
 qt AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '[^a-zA-Z0-9äöüß]+'), lambda t: t NOT IN ('', 'summarize'))) AS token FROM q),
 tt AS (SELECT doc_id, token, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(title, '\\.[a-zA-Z]{1,8}$', '')), '[^a-zA-Z0-9äöüß]+'), lambda t: t <> '')) AS token FROM docs)),
 c AS (SELECT query_id, doc_id, count(*) / min(n) AS coverage FROM qt JOIN tt USING (token) GROUP BY 1, 2),
@@ -234,7 +239,7 @@ r AS (SELECT q.query_id, CASE WHEN coalesce(coverage, 0) < 0.5 THEN 'none' WHEN
 
 
 def _targets(spark, d):
-    x = docs(spark, d).filter("doc_id % 10 = 0")
+    x = docs(spark, d)
     q = F.concat(F.lit("summarize src"), (F.col("doc_id") % 20).cast("string"), F.lit(" "), (F.col("doc_id") * 3 % 400).cast("string"))
     return x.select(F.col("doc_id").alias("query_id"), q.alias("query"))
 
@@ -266,11 +271,12 @@ def _cited(spark, d):
     m = messages(spark, d).filter("role = 'assistant'")
     mark = F.concat(F.lit(" [doc:"), F.col("conv_id").cast("string"), F.lit(", chunk:"), (F.col("conv_id") * 100000 + F.col("created_at")).cast("string"), F.lit("]"))
     other = F.lit(" [doc:999999, chunk:1]")
-    return m.select("message_id", "conv_id", "created_at", F.concat(F.substring("content", 1, 30), mark, F.lit(". "), F.substring("content", 31, 30), other, mark).alias("content"))
+    half = F.floor(F.length("content") / 2).cast("int")
+    return m.select("message_id", "conv_id", "created_at", F.concat(F.substring("content", F.lit(1), half), mark, F.lit(". "), F.substring("content", half + 1, F.length("content")), other, mark).alias("content"))
 
 
 MARK = "' [doc:' || conv_id || ', chunk:' || (conv_id * 100000 + created_at) || ']'"
-CITED_TEXT = f"SELECT message_id, conv_id, conv_id * 100000 + created_at AS chunk_id, length(substring(content, 1, 30)) AS a, length({MARK}) AS m, length(substring(content, 31, 30)) AS b, substring(content, 1, 30) AS x, substring(content, 31, 30) AS y FROM messages WHERE role = 'assistant'"
+CITED_TEXT = f"SELECT message_id, conv_id, conv_id * 100000 + created_at AS chunk_id, length(content) // 2 AS a, length({MARK}) AS m, length(content) - length(content) // 2 AS b, substring(content, 1, length(content) // 2) AS x, substring(content, length(content) // 2 + 1) AS y FROM messages WHERE role = 'assistant'"
 
 
 @query("extract_citations", f"WITH t AS ({CITED_TEXT}) SELECT message_id, 0::BIGINT AS seq, conv_id AS doc_id, chunk_id, (a + 1)::BIGINT AS start, (a + m)::BIGINT AS \"end\" FROM t UNION ALL SELECT message_id, 1, 999999, 1, a + m + 2 + b + 1, a + m + 2 + b + 22 FROM t UNION ALL SELECT message_id, 2, conv_id, chunk_id, a + m + 2 + b + 22 + 1, a + m + 2 + b + 22 + m FROM t", "messages")
@@ -302,7 +308,7 @@ def citation_snippets(spark, d):
 
 
 def _snippets(spark, d):
-    c = chunks(spark, d).filter("chunk_id % 20 = 0 AND length(text) > 200")
+    c = chunks(spark, d)
     part = lambda a, n: F.array_join(F.slice(F.split("text", " "), a, n), " ")
     return c.select(F.col("chunk_id").alias("snippet_id"), "chunk_id", F.concat(part(3, 5), F.lit(" qqqq "), part(12, 4)).alias("snippet"))
 
@@ -332,9 +338,9 @@ def normalise_key(spark, d):
     return table(spark, d, "part").select("p_partkey", X.normalise_key(F.concat_ws(" - ", "p_name", "p_brand")).alias("key"))
 
 
-@query("strip_think", r"SELECT message_id, regexp_replace(substring(content, 1, 20) || substring(content, 41, 20), '^\s+|\s+$', '', 'g') AS content FROM messages", "messages")
+@query("strip_think", r"SELECT message_id, regexp_replace(substring(content, 1, 20) || substring(content, 41), '^\s+|\s+$', '', 'g') AS content FROM messages", "messages")
 def strip_think(spark, d):
-    raw = F.concat(F.substring("content", 1, 20), F.lit("<think>"), F.substring("content", 21, 20), F.lit("\n</think>"), F.substring("content", 41, 20))
+    raw = F.concat(F.substring("content", 1, 20), F.lit("<think>"), F.substring("content", 21, 20), F.lit("\n</think>"), F.substring("content", F.lit(41), F.length("content")))
     return messages(spark, d).select("message_id", X.strip_think(raw).alias("content"))
 
 
@@ -343,15 +349,15 @@ def condense(spark, d):
     return messages(spark, d).select("message_id", X.condense("content", 50).alias("content"))
 
 
-@query("clean_rewrite", "SELECT item_id, regexp_replace(substring(regexp_replace(text, '[^A-Za-z]+', 'x', 'g'), 1, 40), '^$', '') AS cleaned FROM benchmark")
+@query("clean_rewrite", "SELECT item_id, regexp_replace(text, '[^A-Za-z]+', 'x', 'g') AS cleaned FROM benchmark")
 def clean_rewrite(spark, d):
-    word = F.substring(F.regexp_replace("text", "[^A-Za-z]+", "x"), 1, 40)
+    word = F.regexp_replace("text", "[^A-Za-z]+", "x")
     return table(spark, d, "benchmark").select("item_id", X.clean_rewrite(F.concat(F.lit('\n  "Query: '), word, F.lit('"\nmore'))).alias("cleaned"))
 
 
-@query("clean_hypothesis", "SELECT item_id, substring(regexp_replace(text, '[^A-Za-z]+', 'x', 'g'), 1, 40) AS cleaned FROM benchmark")
+@query("clean_hypothesis", "SELECT item_id, regexp_replace(text, '[^A-Za-z]+', 'x', 'g') AS cleaned FROM benchmark")
 def clean_hypothesis(spark, d):
-    word = F.substring(F.regexp_replace("text", "[^A-Za-z]+", "x"), 1, 40)
+    word = F.regexp_replace("text", "[^A-Za-z]+", "x")
     return table(spark, d, "benchmark").select("item_id", X.clean_hypothesis(F.concat(F.lit("<think>a</think> Translation: "), word)).alias("cleaned"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_corpus, q_eval, q_search, q_stream, q_tables
+from . import q_corpus, q_eval, q_files, q_search, q_stream, q_tables
 from .views import ORACLE_SQL, QUERIES
 
-MODULES = (q_corpus, q_search, q_tables, q_eval, q_stream)
+MODULES = (q_corpus, q_files, q_search, q_tables, q_eval, q_stream)
 
 
 def flagship(spark, sf_dir):

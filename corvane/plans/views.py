@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,7 +69,13 @@ def lines(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(*keys).agg(*(F.min(c).alias(c) for c in values))
 
 
-# The twins' views. DuckDB's regular expressions have no look-around.
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, or on this machine where a local session leaves it unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{root}/files-{uuid.uuid4().hex}" if root else "file://" + tempfile.mkdtemp(prefix="corvane-files-")
+
+
+# The twins' views. DuckDB's regular expressions have no look-around. The stopwords are fixed values.
 _STOP = "['the','a','an','and','or','of','to','in','on','for','with','is','are','was','were','be','by','at','as','it','der','die','das','den','dem','des','ein','eine','einer','eines','und','oder','von','zu','im','auf','für','mit','ist','sind']"
 
 
@@ -107,6 +115,8 @@ def twin(body: str, *views: str) -> str:
         return body
     ctes = ", ".join(f"{v} AS MATERIALIZED ({VIEWS[v]})" for v in order)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE"):
+        return f"WITH RECURSIVE {ctes}, {body[14:]}"
     return f"WITH {ctes}" + (", " + body[4:] if body.upper().startswith("WITH") else " " + body)
 
 

@@ -44,10 +44,15 @@ def file_fingerprint(spark: SparkSession, root: str, most: int = MOST_BYTES) ->
     return file_inventory(spark, root).join(hashed, "source_path", "left").withColumn("rejected", F.col("byte_size") > most)
 
 
+def text_files(files: DataFrame, root: str) -> DataFrame:
+    """(source_path, page, text) of the supported text files of a binary listing, which may be a stream."""
+    kept = files.filter(_supported(root, TEXT_EXTENSIONS) & (F.col("length") <= MOST_BYTES))
+    return kept.select(F.col("path").alias("source_path"), F.lit(1).alias("page"), F.regexp_replace(F.expr("decode(content, 'UTF-8')"), "^\\uFEFF", "").alias("text"))
+
+
 def read_text_corpus(spark: SparkSession, root: str) -> DataFrame:
     """(source_path, page, text): UTF-8 text files, byte order mark stripped, one page each."""
-    files = _files(spark, root).filter(_supported(root, TEXT_EXTENSIONS) & (F.col("length") <= MOST_BYTES))
-    return files.select(F.col("path").alias("source_path"), F.lit(1).alias("page"), F.regexp_replace(F.expr("decode(content, 'UTF-8')"), "^\\uFEFF", "").alias("text"))
+    return text_files(_files(spark, root), root)
 
 
 def read_jsonl_questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -66,8 +71,12 @@ def read_nested_qa(spark: SparkSession, path: str, prefix: str = "qa") -> tuple[
     """(chunks, questions) of nested question files; questions without an answer are dropped."""
     raw = spark.read.schema(NESTED_QA).option("multiLine", "true").json(path).withColumn("file", F.input_file_name())
     paragraphs = raw.select("file", F.posexplode("data").alias("a", "d")).select("file", "a", F.posexplode("d.paragraphs").alias("b", "p"))
-    n = F.row_number().over(Window.orderBy("file", "a", "b")) - 1
-    numbered = paragraphs.withColumn("chunk_id", F.concat(F.lit(f"{prefix}::"), n.cast("string")))
+    # numbered inside each file, then on from the paragraphs of the files before it: one row a file
+    inside = F.row_number().over(Window.partitionBy("file").orderBy("a", "b")) - 1
+    sizes = paragraphs.groupBy("file").agg(F.count("*").alias("size"))
+    before = sizes.select("file", (F.sum("size").over(Window.orderBy("file")) - F.col("size")).alias("before"))
+    n = F.col("inside") + F.col("before")
+    numbered = paragraphs.withColumn("inside", inside).join(before, "file").withColumn("chunk_id", F.concat(F.lit(f"{prefix}::"), n.cast("string")))
     questions = numbered.select("chunk_id", F.explode("p.qas").alias("q")).filter(F.size("q.answers") > 0).select("chunk_id", F.col("q.id").alias("question_id"), "q.question", F.element_at("q.answers.text", 1).alias("answer"))
     return numbered.select("chunk_id", F.col("p.context").alias("text")), questions
 

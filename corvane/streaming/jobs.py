@@ -11,10 +11,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.maintenance import reconcile_inventory
-from ..sources.files import TEXT_EXTENSIONS
+from ..sources.files import text_files
 
 DEBOUNCE = "800 milliseconds"
 OPEN, CLOSE = "<think>", "</think>"
@@ -30,15 +30,20 @@ def debounce_changes(changes: DataFrame, gap: str = DEBOUNCE, late: str | None =
 
 
 def stream_file_ingest(spark: SparkSession, root: str, chunk: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """New text files are read, chunked by ``chunk`` and appended; runs until all present files are in."""
+    """New text files are read, chunked by ``chunk`` and stored; runs until all present files are in.
+
+    The rules are those of read_text_corpus(): hidden files, node_modules and files over 50 MiB are left
+    out, byte order marks go.  Each batch owns a folder named by its id, which a retry overwrites, so no
+    file is stored twice.
+    """
     schema = spark.read.format("binaryFile").load(root).schema
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root)
-    texts = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*TEXT_EXTENSIONS)).select(F.col("path").alias("source_path"), F.expr("decode(content, 'UTF-8')").alias("text"))
+    texts = text_files(files, root).select("source_path", "text")
 
-    def append(batch: DataFrame, _: int) -> None:
-        chunk(batch).write.mode("append").parquet(out)
+    def store(batch: DataFrame, batch_id: int) -> None:
+        chunk(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return texts.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return texts.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_reconcile(changes: DataFrame, inventory: Callable[[], DataFrame], documents: Callable[[], DataFrame], sink: Callable[[DataFrame], None], checkpoint: str):
@@ -52,15 +57,27 @@ def stream_reconcile(changes: DataFrame, inventory: Callable[[], DataFrame], doc
     return debounce_changes(changes, late="1 minute").writeStream.foreachBatch(run).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def backfill(read: Callable[[], DataFrame], embed: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None], page: int = 100000, idle: int = 2) -> int:
-    """Fills null vectors page by page until none are left or ``idle`` pages bring nothing."""
-    before, still, rounds = read().filter("embedding IS NULL").count(), 0, 0
-    while before and still < idle:
-        write(embed(read().filter("embedding IS NULL").orderBy("chunk_id").limit(page)))
-        after = read().filter("embedding IS NULL").count()
-        still = still + 1 if after >= before else 0
-        before, rounds = after, rounds + 1
-    return rounds
+def stream_backfill(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, idle: int = 2):
+    """Rows of the stream ``chunks`` without a vector are embedded and handed to ``sink`` with the batch's id.
+
+    The checkpoint remembers what was read, so a later run goes on with new rows and none is scanned
+    again.  After ``idle`` batches in a row that brought no vector, the rest of the run is passed by: the
+    model is out of reach, and a new checkpoint takes these rows up again.
+    """
+    still = 0
+
+    def fill(batch: DataFrame, batch_id: int) -> None:
+        nonlocal still
+        if still >= idle:
+            return
+        done = embed(batch.filter("embedding IS NULL")).persist()
+        pending, found = done.agg(F.count("*"), F.count("embedding")).first()
+        if found:
+            sink(done.filter("embedding IS NOT NULL"), batch_id)
+        still = still + 1 if pending and not found else 0
+        done.unpersist()
+
+    return chunks.writeStream.foreachBatch(fill).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stage_durations(events: DataFrame) -> DataFrame:
@@ -71,12 +88,27 @@ def stage_durations(events: DataFrame) -> DataFrame:
     return events.withColumn("started", started).filter("state = 'done' AND started IS NOT NULL").select("stream_id", "stage", F.col("ts").alias("done_at"), ms.alias("duration_ms"))
 
 
-def stream_stage_durations(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Stream: start and done events of a stage joined within the watermark."""
-    starts = events.filter("state = 'start'").select("stream_id", "stage", F.col("ts").alias("start_at")).withWatermark("start_at", late)
-    ends = events.filter("state = 'done'").select(F.col("stream_id").alias("s"), F.col("stage").alias("g"), F.col("ts").alias("done_at")).withWatermark("done_at", late)
-    pair = F.expr(f"stream_id = s AND stage = g AND done_at >= start_at AND done_at <= start_at + interval {late}")
-    return starts.join(ends, pair).select("stream_id", "stage", "done_at", (F.unix_millis("done_at") - F.unix_millis("start_at")).alias("duration_ms"))
+def _last_start(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Each done event with the last start of its stage before it, across batches."""
+    start = state.get[0] if state.exists else None
+    events = pd.concat(list(rows))
+    events = events.assign(turn=(events["state"] != "start").astype(int)).sort_values(["ts", "turn"])
+    out = []
+    for r in events.itertuples():
+        us = int(r.ts.value // 1000)
+        if r.state == "start":
+            start = us
+        elif r.state == "done" and start is not None:
+            out.append((key[0], key[1], r.ts, max(0, us // 1000 - start // 1000)))
+    if start is not None:
+        state.update((start,))
+    yield pd.DataFrame(out, columns=["stream_id", "stage", "done_at", "duration_ms"]).astype({"duration_ms": "int64"})
+
+
+def stream_stage_durations(events: DataFrame) -> DataFrame:
+    """Stream twin of stage_durations(): the last start of a (stream_id, stage) is its state."""
+    schema = "stream_id long, stage string, done_at timestamp, duration_ms long"
+    return events.groupBy("stream_id", "stage").applyInPandasWithState(_last_start, schema, "start_us long", "append", GroupStateTimeout.NoTimeout)
 
 
 def answer_metrics(events: DataFrame) -> DataFrame:
@@ -114,31 +146,25 @@ def think_step(held: str, inside: bool, piece: str) -> tuple[str, str, bool]:
         return out + ("" if inside else text[: len(text) - tail]), text[len(text) - tail :] if tail else "", inside
 
 
-class ThinkFilter(StatefulProcessor):
-    """Removes think blocks from a stream's token pieces, also where a tag is split over pieces."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("held", "held string, inside boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held, inside = self.state.get() if self.state.exists() else ("", False)
-        out = []
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-            text, held, inside = think_step(held, inside, r.piece or "")
-            if getattr(r, "last", False):
-                text += "" if inside else held
-                held = ""
-            out.append((key[0], r.seq, text))
-        self.state.update((held, inside))
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
-
-    def close(self) -> None:
-        pass
+def _think_pieces(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    held, inside = state.get if state.exists else ("", False)
+    out = []
+    for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+        text, held, inside = think_step(held, inside, r.piece or "")
+        if r.last:
+            text += "" if inside else held
+            held = ""
+        out.append((key[0], r.seq, text))
+    state.update((held, inside))
+    yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
 
 
 def filter_think_stream(pieces: DataFrame) -> DataFrame:
-    """pieces: stream_id, seq, piece, last (true on a stream's final piece)."""
-    return pieces.groupBy("stream_id").transformWithStateInPandas(ThinkFilter(), "stream_id long, seq long, text string", "Append", "None")
+    """Removes think blocks from streams' token pieces, also where a tag is split over pieces.
+
+    pieces: stream_id, seq, piece, last (true on a stream's final piece).
+    """
+    return pieces.groupBy("stream_id").applyInPandasWithState(_think_pieces, "stream_id long, seq long, text string", "held string, inside boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def loops(text: str, tail: int = LOOP_TAIL, window: int = LOOP_WINDOW, times: int = LOOP_TIMES) -> bool:
