@@ -50,7 +50,8 @@ def discard(df: DataFrame) -> None:
     """Frees the table behind a frame of written() that nothing reads any more: an empty one takes its place."""
     path = _PATHS.pop(df, None)
     if path:
-        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+        df.sparkSession.range(0, 0, 1, 1).select(*none).write.mode("overwrite").parquet(path)
 
 
 def crc_mod(column, modulus: int):
