@@ -35,6 +35,7 @@ from . import kernels as K
 from .io import crc_mod, sampled_labels, table, written
 
 PREFIXES = (3, 4, 5, 6)
+CLEAN = 2.0
 _DELIMITER = np.zeros(256, bool)
 _DELIMITER[[ord(c) for c in ".!?\n"]] = True
 
@@ -177,6 +178,25 @@ def fit_noisy_or(docs: list, n_features: int, steps: int = 400, rate: float = 0.
     return theta[:-2], float(theta[-2])
 
 
+def shifted(docs: list, weights: np.ndarray, bias: float, most: float = 2.0) -> float:
+    """The bias with which the smallest shares of the training documents fall on the wrong side of 0.5.
+
+    Training lets several weak sentences explain a label together, while a score of 0.5 takes one
+    sentence.  A share of clean documents counts ``CLEAN`` times as much as one of toxic ones.  The
+    shift is at most ``most``, and the smallest of equally good ones.
+    """
+    highest = np.full(len(docs), -30.0)
+    for d, (_, sentences, features) in enumerate(docs):
+        if len(sentences):
+            _, where = np.unique(np.asarray(sentences, np.int64), return_inverse=True)
+            highest[d] = bias + np.bincount(where, weights=weights[np.asarray(features, np.int64)]).max()
+    y = np.array([d[0] for d in docs])
+    values = np.unique(highest[np.abs(highest) <= most])
+    cuts = np.concatenate(([0.0], (values[1:] + values[:-1]) / 2))
+    wrong = [(highest[y == 1] < t).mean() + CLEAN * (highest[y == 0] >= t).mean() for t in cuts]
+    return bias - float(cuts[np.lexsort((np.abs(cuts), wrong))[0]])
+
+
 def fit_toxicity(labelled: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 3000, features: int = 2048, z_least: float = 2.5) -> ToxicityModel:
     """Model from rows with a label of 0 or 1; ``sample`` bounds the rows used of each class."""
     rows = labelled.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")).filter("text IS NOT NULL AND label IN (0, 1)")
@@ -201,7 +221,7 @@ def fit_toxicity(labelled: DataFrame, id: str = "doc_id", text: str = "text", la
     at = lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py()
     docs = [(label[i], sentence[at[i] : at[i + 1]], feature[at[i] : at[i + 1]]) for i in range(len(label))]
     weights, bias = fit_noisy_or(docs, len(hashes))
-    return ToxicityModel(hashes, weights, bias)
+    return ToxicityModel(hashes, weights, shifted(docs, weights, bias))
 
 
 _SENTENCES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
