@@ -35,7 +35,7 @@ from . import kernels as K
 from .io import crc_mod, sampled_labels, table, written
 
 PREFIXES = (3, 4, 5, 6)
-CLEAN = 2.0
+CLEAN = 4.0
 _DELIMITER = np.zeros(256, bool)
 _DELIMITER[[ord(c) for c in ".!?\n"]] = True
 
@@ -220,6 +220,7 @@ def fit_toxicity(labelled: DataFrame, id: str = "doc_id", text: str = "text", la
     sentence, feature = (x.flatten().to_numpy() for x in lists)
     at = lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py()
     docs = [(label[i], sentence[at[i] : at[i + 1]], feature[at[i] : at[i + 1]]) for i in range(len(label))]
+    docs.sort(key=lambda d: (d[0], len(d[1]), d[2].tolist(), d[1].tolist()))  # the order of collected rows is not fixed
     weights, bias = fit_noisy_or(docs, len(hashes))
     return ToxicityModel(hashes, weights, shifted(docs, weights, bias))
 
