@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op7_decontamination
 from .html import op2_html_extraction
+from .importance import OP12_SQL, op12_target_resampling
 from .language import op8_language_id
 from .lines import op5_line_dedup
 from .mixing import OP10_SQL, op10_mixing
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op12_target_resampling": op12_target_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_minhash_near_dedup": OP6_SQL,
     "op10_mixing": OP10_SQL,
+    "op12_target_resampling": OP12_SQL,
 }
