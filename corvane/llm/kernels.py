@@ -115,6 +115,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return runs(_IS_WORD[data], offsets)
 
 
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number below the second result for each word, equal for equal words (compared as bytes)."""
+    offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+    held = pa.py_buffer(np.ascontiguousarray(data[_IS_WORD[data]]))
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), held]).dictionary_encode()
+    return coded.indices.to_numpy(), len(coded.dictionary)
+
+
 def prefix_sums(data: np.ndarray, base: int = BASE_A, fold: bool = False) -> np.ndarray:
     up, _ = powers(base).upto(len(data) + 1)
     out = np.zeros(len(data) + 1, U64)

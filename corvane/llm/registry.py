@@ -9,6 +9,7 @@ from .language import op8_language_id
 from .lines import op5_line_dedup
 from .mixing import OP10_SQL, op10_mixing
 from .near_duplicates import OP6_SQL, op6_minhash_near_dedup
+from .periodic import OP13_SQL, op13_periodic_runs
 from .quality import op9_quality_rules
 from .secrets import op1_secret_scans
 from .substrings import op3_substring_dedup
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
     "op12_target_resampling": op12_target_resampling,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_minhash_near_dedup": OP6_SQL,
     "op10_mixing": OP10_SQL,
     "op12_target_resampling": OP12_SQL,
+    "op13_periodic_runs": OP13_SQL,
 }
