@@ -13,6 +13,7 @@ from .periodic import OP13_SQL, op13_periodic_runs
 from .quality import op9_quality_rules
 from .secrets import op1_secret_scans
 from .substrings import op3_substring_dedup
+from .tokens import op11_token_output
 from .toxicity import op4_toxicity
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op11_token_output": op11_token_output,
     "op12_target_resampling": op12_target_resampling,
     "op13_periodic_runs": op13_periodic_runs,
 }
