@@ -3,7 +3,7 @@
 Documents are range-partitioned and sorted by id, so the files of the tasks in order hold the
 documents in order; a task encodes its texts and appends the ids of each document and an end id to
 its current file.  A file is in Arrow's IPC file format (the stream format with a footer of batch
-offsets): columns ``ids`` and ``mask``, fixed-size lists of ``length`` numbers, in batches of
+offsets): columns ``ids`` and ``mask``, fixed-size lists of ``length`` numbers and bits, in batches of
 ``per_batch`` sequences, uncompressed.  So sequence k of a file is row k % per_batch of batch
 k // per_batch: an offset, mapped from disk without a copy.  The mask is 1 for ids of documents and 0
 for the filling of a file's last sequence.  A second Arrow file beside it says where each document
@@ -12,9 +12,9 @@ starts and how many ids it has.  A file ends with the document that brings it to
 Recovery: every attempt of a task writes files of its own name; only those that the manifest lists, a
 table Spark commits, count.  Leftovers of lost attempts are never read.
 
-Speed: with a byte-level BPE vocabulary no token spans a blank or newline that stands alone between two printable
-ASCII characters, except as its first character; a text is cut there, and each distinct piece is
-encoded once and kept (short ones, in a bounded table).  Other vocabularies get whole texts.
+Speed: with a byte-level BPE vocabulary a token never holds a blank after a character that is none, so a text is
+cut before such blanks, and each distinct piece is encoded once and kept (short ones, in a bounded
+table).  Other vocabularies get whole texts.
 Memory of a task: the texts of one Arrow batch, one record batch of ids, and that table.
 
 Defined results: a null text counts as empty, an empty text is the end id alone; null ids come first;
@@ -34,6 +34,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,10 +44,15 @@ from . import kernels as K
 from .io import shared_folder, table, written
 
 #: Bytes up to which an encoded piece is kept, and pieces kept at most.
-SHORT, KEPT = 48, 1 << 19
+SHORT, KEPT = 48, 1 << 20
+#: Bytes of text encoded at once: the more, the fewer pieces occur for the first time.
+AT_ONCE = 4 << 20
 _BLANK, _PRINTABLE = np.zeros(256, bool), np.zeros(256, bool)
-_BLANK[[0x20, 0x0A]] = True
+_BLANK[[0x20, 0x09, 0x0A, 0x0D]] = True
 _PRINTABLE[0x21:0x7F] = True
+#: First two bytes of the three-byte characters among which Unicode's blanks are (those of two bytes start with C2).
+_WIDE_BLANKS = np.zeros((256, 256), bool)
+_WIDE_BLANKS[[0xE1, 0xE2, 0xE2, 0xE3], [0x9A, 0x80, 0x81, 0x80]] = True
 
 
 class Encoder:
@@ -74,47 +80,52 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[bytes, int] = {}
+        self.known = pa.array([], pa.large_binary())
         self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, self.kind)
 
-    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        out = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        sizes = np.fromiter((len(e) for e in out), np.int64, len(out))
+    def _encoded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        out = self.tokenizer.encode_batch_fast(pieces.cast(pa.large_string()).to_pylist(), add_special_tokens=False)
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
         return sizes, np.fromiter(chain.from_iterable(e.ids for e in out), self.kind, int(sizes.sum()))
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each row, and the ids of all rows."""
-        n = len(offsets) - 1
+    def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces start: at rows, and at blanks after characters that are none."""
         start = np.zeros(len(data) + 1, bool)
         start[offsets] = True
         if self.cuts and len(data) > 2:
-            printable = _PRINTABLE[data]
-            start[1 : len(data) - 1] |= _BLANK[data[1:-1]] & printable[:-2] & printable[2:]
-        starts = np.flatnonzero(start[: len(data)])
-        ends = np.append(starts[1:], len(data))
-        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
-        if len(self.slot) + len(distinct) > KEPT:
+            at = np.flatnonzero(_BLANK[data[2:]]) + 2
+            one, two, three = data[at - 1], data[at - 2], data[np.maximum(at - 3, 0)]
+            wide = (one >= 0x80) & ~((two == 0xC2) | _WIDE_BLANKS[three, two])
+            start[at[_PRINTABLE[one] | wide]] = True
+        return np.flatnonzero(start[: len(data)])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each row, and the ids of all rows."""
+        n = len(offsets) - 1
+        starts = self._starts(data, offsets)
+        bounds = np.append(starts, len(data))
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        distinct = pieces.dictionary
+        if len(self.known) + len(distinct) > KEPT:
             self._forget()
-        slots = np.fromiter((self.slot.get(p, -1) for p in distinct), np.int64, len(distinct))
+        slots = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         lacking = np.flatnonzero(slots < 0)
-        short = [i for i in lacking.tolist() if len(distinct[i]) <= SHORT]
-        long = [i for i in lacking.tolist() if len(distinct[i]) > SHORT]
-        for found, keep in ((short, True), (long, False)):
-            sizes, ids = self._encoded([distinct[i] for i in found])
+        length = pc.binary_length(distinct).to_numpy()[lacking]
+        for found, keep in ((lacking[length <= SHORT], True), (lacking[length > SHORT], False)):
+            new = distinct.take(pa.array(found))
+            sizes, ids = self._encoded(new)
+            slots[found] = len(self.sizes) + np.arange(len(found))
+            sizes, pool = np.concatenate((self.sizes, sizes)), np.concatenate((self.pool, ids))
             if keep:
-                self.slot.update((distinct[i], len(self.sizes) + k) for k, i in enumerate(found))
-                slots[found] = len(self.sizes) + np.arange(len(found))
-                self.sizes, self.pool = np.concatenate((self.sizes, sizes)), np.concatenate((self.pool, ids))
-            else:
-                slots[found] = len(self.sizes) + np.arange(len(found))
-                all_sizes, pool = np.concatenate((self.sizes, sizes)), np.concatenate((self.pool, ids))
-        at = np.cumsum(all_sizes) - all_sizes
-        slot = slots[pieces.indices.to_numpy()]
-        size = all_sizes[slot]
-        place = np.repeat(at[slot] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                self.known, self.sizes, self.pool = pa.concat_arrays([self.known, new]), sizes, pool
+        at = (np.cumsum(sizes) - sizes)[slots]
+        slot = pieces.indices.to_numpy()
+        size = sizes[slots][slot]
+        upto = np.cumsum(size)
+        total = int(upto[-1]) if len(upto) else 0
+        place = np.arange(total) + np.repeat(at[slot] - (upto - size), size)
         # a piece lies in one row, rows without bytes have none
-        rows = np.searchsorted(offsets, ends, "left") - 1
+        rows = np.searchsorted(offsets, bounds[1:], "left") - 1
         return np.bincount(rows, weights=size, minlength=n).astype(np.int64), pool[place]
 
     def documents(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +150,7 @@ class _Writer:
         self.fs.create_dir(root, recursive=True)
         self.path, self.name, self.length, self.room, self.fill = f"{root}/{name}", name, length, length * per_batch, fill
         number = pa.from_numpy_dtype(kind)
-        self.schema = pa.schema([("ids", pa.list_(number, length)), ("mask", pa.list_(pa.uint8(), length))], {"sequences_in_a_batch": str(per_batch)})
+        self.schema = pa.schema([("ids", pa.list_(number, length)), ("mask", pa.list_(pa.bool_(), length))], {"sequences_in_a_batch": str(per_batch)})
         self.sink = self.fs.open_output_stream(f"{self.path}.arrow")
         self.out = pa.ipc.new_file(self.sink, self.schema)
         self.places = self.fs.open_output_stream(f"{self.path}.documents.arrow")
@@ -166,7 +177,7 @@ class _Writer:
         return pa.schema([("id", ids.type), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
     def _batch(self, tokens: np.ndarray, real: int) -> None:
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.length) for v in (tokens, (np.arange(len(tokens)) < real).astype(np.uint8))]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.length) for v in (tokens, np.arange(len(tokens)) < real)]
         self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> dict:
@@ -199,7 +210,7 @@ def write_tokens(
         encoder = _encoder(spec.value, special_as_text)
         part, number, writer = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            for at, n, data, offsets in K.string_chunks(batch.column(1)):
+            for at, n, data, offsets in K.string_chunks(batch.column(1), AT_ONCE):
                 counts, tokens = encoder.documents(data, offsets, end)
                 upto, a = np.concatenate(([0], np.cumsum(counts))), 0
                 while a < n:
@@ -234,18 +245,18 @@ class TokenFile:
         batches = self.reader.num_record_batches
         self.n_sequences = (batches - 1) * self.per_batch + self.reader.get_batch(batches - 1).num_rows if batches else 0
 
-    def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of batch ``k``, flat, without a copy."""
-        b = self.reader.get_batch(k)
-        return tuple(c.flatten().to_numpy(zero_copy_only=True) for c in b.columns)
+    def batch(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of batch ``k``, flat, without a copy; the mask has a bit an id."""
+        ids, mask = self.reader.get_batch(k).columns
+        return ids.flatten().to_numpy(zero_copy_only=True), mask.flatten()
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence ``k``, views of the file."""
         if not 0 <= k < self.n_sequences:
             raise IndexError(k)
         ids, mask = self.batch(k // self.per_batch)
         a = k % self.per_batch * self.length
-        return ids[a : a + self.length], mask[a : a + self.length]
+        return ids[a : a + self.length], mask.slice(a, self.length)
 
     def close(self) -> None:
         for f in self._files:
@@ -283,7 +294,7 @@ def read_documents(manifest: DataFrame, folder: str, kind: str = "long") -> Data
                             if a // room != k:
                                 k = a // room
                                 ids, mask = f.batch(k)
-                                if not mask[: z - k * room].all():
+                                if not pc.all(mask.slice(0, z - k * room)).as_py():
                                     raise ValueError(f"{name}: a document reaches into the filling")
                                 held = ids.astype("<u4")
                             stop = min(z, (k + 1) * room)

@@ -56,7 +56,7 @@ def test_table_of_pieces_is_bounded(spec, monkeypatch):
     for _ in range(20):
         texts = [" ".join(str(rng.randrange(1000)) for _ in range(12))]
         assert encode(encoder, texts) == [plain(spec, texts[0])]
-        assert len(encoder.slot) <= 50
+        assert len(encoder.known) <= 50 + 12
 
 
 def test_other_vocabularies_get_whole_texts():
@@ -90,18 +90,19 @@ def test_round_trip(spark, tmp_path, spec, length, per_batch, file_tokens):
 
     # the sequences, masks off the filling, are the ids in order
     flat, total = [], 0
-    for m in manifest.orderBy("part", "number").collect():
+    files = manifest.orderBy("part", "number").collect()
+    for m in files:
         f = TokenFile(folder, m["name"])
         assert f.n_sequences == m.n_sequences
-        taken = [f.sequence(k) for k in range(f.n_sequences)]
+        taken = [(a, np.array(b)) for a, b in map(f.sequence, range(f.n_sequences))]
         assert all(len(a) == len(b) == length and set(np.unique(b)) <= {0, 1} for a, b in taken)
         masks = np.concatenate([b for _, b in taken])
         assert masks.sum() == m.n_tokens and (np.diff(masks.astype(int)) <= 0).all() and len(masks) - m.n_tokens < length
         flat += np.concatenate([a for a, _ in taken])[masks == 1].tolist()
         with pytest.raises(IndexError):
             f.sequence(f.n_sequences)
-        last = manifest.count() > 20 or locate(manifest, total + f.n_sequences - 1) == (m["name"], f.n_sequences - 1)
-        assert last
+        if m in (files[0], files[-1]):
+            assert locate(manifest, total + f.n_sequences - 1) == (m["name"], f.n_sequences - 1)
         total += f.n_sequences
     assert flat == [i for x in ids for i in x]
     with pytest.raises(IndexError):
@@ -113,8 +114,8 @@ def test_random_access_copies_nothing(spark, tmp_path, spec):
     f = TokenFile(folder, manifest.first()["name"])
     before = pa.total_allocated_bytes()
     views = [f.sequence(k) for k in range(f.n_sequences)]
-    assert pa.total_allocated_bytes() == before and all(not a.flags.owndata and not a.flags.writeable for v in views for a in v)
-    assert np.shares_memory(f.sequence(1)[0], views[1][0])
+    assert pa.total_allocated_bytes() == before and all(not a.flags.owndata and not a.flags.writeable for a, _ in views)
+    assert np.shares_memory(f.sequence(1)[0], views[1][0]) and f.sequence(1)[1].buffers()[1].address == f.sequence(0)[1].buffers()[1].address
 
 
 def test_leftovers_of_lost_attempts_do_not_count(spark, tmp_path, spec):
