@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import classify_doc_type, collapse, content_tokens
+from ..functions.text import classify_doc_type, content_tokens
 
 K1, B = 1.2, 0.75
 MARK, UNMARK = "⟦", "⟧"
@@ -72,17 +72,6 @@ def lexical_rank(terms: DataFrame, chunks: DataFrame, k1: float = K1, b: float =
     return matched.join(asked, "term").groupBy("query_id", "doc_id", "chunk_id").agg(F.sum(F.col("idf") * gain).alias("score"))
 
 
-def cover_density(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """Scores by cover density: the sum over minimal covers of one over the cover's length.
-
-    A cover is a stretch between two neighbouring matches of different query terms.
-    """
-    hits = terms.join(postings, "term").select("query_id", "chunk_id", "term", F.explode("positions").alias("p"))
-    line = Window.partitionBy("query_id", "chunk_id").orderBy("p")
-    gap = F.when(F.col("term") != F.lag("term").over(line), 1.0 / (F.col("p") - F.lag("p").over(line)))
-    return hits.withColumn("gap", gap).groupBy("query_id", "chunk_id").agg((F.coalesce(F.sum("gap"), F.lit(0.0)) + 0.1 * F.count("*")).alias("score"))
-
-
 def top_per_group(hits: DataFrame, group, order, k: int, rank: str = "rank") -> DataFrame:
     """First k rows of each group; Spark cuts to k rows before the shuffle."""
     w = Window.partitionBy(*group).orderBy(*order)
@@ -167,18 +156,6 @@ def search_library(queries: DataFrame, chunks: DataFrame, docs: DataFrame, types
     return top_per_group(found, ["query_id"], SORTS[sort](), limit)
 
 
-def headline(text, terms, least: int = 6, most: int = 18, fallback: int = 240) -> Column:
-    """The densest stretch of at most ``most`` words with matches in ⟦…⟧, else the start of the text."""
-    words = F.split(collapse(F.col(text)), " ")
-    bare = lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9äöüß]+", "")
-    match = F.transform(words, lambda w: F.array_contains(F.col(terms), bare(w)))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - most + 1, F.lit(1)))
-    density = F.transform(starts, lambda s: F.struct(F.size(F.filter(F.slice(match, s, F.lit(most)), lambda m: m)).alias("n"), (-s).alias("s")))
-    best = F.array_max(density)
-    marked = F.transform(words, lambda w: F.when(F.array_contains(F.col(terms), bare(w)), F.concat(F.lit(MARK), w, F.lit(UNMARK))).otherwise(w))
-    return F.when(best.n > 0, F.array_join(F.slice(marked, -best.s, F.lit(most)), " ")).otherwise(F.substring(collapse(F.col(text)), 1, fallback))
-
-
 def split_sentinels(df: DataFrame, id: str, text: str) -> DataFrame:
     """(id, seq, part, highlighted) of a text with ⟦…⟧ marks; empty parts dropped."""
     marked = F.split(F.concat(F.lit(UNMARK), F.col(text)), f"(?=[{MARK}{UNMARK}])")

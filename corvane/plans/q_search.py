@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.stems import with_stems
 from ..operators import fusion as G
 from ..operators import lexical as E
+from ..operators import passages as H
+from ..operators import postings as P
 from ..operators import vectors as V
-from .views import NOW, chunks, docs, queries, query, query_vectors, table, tokens_sql, vectors
+from .views import _ENGLISH_STOP, _GERMAN_STOP, NOW, chunks, docs, queries, query, query_vectors, table, tokens_sql, vectors, whole_queries
 
 READY = "SELECT doc_id FROM docs WHERE status = 'ready'"
 CAPPED = "SELECT query_id, chunk_id, doc_id, score FROM (SELECT b.query_id, b.chunk_id, c.doc_id, b.score, row_number() OVER (PARTITION BY b.query_id, c.doc_id ORDER BY round(b.score, 9) DESC, b.chunk_id) AS n FROM bm25 b JOIN chunks c USING (chunk_id) WHERE c.doc_id IN (" + READY + ")) WHERE n <= 3"
@@ -48,12 +51,45 @@ def lexical_rank(spark, d):
     return E.lexical_rank(E.or_query_terms(queries(spark, d)), chunks(spark, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-POSITIONS = f"SELECT chunk_id, tokens[i + 1] AS term, i AS p FROM (SELECT chunk_id, tokens, unnest(range(0, len(tokens))) AS i FROM (SELECT chunk_id, {tokens_sql('c.text')} AS tokens FROM chunks c))"
+@query("stem_words", "SELECT word, german, english FROM stems JOIN (SELECT DISTINCT word FROM placed) USING (word)", "stems")
+def stem_words(spark, d):
+    words = chunks(spark, d).select(F.explode(X.words_without("text", ())).alias("word")).distinct()
+    return with_stems(words)
 
 
-@query("cover_density", f"WITH h AS (SELECT q.query_id, o.chunk_id, o.term, o.p FROM query_terms q JOIN ({POSITIONS}) o USING (term)), g AS (SELECT *, CASE WHEN term <> lag(term) OVER w THEN 1.0::DOUBLE / (p - lag(p) OVER w) END AS gap FROM h WINDOW w AS (PARTITION BY query_id, chunk_id ORDER BY p)) SELECT query_id, chunk_id, round(coalesce(sum(gap), 0) + 0.1::DOUBLE * count(*), 6) AS score FROM g GROUP BY 1, 2", "query_terms", "chunks")
+@query("stored_postings", "WITH n AS (SELECT avg(len) AS avg_len FROM (SELECT DISTINCT chunk_id, len FROM weighted)) SELECT term, chunk_id, round(tf, 6) AS tf, round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)), 6) AS gain FROM weighted, n", "weighted")
+def stored_postings(spark, d):
+    """The index written, opened anew and read: every posting of every block."""
+    stored = P.build_store(chunks(spark, d))
+    rows = P.open_store(spark, stored.path).table("blocks").select("term", F.inline("postings"))
+    return rows.select("term", "chunk_id", F.round("tf", 6).alias("tf"), F.round("gain", 6).alias("gain"))
+
+
+STORED = "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, chunk_id, doc_id, score FROM (SELECT * FROM (SELECT b.query_id, b.chunk_id, c.doc_id, b.score, row_number() OVER (PARTITION BY b.query_id, c.doc_id ORDER BY round(b.score, 9) DESC, b.chunk_id) AS n FROM stemmed_bm25 b JOIN chunks c USING (chunk_id) WHERE c.doc_id IN (" + READY + ")) WHERE n <= 3)"
+
+
+@query("search_stored", f"SELECT query_id, rank, chunk_id, doc_id, round(score, 6) AS score FROM ({STORED}) WHERE rank <= 10", "stemmed_bm25")
+def search_stored(spark, d):
+    """Whole benchmark texts as queries over the stored index."""
+    found = P.search_stored(whole_queries(spark, d), P.build_store(chunks(spark, d)), docs(spark, d))
+    return found.withColumn("score", F.round("score", 6))
+
+
+COVERS = f"""WITH q AS (SELECT DISTINCT query_id, german || ' ' || english AS item, german, english FROM asked_words JOIN stems USING (word) WHERE NOT list_contains(list_concat({_GERMAN_STOP}, {_ENGLISH_STOP}), word)),
+qt AS (SELECT query_id, item, german AS term, 'A' AS weight FROM q UNION ALL SELECT query_id, item, english, 'B' FROM q),
+z AS (SELECT query_id, count(DISTINCT item) AS n_asked FROM q GROUP BY 1),
+h AS MATERIALIZED (SELECT query_id, chunk_id, position AS p, item, max(CASE weight WHEN 'A' THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) AS w FROM chunk_lexemes JOIN qt USING (term, weight) GROUP BY 1, 2, 3, 4),
+m AS (SELECT query_id, chunk_id, count(DISTINCT item) AS n_items FROM h GROUP BY 1, 2),
+pl AS MATERIALIZED (SELECT query_id, chunk_id, p, max(w) AS w FROM h GROUP BY 1, 2, 3),
+lt AS (SELECT r.query_id, r.chunk_id, r.p AS r, o.item, max(o.p) AS last FROM pl r JOIN h o ON r.query_id = o.query_id AND r.chunk_id = o.chunk_id AND o.p <= r.p GROUP BY 1, 2, 3, 4),
+cv AS (SELECT query_id, chunk_id, l, min(r) AS r FROM (SELECT query_id, chunk_id, r, min(last) AS l, count(*) AS n FROM lt GROUP BY 1, 2, 3) JOIN m USING (query_id, chunk_id) WHERE n = n_items GROUP BY 1, 2, 3),
+s AS (SELECT cv.query_id, cv.chunk_id, l, cv.r, count(*) AS k, sum(1.0::DOUBLE / w) AS inv FROM cv JOIN pl ON pl.query_id = cv.query_id AND pl.chunk_id = cv.chunk_id AND pl.p BETWEEN cv.l AND cv.r GROUP BY 1, 2, 3, 4)
+SELECT query_id, chunk_id, n_items, round(sum(k / inv / (1 + (r - l + 1) - k)) * n_items / n_asked, 6) AS score FROM s JOIN m USING (query_id, chunk_id) JOIN z USING (query_id) GROUP BY query_id, chunk_id, n_items, n_asked"""
+
+
+@query("cover_density", COVERS, "chunk_lexemes")
 def cover_density(spark, d):
-    return E.cover_density(E.or_query_terms(queries(spark, d)), E.build_postings(chunks(spark, d))).withColumn("score", F.round("score", 6))
+    return H.cover_density(whole_queries(spark, d), chunks(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def _themes(spark, d):
@@ -87,9 +123,10 @@ def search_library(spark, d):
 
 @query("headline")
 def headline(spark, d):
-    q = queries(spark, d).select("query_id", F.array_distinct(X.content_tokens("query")).alias("terms"))
-    hits = _hits(spark, d, 3).join(q, "query_id").join(chunks(spark, d).select("chunk_id", "text"), "chunk_id")
-    return hits.select("query_id", "rank", "chunk_id", E.headline("text", "terms").alias("headline"))
+    """Headlines of the three best chunks of whole benchmark texts; fragments are tested against brute force."""
+    q = whole_queries(spark, d)
+    hits = P.search_stored(q, P.build_store(chunks(spark, d)), docs(spark, d), k=3).join(chunks(spark, d).select("chunk_id", "text", "language"), "chunk_id")
+    return H.headlines(hits, q)
 
 
 @query("split_sentinels", "WITH p AS (SELECT chunk_id, list_filter([{'part': substring(text, 1, 5), 'highlighted': false}, {'part': substring(text, 6, 5), 'highlighted': true}, {'part': substring(text, 11), 'highlighted': false}], lambda x: x.part <> '') AS ps FROM chunks) SELECT chunk_id, i AS seq, ps[i + 1].part AS part, ps[i + 1].highlighted AS highlighted FROM (SELECT chunk_id, ps, unnest(range(0, len(ps))) AS i FROM p)", "chunks")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens
 from ..operators.chunking import chunk_fixed
+from ..sources.shared import new_folder
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,6 +49,10 @@ def queries(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
 
 
+def whole_queries(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
 def vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("doc_id"), "embedding")
 
@@ -70,9 +73,8 @@ def lines(spark, sf_dir) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or on this machine where a local session leaves it unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root}/files-{uuid.uuid4().hex}" if root else "file://" + tempfile.mkdtemp(prefix="corvane-files-")
+    """A new folder that all executors share."""
+    return new_folder(spark, "files")
 
 
 # The twins' views. DuckDB's regular expressions have no look-around. The stopwords are fixed values.
@@ -83,7 +85,39 @@ def tokens_sql(text: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({text}), '[^a-zA-Z0-9äöüß]+'), lambda t: t <> '' AND NOT list_contains({_STOP}, t))"
 
 
+# Stems as in functions/stems.py, step by step over distinct words; doubled letters by name, since there are no back-references.
+_GERMAN_STOP = "['der','die','das','den','dem','des','ein','eine','einer','eines','und','oder','von','zu','im','auf','für','mit','ist','sind']"
+_ENGLISH_STOP = "['the','a','an','and','or','of','to','in','on','for','with','is','are','was','were','be','by','at','as','it']"
+
+
+def _doubled(text: str) -> str:
+    for c in "abcdefghijklmnopqrstuvwxyz0123456789$%&":
+        text = f"replace({text}, '{c}{c}', '{c}*')"
+    return text
+
+
+def words_sql(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({text}), '[^a-zA-Z0-9äöüß]+'), lambda t: t <> '')"
+
+
+def stems_sql(words: str) -> str:
+    """(word, german, english) of the rows (word) of ``words``."""
+    groups = "replace(replace(replace(regexp_replace(replace(translate(word, 'äöü', 'aou'), 'ß', 'ss'), '^ge(.{4,})$', '\\1'), 'sch', '$'), 'ei', '%'), 'ie', '&')"
+    german = f"replace(replace(replace(regexp_replace(regexp_replace({_doubled(groups)}, '^(?:(.{{3}})[tesn](?:e[mr]|nd|[tesn])*|(.{{4,}}?)(?:e[mr]|nd|[tesn])+)$', '\\1\\2'), '(.)\\*', '\\1\\1', 'g'), '$', 'sch'), '%', 'ei'), '&', 'ie')"
+    return f"""SELECT word, german, regexp_replace(two, '^((?:[^aeiou][^aeiouy]*)?[aeiouy].*)y$', '\\1i') AS english FROM (
+SELECT *, CASE WHEN regexp_matches(one, 'eed$') THEN regexp_replace(one, '^((?:[^aeiou][^aeiouy]*)?[aeiouy][aeiou]*[^aeiou][^aeiouy]*.*)eed$', '\\1ee')
+  WHEN cut <> one AND regexp_matches(cut, '^(?:[^aeiou][^aeiouy]*)?[aeiouy]') THEN CASE WHEN regexp_matches(cut, '(?:at|bl|iz)$') THEN cut || 'e' WHEN substr(cut, -1, 1) = substr(cut, -2, 1) AND regexp_matches(cut, '..[^aeiouylsz]$') THEN left(cut, -1) WHEN regexp_matches(cut, '^[^aeiou][^aeiouy]*[aeiouy][^aeiouwxy]$') THEN cut || 'e' ELSE cut END
+  ELSE one END AS two FROM (SELECT *, regexp_replace(one, '(?:ed|ing)$', '') AS cut FROM (SELECT word, {german} AS german, CASE WHEN length(word) <= 2 THEN word ELSE regexp_replace(regexp_replace(regexp_replace(word, 'sses$', 'ss'), 'ies$', 'i'), '([^s])s$', '\\1') END AS one FROM ({words}))))"""
+
+
 VIEWS = {
+    "whole_queries": "SELECT item_id AS query_id, text AS query FROM benchmark",
+    "placed": f"SELECT chunk_id, ws[i + 1] AS word, i AS position FROM (SELECT chunk_id, ws, unnest(range(0, len(ws))) AS i FROM (SELECT chunk_id, {words_sql('c.text')} AS ws FROM chunks c))",
+    "asked_words": f"SELECT DISTINCT query_id, unnest({words_sql('query')}) AS word FROM whole_queries",
+    "stems": stems_sql("SELECT word FROM placed UNION SELECT word FROM asked_words"),
+    "chunk_lexemes": f"SELECT chunk_id, german AS term, 'A' AS weight, position FROM placed JOIN stems USING (word) WHERE NOT list_contains({_GERMAN_STOP}, word) AND german <> '' UNION ALL SELECT chunk_id, english, 'B', position FROM placed JOIN stems USING (word) WHERE NOT list_contains({_ENGLISH_STOP}, word) AND english <> ''",
+    "weighted": "SELECT chunk_id, term, tf, sum(tf) OVER (PARTITION BY chunk_id) AS len FROM (SELECT chunk_id, term, sum(CASE weight WHEN 'A' THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) AS tf FROM chunk_lexemes GROUP BY 1, 2)",
+    "stemmed_bm25": f"WITH q AS (SELECT query_id, german AS term FROM asked_words JOIN stems USING (word) WHERE NOT list_contains({_GERMAN_STOP}, word) UNION SELECT query_id, english FROM asked_words JOIN stems USING (word) WHERE NOT list_contains({_ENGLISH_STOP}, word)), n AS (SELECT count(*) AS n, avg(len) AS avg_len FROM (SELECT DISTINCT chunk_id, len FROM weighted)), f AS (SELECT term, count(*) AS df FROM weighted GROUP BY term) SELECT query_id, chunk_id, sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS score FROM q JOIN weighted USING (term) JOIN f USING (term), n GROUP BY 1, 2",
     "docs": "SELECT doc_id, text, source || '_' || doc_id || '.' || ['pdf','docx','md','txt','py'][(doc_id % 5 + 1)::INT] AS title, doc_id % 4 AS workspace_id, n_chars AS byte_size, 1704067200 + doc_id * 3600 AS added_at, CASE WHEN doc_id % 17 = 0 THEN 'indexing' ELSE 'ready' END AS status, lang, source FROM documents",
     "chunks": r"SELECT doc_id * 100000 + i AS chunk_id, doc_id, i AS ordinal, t AS text, ceil(length(t) / 3.5)::BIGINT AS token_count, CASE WHEN lang IN ('de', 'en') THEN lang ELSE 'other' END AS language FROM (SELECT doc_id, lang, i, regexp_replace(substring(text, (i * 448 + 1)::BIGINT, 512), '^\s+|\s+$', '', 'g') AS t FROM (SELECT doc_id, lang, text, unnest(range(0, ((length(text) + 447) // 448)::BIGINT)) AS i FROM docs)) WHERE t <> ''",
     "queries": "SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') AS query FROM benchmark",
@@ -96,7 +130,7 @@ VIEWS = {
     "query_terms": f"SELECT DISTINCT query_id, unnest({tokens_sql('query')}) AS term FROM queries",
     "bm25": "SELECT q.query_id, t.chunk_id, sum(ln(1 + (n.n - f.df + 0.5) / (f.df + 0.5)) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * l.len / n.avg_len))) AS score FROM query_terms q JOIN terms t USING (term) JOIN (SELECT term, count(*) AS df FROM terms GROUP BY term) f USING (term) JOIN (SELECT chunk_id, sum(tf) AS len FROM terms GROUP BY chunk_id) l USING (chunk_id), (SELECT count(*) AS n, avg(len) AS avg_len FROM (SELECT chunk_id, sum(tf) AS len FROM terms GROUP BY chunk_id)) n GROUP BY 1, 2",
 }
-_NEEDS = {"chunks": ("docs",), "query_vectors": ("vectors",), "cosines": ("query_vectors",), "terms": ("chunks",), "query_terms": ("queries",), "bm25": ("query_terms", "terms")}
+_NEEDS = {"placed": ("chunks",), "asked_words": ("whole_queries",), "stems": ("placed", "asked_words"), "chunk_lexemes": ("stems",), "weighted": ("chunk_lexemes",), "stemmed_bm25": ("weighted",), "chunks": ("docs",), "query_vectors": ("vectors",), "cosines": ("query_vectors",), "terms": ("chunks",), "query_terms": ("queries",), "bm25": ("query_terms", "terms")}
 
 
 def twin(body: str, *views: str) -> str:
