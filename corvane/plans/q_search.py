@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.stems import with_stems
 from ..operators import fusion as G
+from ..operators import inverted_lists as I
 from ..operators import lexical as E
 from ..operators import passages as H
 from ..operators import postings as P
@@ -177,6 +178,23 @@ def knn_per_doc_cap(spark, d):
     return V.knn_per_doc_cap(query_vectors(spark, d), vectors(spark, d), 10, 2).select("query_id", "rank", "vec_id", "doc_id")
 
 
+#: Lists and pieces of the index, lists read, vectors compared whole.  The given vectors are spread evenly, so nearly all lists are read.
+LISTS, PARTS, PROBE, RERANK = 16, 16, 14, 50
+
+
+@query("knn_ivf")
+def knn_ivf(spark, d):
+    v = vectors(spark, d)
+    return I.knn_ivf(query_vectors(spark, d), v, I.build_index(v, LISTS, PARTS), 10, PROBE, RERANK)
+
+
+@query("knn_ivf_recall")
+def knn_ivf_recall(spark, d):
+    """Recall of the ten nearest, the share of vectors compared whole and the share whose codes were scanned."""
+    v, q = vectors(spark, d), query_vectors(spark, d)
+    return I.measured(q, v, I.build_index(v, LISTS, PARTS), 10, PROBE, RERANK, V.knn_exact(q, v, 10))
+
+
 @query("knn_lsh")
 def knn_lsh(spark, d):
     return V.knn_lsh(query_vectors(spark, d), vectors(spark, d), 10, tables=16, bits=4)
