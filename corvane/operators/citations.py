@@ -161,24 +161,6 @@ def route_queries(queries: DataFrame, titles: DataFrame) -> DataFrame:
     return queries.join(found, "query_id", "left").select("query_id", route.alias("route"), document.alias("doc_id"))
 
 
-# Frequent function words of the two languages.
-GERMAN = "der die das und ist nicht ein eine zu den mit von auf für im sich auch als an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man".split()
-ENGLISH = "the of and to in is that it was for on are with as be at by this have from or had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may".split()
-
-
-def detect_language(c, least_chars: int = 40, least_hits: int = 2, ratio: float = 1.5) -> Column:
-    """de, en, other or null, by function words and umlauts; null for short or undecided texts."""
-    words = F.split(F.lower(trim_all(c)), r"[^\p{L}]+")
-    hits = lambda listed: F.size(F.filter(words, lambda w: w.isin(*listed)))
-    de, en, n = hits(GERMAN) + F.regexp_count(F.lower(c), F.lit("[äöüß]")), hits(ENGLISH), F.size(words)
-    return (
-        F.when(F.length(trim_all(c)) < least_chars, F.lit(None))
-        .when((de >= least_hits) & (de >= ratio * en), "de")
-        .when((en >= least_hits) & (en >= ratio * de), "en")
-        .when((n >= 8) & (de + en < 0.05 * n), "other")
-    )
-
-
 def deck_language(decks: DataFrame, docs: DataFrame, chunks: DataFrame, looks_german, most: int = 600) -> DataFrame:
     """Language of the first selected document that has text: (deck_id, language)."""
     first = chunks.groupBy("doc_id").agg(F.min_by("text", "ordinal").alias("first"))
