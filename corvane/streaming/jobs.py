@@ -6,19 +6,16 @@ next to the stream.  Watermarks are a choice of this library: late events beyond
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.maintenance import reconcile_inventory
 from ..sources.files import text_files
+from .keyed import LOOP_TAIL, LOOP_TIMES, LOOP_WINDOW, detect_loops_stream, filter_think_stream, loops, stream_stage_durations, think_step
 
 DEBOUNCE = "800 milliseconds"
-OPEN, CLOSE = "<think>", "</think>"
-LOOP_TAIL, LOOP_WINDOW, LOOP_TIMES = 40, 1024, 3
 
 
 def debounce_changes(changes: DataFrame, gap: str = DEBOUNCE, late: str | None = None) -> DataFrame:
@@ -80,35 +77,16 @@ def stream_backfill(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame],
     return chunks.writeStream.foreachBatch(fill).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stage_durations(events: DataFrame) -> DataFrame:
-    """Batch: each done event with the last start of its (stream_id, stage) before it; never negative."""
+def stage_durations(events: DataFrame, longest_ms: int | None = None) -> DataFrame:
+    """Batch: each done event with the last start of its (stream_id, stage) before it; never negative.
+
+    Starts more than ``longest_ms`` before are forgotten.
+    """
     line = Window.partitionBy("stream_id", "stage").orderBy("ts", F.when(F.col("state") == "start", 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
     started = F.last(F.when(F.col("state") == "start", F.col("ts")), ignorenulls=True).over(line)
     ms = F.greatest(F.lit(0).cast("long"), F.unix_millis("ts") - F.unix_millis("started"))
-    return events.withColumn("started", started).filter("state = 'done' AND started IS NOT NULL").select("stream_id", "stage", F.col("ts").alias("done_at"), ms.alias("duration_ms"))
-
-
-def _last_start(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Each done event with the last start of its stage before it, across batches."""
-    start = state.get[0] if state.exists else None
-    events = pd.concat(list(rows))
-    events = events.assign(turn=(events["state"] != "start").astype(int)).sort_values(["ts", "turn"])
-    out = []
-    for r in events.itertuples():
-        us = int(r.ts.value // 1000)
-        if r.state == "start":
-            start = us
-        elif r.state == "done" and start is not None:
-            out.append((key[0], key[1], r.ts, max(0, us // 1000 - start // 1000)))
-    if start is not None:
-        state.update((start,))
-    yield pd.DataFrame(out, columns=["stream_id", "stage", "done_at", "duration_ms"]).astype({"duration_ms": "int64"})
-
-
-def stream_stage_durations(events: DataFrame) -> DataFrame:
-    """Stream twin of stage_durations(): the last start of a (stream_id, stage) is its state."""
-    schema = "stream_id long, stage string, done_at timestamp, duration_ms long"
-    return events.groupBy("stream_id", "stage").applyInPandasWithState(_last_start, schema, "start_us long", "append", GroupStateTimeout.NoTimeout)
+    found = events.withColumn("started", started).filter("state = 'done' AND started IS NOT NULL").select("stream_id", "stage", F.col("ts").alias("done_at"), ms.alias("duration_ms"))
+    return found if longest_ms is None else found.filter(F.col("duration_ms") <= longest_ms)
 
 
 def answer_metrics(events: DataFrame) -> DataFrame:
@@ -132,50 +110,15 @@ def counter_stream(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("doc_id").agg(F.greatest(F.sum("chunks"), zero).alias("chunk_count"), F.greatest(F.sum("tokens"), zero).alias("token_sum"))
 
 
-def think_step(held: str, inside: bool, piece: str) -> tuple[str, str, bool]:
-    """(text to pass on, text held back, inside a think block) after another piece."""
-    text, out = held + piece, ""
-    while True:
-        tag = CLOSE if inside else OPEN
-        at = text.find(tag)
-        if at >= 0:
-            out += "" if inside else text[:at]
-            text, inside = text[at + len(tag) :], not inside
-            continue
-        tail = next((n for n in range(min(len(tag) - 1, len(text)), 0, -1) if tag.startswith(text[-n:])), 0)
-        return out + ("" if inside else text[: len(text) - tail]), text[len(text) - tail :] if tail else "", inside
-
-
-def _think_pieces(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held, inside = state.get if state.exists else ("", False)
-    out = []
-    for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-        text, held, inside = think_step(held, inside, r.piece or "")
-        if r.last:
-            text += "" if inside else held
-            held = ""
-        out.append((key[0], r.seq, text))
-    state.update((held, inside))
-    yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
-
-
-def filter_think_stream(pieces: DataFrame) -> DataFrame:
-    """Removes think blocks from streams' token pieces, also where a tag is split over pieces.
-
-    pieces: stream_id, seq, piece, last (true on a stream's final piece).
-    """
-    return pieces.groupBy("stream_id").applyInPandasWithState(_think_pieces, "stream_id long, seq long, text string", "held string, inside boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def loops(text: str, tail: int = LOOP_TAIL, window: int = LOOP_WINDOW, times: int = LOOP_TIMES) -> bool:
-    """Do the last characters repeat without overlap in the last stretch; tails of symbols only don't count."""
-    end = (text or "")[-tail:]
-    return len(end) == tail and any(c.isalnum() for c in end) and text[-window:].count(end) >= times
-
-
 def detect_loops(df: DataFrame, id: str = "message_id", text: str = "content") -> DataFrame:
     """Native twin of loops() for tables of whole texts."""
     end = F.when(F.length(text) >= LOOP_TAIL, F.substring(F.col(text), -LOOP_TAIL, LOOP_TAIL))
     last = F.when(F.length(text) > LOOP_WINDOW, F.substring(F.col(text), -LOOP_WINDOW, LOOP_WINDOW)).otherwise(F.col(text))
     n = F.when(end.isNull(), 0).otherwise((F.length(last) - F.length(F.replace(last, end, F.lit("")))) / LOOP_TAIL)
     return df.select(id, F.coalesce((n >= LOOP_TIMES) & end.rlike(r"[\p{L}\p{N}]"), F.lit(False)).alias("looping"))
+
+
+__all__ = [
+    "answer_metrics", "conversation_activity", "counter_stream", "debounce_changes", "detect_loops", "detect_loops_stream", "filter_think_stream", "loops",
+    "stage_durations", "stream_backfill", "stream_file_ingest", "stream_reconcile", "stream_stage_durations", "think_step",
+]

@@ -1,4 +1,9 @@
 import datetime as dt
+import json
+import os
+import random
+import re
+from pathlib import Path
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,6 +73,9 @@ def test_stage_pairs(spark, tmp_path):
     want = {(1, "embed", 3000), (3, "rank", 2000), (3, "rank", 896000)}
     got = lambda df: {(r.stream_id, r.stage, r.duration_ms) for r in df.collect()}
     assert got(N.stage_durations(spark.createDataFrame(rows, schema))) == want
+    assert got(N.stage_durations(spark.createDataFrame(rows, schema), 10_000)) == want - {(3, "rank", 896000)}
+    # the watermark passes the last event when a later one of another stream comes
+    rows.append((9, "rank", "start", at(90000)))
     assert got(run(N.stream_stage_durations(read_stream(spark, rows, schema, str(tmp_path / "d"))), "stages")) == want
 
 
@@ -141,3 +149,80 @@ def test_think_stream(spark, tmp_path):
     schema = "stream_id long, seq long, piece string, last boolean"
     out = run(N.filter_think_stream(read_stream(spark, rows, schema, str(tmp_path / "e"))), "thoughts")
     assert "".join(r.text for r in out.orderBy("seq").collect()) == "ab"
+
+
+def batches(spark, parts, schema, folder):
+    """A stream that reads each of the lists of rows as a batch of its own, in order."""
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        for f in Path(folder).glob("part-*"):
+            if f.name.startswith("part-"):
+                f.rename(f.with_name(f"b{k:03d}-{f.name[5:]}"))
+                os.utime(f.with_name(f"b{k:03d}-{f.name[5:]}"), (1_700_000_000 + k, 1_700_000_000 + k))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def drained(df, name, checkpoint):
+    """Rows of the stream, and rows of state left at its end."""
+    df.sparkSession.conf.set("spark.sql.shuffle.partitions", "1")
+    q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    df.sparkSession.conf.set("spark.sql.shuffle.partitions", "4")
+    left = [p["stateOperators"][0]["numRowsTotal"] for p in map(json.loads, (p.json for p in q.recentProgress)) if p["stateOperators"]]
+    return df.sparkSession.table(name).collect(), left
+
+
+PIECES = "stream_id long, seq long, piece string, last boolean, ts timestamp"
+
+
+def test_think_and_loops_over_random_splits(spark, tmp_path):
+    rng = random.Random(12)
+    again = "noch einmal derselbe Satz, Wort für Wort, "
+    texts = {
+        1: "vorher <think>" + "geheim " * 20 + "</think>nachher",
+        2: "a<b <thin <think>x</think> y",
+        3: again * 6,
+        4: "kein Ende <think>offen",
+        5: "abgebrochen <thi",
+        6: "ganz normal " * 3 + "-" * 500,
+    }
+    pieces = {}
+    for i, text in texts.items():
+        cuts = sorted(rng.sample(range(1, len(text)), min(9, len(text) - 1)))
+        pieces[i] = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [(i, k, p, i not in (4, 5) and k == len(ps) - 1, at(k)) for i, ps in pieces.items() for k, p in enumerate(ps)]
+    parts = [[r for r in rows if r[1] // 2 == b] for b in range(5)]
+    # long after, another stream lets the watermark pass the idle ones
+    parts += [[(99, 0, "x", False, at(1000))], [(99, 1, "y", True, at(1001))]]
+    plain = {i: re.sub(r"(?s)<think>.*?(?:</think>|\Z)", "", t) for i, t in texts.items()}
+    found, left = drained(N.filter_think_stream(batches(spark, parts, PIECES, str(tmp_path / "in"))), "filtered", str(tmp_path / "c1"))
+    shown = {}
+    for r in sorted(found, key=lambda r: r.seq):
+        shown[r.stream_id] = shown.get(r.stream_id, "") + r.text
+    assert {i: shown.get(i, "") for i in texts} == plain
+    assert left[-1] == 0 and max(left) <= 3 * 7
+    first = {}
+    for i, ps in pieces.items():
+        trip = next((k for k in range(len(ps)) if N.loops("".join(ps[: k + 1]))), None)
+        if trip is not None:
+            first[i] = trip
+    found, left = drained(N.detect_loops_stream(spark.readStream.schema(PIECES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))), "looped", str(tmp_path / "c2"))
+    assert {r.stream_id: r.seq for r in found} == first and 3 in first and len(found) == len(first) and left[-1] == 0
+
+
+def test_stage_clock_in_any_order(spark, tmp_path):
+    rng = random.Random(4)
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    events = [(i % 3, "embed" if i % 2 else "rank", rng.choice(["start", "done", "other"]), at(rng.randrange(0, 2000))) for i in range(150)]
+    order = sorted(events, key=lambda e: e[3])
+    # shuffled within five minutes: nothing is later than the watermark allows
+    order = [e for _, _, e in sorted((e[3] + dt.timedelta(seconds=rng.randrange(0, 300)), k, e) for k, e in enumerate(order))]
+    parts = [order[k : k + 25] for k in range(0, len(order), 25)] + [[(77, "rank", "other", at(10**5))], [(77, "rank", "other", at(10**5 + 1))]]
+    schema = "stream_id long, stage string, state string, ts timestamp"
+    got, left = drained(N.stream_stage_durations(batches(spark, parts, schema, str(tmp_path / "in")), 200_000, "10 minutes"), "clock", str(tmp_path / "c"))
+    want = N.stage_durations(spark.createDataFrame(events, schema), 200_000).collect()
+    key = lambda rows: sorted((r.stream_id, r.stage, r.done_at, r.duration_ms) for r in rows)
+    assert key(got) == key(want) and want
+    # neither events nor starts stay
+    assert left[-1] == 0
