@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,9 +138,35 @@ def contains_literal(text, part) -> Column:
 
 
 def normalise_key(c) -> Column:
+    """Letters and digits in lower case, everything else one blank; of compatible() text where forms may differ."""
     return trim_all(F.regexp_replace(F.lower(_col(c)), r"[^\p{L}\p{N}]+", " "))
 
 
+def compatible(c) -> Column:
+    """Unicode's compatible composed form (NFKC), of a string or an array of strings.
+
+    Only values with characters beyond ASCII go through Python; the others are their own form.
+    """
+    c = _col(c)
+
+    @F.pandas_udf("string")
+    def form(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+    return F.coalesce(form(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
+def compatible_all(c) -> Column:
+    """compatible() for each string of an array."""
+    c = _col(c)
+
+    @F.pandas_udf("array<string>")
+    def form(values: pd.Series) -> pd.Series:
+        return values.map(lambda vs: None if vs is None else [None if v is None else unicodedata.normalize("NFKC", v) for v in vs])
+
+    return F.coalesce(form(F.when(F.array_join(c, "").rlike(r"[^\x00-\x7F]"), c)), c)
+
+
 def strip_think(c) -> Column:
     return trim_all(F.regexp_replace(_col(c), r"(?s)<think>.*?</think>", ""))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens, estimate_tokens, hit_header
+from ..sources.shared import written
 from .lexical import search_chunks, top_per_group
 from .vectors import knn_among, knn_exact
 
@@ -202,14 +203,17 @@ def hybrid_search(
     if summaries is not None:
         own = summaries.join(ready.select("doc_id"), "doc_id", "left_semi")
         allowed = knn_exact(query_vectors, own, documents, "doc_id", least=least).select("query_id", "doc_id")
+        allowed = written(allowed)
     lexical = search_chunks(queries, chunks, docs, candidates, cap, allowed=allowed)
     dense = knn_among(query_vectors, vectors, allowed, candidates, cap, "chunk_id")
-    fused = rrf_fuse([lexical, dense], candidates)
+    # each part is asked for several times below: computed once, at most a few rows a query
+    fused = written(rrf_fuse([lexical, dense], candidates))
     meta = chunks.select("chunk_id", "doc_id", "ordinal", "text", "language").join(docs.select("doc_id", "title", "added_at"), "doc_id")
     weighed = apply_heuristics(fused.join(meta, "chunk_id").join(queries, "query_id"), now, answer)
     if pair_scores is not None:
         weighed = rerank_with_scores(weighed, pair_scores)
-    hits = diversify_by_document(weighed.select("query_id", "rank", "chunk_id", "doc_id", "ordinal", "score"), k)
+    hits = written(diversify_by_document(weighed.select("query_id", "rank", "chunk_id", "doc_id", "ordinal", "score"), k))
     whole = expand_small_documents(hits, chunks)
+    whole = written(whole)
     near = expand_neighbours(hits, chunks, radius).join(whole.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     return interleave_by_document(hits, whole.unionByName(near)).select("query_id", "rank", "chunk_id", "doc_id", "score", "origin")

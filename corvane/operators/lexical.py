@@ -1,10 +1,10 @@
 """Lexical search for whole tables of queries.
 
 A search reads the corpus once: chunks are tokenised in the map stage, only tokens that some query
-has go on (by a broadcast of the distinct query terms where their size allows it), and one shuffle
-by document brings a document's tokens together.  Term counts, scores and the cap of a document
-follow from that partitioning without another shuffle, statistics come from the same exchange, and
-the last shuffle carries at most k rows a query and task.  Frequent terms are no hot keys, since
+has go on (by a broadcast of the distinct query terms where their size allows it), one shuffle
+by document brings a document's tokens together, and the counts are written as a table, from which
+statistics, document frequencies and scores are taken.  The last shuffle carries at most k rows a query
+and task.  Frequent terms are no hot keys, since
 nothing is dealt out by term.  ``build_postings`` gives the postings (term, chunk_id, tf, positions)
 as a table of their own, for proximity ranks and other uses.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import classify_doc_type, content_tokens
+from ..sources.shared import written
 
 K1, B = 1.2, 0.75
 MARK, UNMARK = "⟦", "⟧"
@@ -59,7 +60,7 @@ def matched_terms(terms: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def lexical_rank(terms: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """BM25 scores (query_id, doc_id, chunk_id, score) of all chunks that share a term with a query."""
-    matched = matched_terms(terms, chunks)
+    matched = written(matched_terms(terms, chunks))
     stats = matched.filter("term = ''").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     matched = matched.filter("term <> ''")
     df = matched.groupBy("term").agg(F.count("*").alias("df"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as M
+from ..operators import lexical as E
 from ..operators import vectors as V
+from ..sources.shared import written
 from .views import lines, query, query_vectors, table, vectors
 
 # Two configurations: exact neighbours, and the same list from its sixth place on.
@@ -150,16 +154,20 @@ def judge_coverage(spark, d):
 
 @query("distractor_scaling", "WITH g AS (SELECT query_id, min(vec_id) AS gold FROM (SELECT q.query_id, v.vec_id FROM query_vectors q JOIN vectors v ON v.doc_id = q.query_label AND v.vec_id <> q.query_id) GROUP BY 1), l AS (SELECT unnest([0, 50, 200, 500]) AS stage), c AS (SELECT l.stage, s.query_id, s.vec_id, row_number() OVER (PARTITION BY l.stage, s.query_id ORDER BY round(s.cosine, 9) DESC, s.vec_id) AS rank FROM l CROSS JOIN cosines s WHERE s.vec_id <> s.query_id AND (s.vec_id < l.stage OR s.vec_id IN (SELECT gold FROM g))) SELECT stage, count(*) AS n, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5 FROM g JOIN c ON c.query_id = g.query_id AND c.vec_id = g.gold GROUP BY 1", "cosines", "vectors", "query_vectors")
 def distractor_scaling(spark, d):
-    v, q = vectors(spark, d), query_vectors(spark, d)
-    gold = q.join(v.select("vec_id", F.col("doc_id").alias("query_label")), "query_label").filter("vec_id <> query_id").groupBy("query_id").agg(F.min("vec_id").alias("gold"))
-    scored = V.all_scores(q, v).filter("vec_id <> query_id").join(gold.select(F.col("gold").alias("vec_id")).distinct().withColumn("is_gold", F.lit(True)), "vec_id", "left")
-    stages = F.explode(F.filter(F.array(*map(F.lit, (0, 50, 200, 500))), lambda s: F.col("is_gold") | (F.col("vec_id") < s)))
-    each = scored.withColumn("is_gold", F.coalesce("is_gold", F.lit(False))).withColumn("stage", stages)
-    from pyspark.sql import Window
-
-    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("stage", "query_id").orderBy(F.desc(F.round("cosine", 9)), "vec_id")))
-    hit = ranked.join(gold, "query_id").filter("vec_id = gold")
-    return _rounded(hit.groupBy("stage").agg(F.count("*").alias("n"), M.recall_at_k("rank", 5).alias("recall_at_5")))
+    """Each stage compares only the vectors it adds and merges their best five with the best five so far."""
+    k, v, q = 5, vectors(spark, d), query_vectors(spark, d)
+    gold = written(q.join(v.select("vec_id", F.col("doc_id").alias("query_label")), "query_label").filter("vec_id <> query_id").groupBy("query_id").agg(F.min("vec_id").alias("gold")))
+    golds = gold.select(F.col("gold").alias("vec_id")).distinct()
+    best, stages, below = None, [], 0
+    for stage in (0, 50, 200, 500):
+        added = v.join(golds, "vec_id", "left_semi") if best is None else v.filter(F.col("vec_id").between(below, stage - 1)).join(golds, "vec_id", "left_anti")
+        found = V.knn_exact(q, added, k + 1).filter("vec_id <> query_id").select("query_id", "vec_id", "cosine")
+        found = found if best is None else best.unionByName(found)
+        top = written(E.top_per_group(found, ["query_id"], [F.desc(F.round("cosine", 9)), "vec_id"], k))
+        best, below = top.select("query_id", "vec_id", "cosine"), max(below, stage)
+        hits = gold.join(top.select("query_id", F.col("vec_id").alias("gold"), "rank"), ["query_id", "gold"], "left")
+        stages.append(hits.agg(F.lit(stage).alias("stage"), F.count("*").alias("n"), M.recall_at_k("rank", k).alias("recall_at_5")))
+    return _rounded(reduce(lambda a, b: a.unionByName(b), stages))
 
 
 def _segments(spark, d):

@@ -12,6 +12,7 @@ from ..operators import lexical as E
 from ..operators import passages as H
 from ..operators import postings as P
 from ..operators import vectors as V
+from ..sources.shared import written
 from .views import _ENGLISH_STOP, _GERMAN_STOP, NOW, chunks, docs, queries, query, query_vectors, table, tokens_sql, vectors, whole_queries
 
 READY = "SELECT doc_id FROM docs WHERE status = 'ready'"
@@ -234,11 +235,11 @@ def hash_vectors(spark, d):
 # Fusion. A second ranking of the same hits stands for another list.
 
 
-def _dense(spark, d, k=10):
-    """Chunks of the lexical hits' documents ranked by a fixed arithmetic order, as a second list."""
-    hits = _hits(spark, d, 12)
+def _two_lists(spark, d, k=10):
+    """The lexical hits, and those of twelve in a fixed arithmetic order as a second list; one search."""
+    hits = written(_hits(spark, d, 12))
     other = hits.select("query_id", "chunk_id", ((F.col("chunk_id") * 7919 + F.col("query_id") * 31) % 1000).alias("key"))
-    return E.top_per_group(other, ["query_id"], ["key", "chunk_id"], k).select("query_id", "rank", "chunk_id")
+    return [hits.filter(F.col("rank") <= k), E.top_per_group(other, ["query_id"], ["key", "chunk_id"], k).select("query_id", "rank", "chunk_id")]
 
 
 FUSED = f"""WITH h AS MATERIALIZED ({HITS}), a AS (SELECT query_id, rank, chunk_id FROM h WHERE rank <= 10),
@@ -249,14 +250,14 @@ f AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s
 
 @query("rrf_fuse", FUSED + " SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM f WHERE rank <= 15", "bm25", "chunks", "docs")
 def rrf_fuse(spark, d):
-    return G.rrf_fuse([_hits(spark, d), _dense(spark, d)], 15).withColumn("score", F.round("score", 6))
+    return G.rrf_fuse(_two_lists(spark, d), 15).withColumn("score", F.round("score", 6))
 
 
 @query("rrf_fuse_variants", FUSED + """, c AS (SELECT query_id, chunk_id, rank, 0 AS list FROM f WHERE rank <= 10 UNION ALL SELECT query_id, chunk_id, 11 - rank, 1 FROM a),
 t AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(list * 1000 + rank) AS seen FROM c GROUP BY 1, 2)
 SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen, chunk_id) AS rank, chunk_id, round(score, 6) AS score FROM t) WHERE rank <= 10""", "bm25", "chunks", "docs")
 def rrf_fuse_variants(spark, d):
-    lists = [_hits(spark, d), _dense(spark, d)]
+    lists = _two_lists(spark, d)
     other = lists[0].withColumn("rank", F.lit(11) - F.col("rank"))
     return G.rrf_fuse_variants([*lists, other], 10).withColumn("score", F.round("score", 6))
 

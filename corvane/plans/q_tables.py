@@ -340,7 +340,7 @@ def apply_spans(spark, d):
 
 @query("normalise_key", "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' - ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS key FROM part")
 def normalise_key(spark, d):
-    return table(spark, d, "part").select("p_partkey", X.normalise_key(F.concat_ws(" - ", "p_name", "p_brand")).alias("key"))
+    return table(spark, d, "part").select("p_partkey", X.normalise_key(X.compatible(F.concat_ws(" - ", "p_name", "p_brand"))).alias("key"))
 
 
 @query("strip_think", r"SELECT message_id, regexp_replace(substring(content, 1, 20) || substring(content, 41), '^\s+|\s+$', '', 'g') AS content FROM messages", "messages")

@@ -22,8 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes a core up to which a table is dealt out anew: less may be a file that only one task can read.
+LITTLE = 32 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores if it is small; a large table has splits enough and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size <= cores * LITTLE else df
+
+
 def docs(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % 5 + 1).cast("int"))
     return d.select(
         "doc_id",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CODE_EXTENSIONS
+from .shared import written
 
 # What is read, and up to which size.
 EXTENSIONS = ("pdf", "docx", "md", "markdown", "txt", "rst", *CODE_EXTENSIONS)
@@ -44,6 +47,23 @@ def file_fingerprint(spark: SparkSession, root: str, most: int = MOST_BYTES) ->
     return file_inventory(spark, root).join(hashed, "source_path", "left").withColumn("rejected", F.col("byte_size") > most)
 
 
+def incremental_fingerprint(spark: SparkSession, root: str, documents: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """file_fingerprint() of a tree of which ``documents`` (source_path, mtime, content_hash) are known.
+
+    A file with the path and time of a known document keeps its hash and isn't opened; only the
+    paths of the others, which the listing holds on the driver anyway, are read.  Adds ``opened``.
+    """
+    inventory = written(file_inventory(spark, root))
+    known = documents.filter(F.col("content_hash").isNotNull()).select("source_path", "mtime", "content_hash").dropDuplicates(["source_path", "mtime"])
+    listed = written(inventory.join(known, ["source_path", "mtime"], "left").withColumn("rejected", F.col("byte_size") > most))
+    changed = [r[0] for r in listed.filter("content_hash IS NULL AND NOT rejected").select("source_path").collect()]
+    if not changed:
+        return listed.withColumn("opened", F.lit(False)).select("source_path", "byte_size", "mtime", "content_hash", "rejected", "opened")
+    read = spark.read.format("binaryFile").load(changed).select(F.col("path").alias("source_path"), F.sha2("content", 256).alias("_hash"), F.lit(True).alias("_opened"))
+    out = listed.join(read, "source_path", "left")
+    return out.select("source_path", "byte_size", "mtime", F.coalesce("content_hash", "_hash").alias("content_hash"), "rejected", F.coalesce("_opened", F.lit(False)).alias("opened"))
+
+
 def text_files(files: DataFrame, root: str) -> DataFrame:
     """(source_path, page, text) of the supported text files of a binary listing, which may be a stream."""
     kept = files.filter(_supported(root, TEXT_EXTENSIONS) & (F.col("length") <= MOST_BYTES))
@@ -94,11 +114,43 @@ def duplicate_ordinals(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id", "ordinal").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Appends chunks without NUL characters by workspace; a repeated (doc_id, ordinal) is an error."""
-    if duplicate_ordinals(chunks).limit(1).count():
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def stored_chunks(spark: SparkSession, path: str) -> DataFrame | None:
+    """What write_chunks() has stored below ``path``, with the ``batch`` each row came with; None if nothing."""
+    return spark.read.option("mergeSchema", "true").parquet(path) if _exists(spark, path) else None
+
+
+def write_chunks(chunks: DataFrame, path: str, batch: str | None = None) -> int:
+    """Appends chunks without NUL characters by workspace; returns how many were new.
+
+    A (workspace_id, doc_id, ordinal) is stored once: rows that are stored already, with the same
+    values, are left out, and other values for it, in the new rows or against stored ones, are an
+    error before anything is written.  A batch owns the folder of its name, so repeating a batch that
+    broke off replaces what it left.  Only the partitions of the new rows' workspaces are read.
+    """
+    spark = chunks.sparkSession
+    clean = clean_chunks(chunks)
+    if duplicate_ordinals(clean).limit(1).count():
         raise ValueError("a document has two chunks with one ordinal")
-    clean_chunks(chunks).write.mode("append").partitionBy("workspace_id").parquet(path)
+    keys = ["workspace_id", "doc_id", "ordinal"]
+    name = batch or uuid.uuid4().hex
+    stored = stored_chunks(spark, path)
+    new = clean
+    if stored is not None:
+        values = [c for c in clean.columns if c not in keys and c in stored.columns]
+        known = stored.filter(F.col("batch").cast("string") != name).select(*keys, F.struct(*values).alias("_stored"))
+        compared = written(clean.join(known.withColumn("_known", F.lit(True)), keys, "left").withColumn("_same", F.struct(*values).eqNullSafe(F.col("_stored"))).drop("_stored"))
+        if compared.filter("_known AND NOT _same").limit(1).count():
+            raise ValueError("a stored chunk has other values")
+        new = compared.filter("_known IS NULL").drop("_known", "_same")
+    new = written(new)
+    n = new.count()
+    new.write.mode("overwrite").partitionBy("workspace_id").parquet(f"{path}/batch={name}")
+    return n
 
 
 def write_report_csv(df: DataFrame, path: str, columns: list[str]) -> None:
