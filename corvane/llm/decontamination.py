@@ -10,9 +10,10 @@ pieces occur.
 The test items are the stated query set.  They are read in blocks of about ``block`` characters,
 which bounds what a task holds whatever the number of items; documents are never shuffled.
 
-Texts are compared with letters lower-cased and white space as one space.  Defined results: a
-null or empty document or item matches nothing; repeated items are reported under each of
-their ids; repeated documents each report their own matches, and so do rows with a null or repeated
+Texts are compared with letters lower-cased and white space as one space.  An item too short for an
+edit (under 20 characters at the usual rate) matches whole words only: neither end may stand inside a
+word.  Defined results: a null or empty document or item matches nothing; repeated items are reported
+under each of their ids, a null id too; different texts with one id are each searched and reported; repeated documents each report their own matches, and so do rows with a null or repeated
 id; of occurrences with the same distance the first is reported; texts of any length are read
 whole; without items or documents there are no matches; other columns are ignored.
 """
@@ -77,17 +78,22 @@ def stretches(starts: list[int], size: int, budget: int) -> list[tuple[int, int]
     return out
 
 
-def _matches(items: list[tuple[int, str]], rate: float):
+def stands_alone(text: str, a: int, b: int) -> bool:
+    """Does text[a:b] start and end at word edges?"""
+    return not (a > 0 and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b - 1].isalnum() and text[b].isalnum())
+
+
+def _matches(items: list[tuple[int | None, str]], rate: float):
     """Task function: documents to matches with a block of items."""
 
     def match(batches):
         import ahocorasick
 
-        texts = {i: normalised(t) for i, t in items}
-        budgets = {i: int(len(t) * rate) for i, t in texts.items()}
+        texts = [normalised(t) for _, t in items]
+        budgets = [int(len(t) * rate) for t in texts]
         automaton = ahocorasick.Automaton()
         where: dict[str, list] = {}
-        for i, t in texts.items():
+        for i, t in enumerate(texts):
             for place, piece in pieces(t, budgets[i]):
                 where.setdefault(piece, []).append((i, place))
         for piece, uses in where.items():
@@ -107,21 +113,24 @@ def _matches(items: list[tuple[int, str]], rate: float):
                         starts.setdefault(i, set()).add(end + 1 - size - place)
                 for i, at in starts.items():
                     k, item = budgets[i], texts[i]
+                    if not k:
+                        whole = next((a for a in sorted(at) if stands_alone(text, a, a + len(item))), None)
+                        if whole is not None:
+                            found[i] = (0, whole, whole + len(item))
+                        continue
                     for a, b in stretches(sorted(at), len(item), k):
                         whole = text.find(item, a, b)
                         if whole >= 0:
                             distance, stop = 0, whole + len(item)
-                        elif k:
+                        else:
                             distance, stop = best_occurrence(item, text[a:b])
                             stop += a
-                        else:
-                            continue
                         if distance <= k and (i not in found or distance < found[i][0]):
                             found[i] = (distance, max(0, stop - len(item)), stop)
                         if distance == 0:
                             break
                 for i, (distance, a, b) in sorted(found.items()):
-                    for name, value in zip(out, (doc, i, distance, a, b), strict=True):
+                    for name, value in zip(out, (doc, items[i][0], distance, a, b), strict=True):
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(c, pa.int64()) for c in out]))
 
@@ -134,10 +143,10 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     An item matches within int(``rate`` * length) edits; start and end are places in the
     normalised text, the start to within the edits.
     """
-    items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("text IS NOT NULL").distinct()
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block))
-    if blocks > 1:  # even blocks by a hash of the id, in one written table
-        items = written(items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(2 * blocks))))
+    if blocks > 1:  # even blocks by a hash, in one written table
+        items = written(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * blocks))))
     else:
         items = items.withColumn("block", F.lit(0))
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -129,15 +129,24 @@ def train_softmax(rows: list, languages: list[str], dim: int = 16, epochs: int =
     return model
 
 
+#: Languages up to which a model is trained: its size is this times the buckets.
+MOST_LANGUAGES = 200
+
+
 def fit_language(rows: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 400, **how) -> LanguageModel:
-    """Model from at most ``sample`` rows of each language."""
+    """Model from at most ``sample`` rows of each of at most MOST_LANGUAGES languages, repeated ids counted by row."""
     known = rows.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).withColumn("h", F.xxhash64("id", F.lit(8)))
     # first inside each of many parts of a language, then of what these leave: no task sees a whole language
     part = F.pmod(F.col("h"), F.lit(PARTS)).alias("part")
     inside, first = Window.partitionBy("lang", "part").orderBy("h", "id"), Window.partitionBy("lang").orderBy("h", "id")
     few = known.select("id", "lang", "h", part).withColumn("n", F.row_number().over(inside)).filter(F.col("n") <= sample)
     ids = written(few.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).select("id").distinct())
-    found = known.join(ids, "id", "left_semi").select("lang", "text").repartition(8).mapInArrow(_counted, "lang string, buckets array<int>, counts array<int>").toPandas()
+    # an id may stand in any number of rows: as many rows as before are kept, not as many ids
+    rows_of = Window.partitionBy("lang").orderBy("h", "id", F.xxhash64("text"))
+    chosen = known.join(ids, "id", "left_semi").withColumn("n", F.row_number().over(rows_of)).filter(F.col("n") <= sample)
+    if chosen.select("lang").distinct().count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the model would not be of bounded size")
+    found = chosen.select("lang", "text").repartition(8).mapInArrow(_counted, "lang string, buckets array<int>, counts array<int>").toPandas()
     languages = sorted(found["lang"].unique().tolist())
     data = [(languages.index(x), np.asarray(b, np.int64), np.asarray(c, float)) for x, b, c in zip(found["lang"], found["buckets"], found["counts"], strict=True)]
     data.sort(key=lambda r: (r[0], len(r[1]), r[1].tolist()[:8], r[2].sum()))  # the order of collected rows is not fixed

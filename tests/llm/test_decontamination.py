@@ -72,3 +72,13 @@ def test_nulls_empty_tables_and_ties(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "say twice now"), (4, "say twice now")], "item_id long, text string")
     assert [(r.doc_id, r.item_id, r.start) for r in contaminated(docs, items).orderBy("item_id").collect()] == [(3, 3, 0), (3, 4, 0)]
     assert contaminated(docs.limit(0), items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_items_with_one_id_null_ids_and_short_items(spark):
+    long = [" ".join(f"{w}{i}" for i in range(8)) for w in ("apfel", "birne", "kirsche")]
+    items = spark.createDataFrame([(1, long[0]), (1, long[1]), (None, long[2]), (1, long[0]), (2, "a"), (3, "haus")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "x " + long[0]), (11, long[1] + " y"), (12, long[2]), (13, "banana haustier"), (14, "das haus, a"), (15, "HAUS"), (16, "xhaus haus")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.start, r.end) for r in contaminated(docs, items).collect()), key=str)
+    # a letter inside a word is no occurrence; every text of an id is searched
+    assert got == [(10, 1, 2, 2 + len(long[0])), (11, 1, 0, len(long[1])), (12, None, 0, len(long[2])), (14, 2, 10, 11), (14, 3, 4, 8), (15, 3, 0, 4), (16, 3, 6, 10)]
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, items, block=20).collect()} == {g[:2] for g in got}
