@@ -14,11 +14,12 @@ def extract_citations(df: DataFrame, id: str = "message_id", text: str = "conten
     """(id, seq, doc_id, chunk_id, start, end): every marker in order; places count from 0."""
     whole = F.regexp_extract_all(text, F.lit(f"({CITATION})"), F.lit(1))
     plain = F.split(F.col(text), CITATION, -1)
-    out = df.select(id, F.posexplode(whole).alias("seq", "marker"), plain.alias("plain"), whole.alias("all"))
-    length = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    start = length(F.col("plain"), F.col("seq") + 1) + length(F.col("all"), F.col("seq"))
+    # one row a marker with the length of what stands before it; places are running sums over a text's markers
+    out = df.withColumn("_row", F.monotonically_increasing_id()).select(id, "_row", F.posexplode(F.arrays_zip(whole.alias("marker"), F.transform(plain, F.length).alias("gap"))).alias("seq", "x"))
+    out = out.filter("x.marker IS NOT NULL").select(id, "_row", "seq", "x.marker", "x.gap")
+    end = F.sum(F.col("gap") + F.length("marker")).over(Window.partitionBy("_row").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     number = lambda g: F.regexp_extract("marker", CITATION, g).cast("long")
-    return out.select(id, F.col("seq").cast("long").alias("seq"), number(1).alias("doc_id"), number(2).alias("chunk_id"), start.cast("long").alias("start"), (start + F.length("marker")).cast("long").alias("end"))
+    return out.withColumn("end", end.cast("long")).select(id, F.col("seq").cast("long").alias("seq"), number(1).alias("doc_id"), number(2).alias("chunk_id"), (F.col("end") - F.length("marker")).alias("start"), "end")
 
 
 def number_citations(citations: DataFrame, allowed: DataFrame | None = None, id: str = "message_id") -> DataFrame:
@@ -99,10 +100,10 @@ def literal_spans(df: DataFrame, id: str, text: str, needle: str) -> DataFrame:
     """(id, start, end) of all non-overlapping occurrences in any case."""
     want = F.lower(trim_all(needle))
     parts = F.split(F.lower(F.col(text)), F.concat(F.lit(r"\Q"), want, F.lit(r"\E")), -1)
-    rows = df.filter(F.length(want) > 0).select(id, F.length(want).alias("n"), parts.alias("parts")).select(id, "n", "parts", F.posexplode(F.expr("slice(parts, 1, size(parts) - 1)")).alias("k", "part"))
-    before = F.aggregate(F.slice("parts", F.lit(1), F.col("k") + 1), F.lit(0), lambda s, x: s + F.length(x))
-    start = before + F.col("k") * F.col("n")
-    return rows.select(id, start.cast("long").alias("start"), (start + F.col("n")).cast("long").alias("end"))
+    gaps = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), F.length)
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).filter(F.length(want) > 0).select(id, "_row", F.length(want).alias("n"), F.posexplode(gaps).alias("k", "gap"))
+    end = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("_row").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select(id, (end - F.col("n")).cast("long").alias("start"), end.cast("long").alias("end"))
 
 
 def apply_spans(df: DataFrame, spans: DataFrame, id: str, text: str) -> DataFrame:
