@@ -35,3 +35,19 @@ def test_good_chunk_filter_at_the_share(against_sql):
     exact = text + "1" * (199 - len(text)) + "2"
     less = exact.replace("x", "3", 1)
     assert [r["chunk_id"] for r in against_sql("good_chunk_filter", [exact, less])] == [100000]
+
+
+THEMED = ["Berge und es regnet", "Flüsse, viele", "nichts davon"]
+
+
+def test_theme_documents_of_words_of_questions(against_sql):
+    # the twin's themes drop stopwords only, not the words that questions about a corpus are made of
+    found = against_sql("theme_documents", THEMED, ["Berge es regnet", "viele Seen"])
+    assert {(r["theme_id"], r["doc_id"]) for r in found} == {(0, 1), (1, 2)}
+    found = against_sql("theme_documents", THEMED, ["es Seen", "es viele"])
+    assert {(r["theme_id"], r["doc_id"]) for r in found} == {(0, 1), (1, 1), (1, 2)}
+
+
+def test_theme_answer_of_words_of_questions(against_sql):
+    found = against_sql("theme_answer", THEMED, ["es Seen", "es viele"])
+    assert {(r["theme_id"], r["doc_id"], r["n_documents"]) for r in found} == {(0, 1, 1), (1, 1, 2), (1, 2, 2)}
