@@ -12,6 +12,8 @@ from .lexical import narrow, top_per_group  # noqa: F401 - narrow is part of vec
 
 #: Bytes of query vectors that a task may hold; more queries are taken in blocks.
 QUERY_BYTES = 64 << 20
+#: Scores (queries times vectors) that a task has at a time.
+SCORES = 1 << 21
 
 
 def dot(a, b) -> Column:
@@ -46,19 +48,20 @@ def _blocks(queries: DataFrame, dimension: int):
             yield np.array([r.query_id for r in rows]), np.divide(v, length, out=np.zeros_like(v), where=length > 0)
 
 
-def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding", least: float | None = None) -> DataFrame:
-    """Top-k vectors of every query: (query_id, rank, id, cosine).
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, id: str, vector: str, keys=None, others: bool = False) -> DataFrame:
+    """(query_id, id, cosine) of what can be among the k nearest of each query.
 
-    The queries are the stated set: they go to every task in blocks of bounded size, each task
-    multiplies matrices and keeps k rows a query, so the vectors are never shuffled.
-    Null vectors are skipped.
+    The queries go to every task in blocks of bounded size, each task multiplies matrices of bounded
+    size and keeps k rows a query and batch, so neither vectors nor pairs are shuffled.  ``keys``: numbers of
+    unit vectors by table; only pairs that share one count.  ``others``: a query is not its own neighbour.
     """
     first = queries.select(F.size("query_vector")).filter("query_vector IS NOT NULL").head()
     schema = StructType([StructField("query_id", LongType()), StructField(id, LongType()), StructField("cosine", DoubleType())])
-    parts = []
+    out = None
     for ids, unit in _blocks(queries.filter("query_vector IS NOT NULL"), first[0] if first else 1):
 
         def score(batches, ids=ids, unit=unit):
+            asked = None if keys is None else keys(unit)
             for b in batches:
                 b = b[b[vector].notna()]
                 b = b[b[vector].map(len) == unit.shape[1]]
@@ -67,22 +70,41 @@ def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, id: str = "vec_id"
                 m = np.array(b[vector].tolist(), float)
                 length = np.linalg.norm(m, axis=1)
                 m, who = m[length > 0] / length[length > 0, None], b[id].to_numpy()[length > 0]
-                s = m @ unit.T
                 n = min(k, len(who))
                 if not n:
                     continue
-                for j in range(len(ids)):
-                    # ties beyond the k-th go to the smaller id, so equals stay until the final cut
-                    at = np.flatnonzero(s[:, j] >= np.partition(s[:, j], len(who) - n)[len(who) - n])
-                    order = at[np.lexsort((who[at], -s[at, j]))][:n]
-                    yield pd.DataFrame({"query_id": ids[j], id: who[order], "cosine": s[order, j]})
-
-        parts.append(vectors.select(id, vector).mapInPandas(score, schema))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], StructType([schema[0], StructField("rank", LongType()), *schema[1:]]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+                own = None if keys is None else keys(m)
+                step = max(1, SCORES // len(who))
+                for low in range(0, len(ids), step):
+                    part = slice(low, low + step)
+                    s = unit[part] @ m.T
+                    near = np.round(s, 9)  # ties beyond the k-th go to the smaller id
+                    if keys is not None:
+                        met = np.zeros(s.shape, bool)
+                        for t in range(own.shape[1]):
+                            met |= asked[part, t, None] == own[None, :, t]
+                        near[~met] = -np.inf
+                    if others:
+                        near[ids[part, None] == who[None]] = -np.inf
+                    kth = np.partition(near, len(who) - n, axis=1)[:, len(who) - n]
+                    q, v = np.nonzero((near >= kth[:, None]) & (near > -np.inf))
+                    order = np.lexsort((who[v], -near[q, v], q))
+                    q, v = q[order], v[order]
+                    best = np.arange(len(q)) - np.searchsorted(q, q) < n
+                    q, v = q[best], v[best]
+                    yield pd.DataFrame({"query_id": ids[part][q], id: who[v], "cosine": s[q, v]})
+
+        part = vectors.select(id, vector).mapInPandas(score, schema)
+        out = part if out is None else out.unionByName(part)
+    return vectors.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def knn_exact(queries: DataFrame, vectors: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding", least: float | None = None, others: bool = False) -> DataFrame:
+    """Top-k vectors of every query: (query_id, rank, id, cosine).
+
+    Null vectors are skipped.  ``others``: a query is not its own neighbour.
+    """
+    out = _nearest(queries, vectors, k, id, vector, others=others)
     if least is not None:
         out = out.filter(F.col("cosine") >= least)
     return top_per_group(out, ["query_id"], [F.desc(F.round("cosine", 9)), id], k).select("query_id", "rank", id, "cosine")
@@ -138,23 +160,20 @@ def knn_per_doc_cap(queries: DataFrame, vectors: DataFrame, k: int, cap: int, id
 
 
 def knn_lsh(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 12, bits: int = 6, seed: int = 0, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Approximate top-k: random hyperplane keys, exact cosine within shared keys."""
+    """Approximate top-k: random hyperplane keys, exact cosine within shared keys.
+
+    Keys are compared in the tasks, to which the queries go in blocks, so no row for a candidate is
+    shuffled.  Vectors without a length have no cosine and are left out.
+    """
     row = vectors.filter(F.col(vector).isNotNull()).select(vector).head()
     dimension = len(row[0]) if row else 1
     planes = np.random.default_rng(seed).normal(size=(dimension, tables * bits))
 
-    @F.pandas_udf("array<long>")
-    def keys(v: pd.Series) -> pd.Series:
-        m = np.array(v.tolist(), float)
-        sign = (m @ planes > 0).reshape(len(m), tables, bits)
-        value = sign @ (1 << np.arange(bits)) + np.arange(tables) * (1 << bits)
-        return pd.Series(value.tolist())
-
-    a = queries.select("query_id", "query_vector", F.explode(keys("query_vector")).alias("key"))
-    b = vectors.filter(F.col(vector).isNotNull()).select(id, vector, F.explode(keys(vector)).alias("key"))
-    pairs = a.join(b.select(id, "key"), "key").select("query_id", id).distinct()
-    scored = pairs.join(queries.select("query_id", "query_vector"), "query_id").join(vectors.select(id, F.col(vector).alias("_v")), id)
-    return top_per_group(scored.withColumn("cosine", cosine("query_vector", "_v")), ["query_id"], [F.desc(F.round("cosine", 9)), id], k).select("query_id", "rank", id, "cosine")
+    def keys(m: np.ndarray) -> np.ndarray:
+        return (m @ planes > 0).reshape(len(m), tables, bits) @ (1 << np.arange(bits))
+
+    found = _nearest(queries, vectors, k, id, vector, keys=keys)
+    return top_per_group(found, ["query_id"], [F.desc(F.round("cosine", 9)), id], k).select("query_id", "rank", id, "cosine")
 
 
 def document_prefilter(similarity: DataFrame, n: int = 5, least: float = 0.2, focus: DataFrame | None = None) -> DataFrame:
