@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CITATION, SUMMARY_WORDS, collapse, content_tokens, corpus_intent, query_breadth, split_questions, strip_citations, trim_all
+from ..sources.shared import written
 
 MERGE_GAP = 6
+#: Titles up to which a word of theirs is joined with queries by itself.
+RARE = 64
 
 
 def extract_citations(df: DataFrame, id: str = "message_id", text: str = "content") -> DataFrame:
@@ -124,12 +127,40 @@ def apply_spans(df: DataFrame, spans: DataFrame, id: str, text: str) -> DataFram
     return every.select(id, F.col("x.a").alias("start"), F.col("_t").substr((F.col("x.a") + 1).cast("int"), (F.col("x.b") - F.col("x.a")).cast("int")).alias("part"), F.col("x.h").alias("highlighted"))
 
 
-def resolve_target_document(queries: DataFrame, titles: DataFrame, least: float = 0.5, margin: float = 2.0) -> DataFrame:
-    """(query_id, kind, doc_id): resolved, ambiguous or none, by the share of title words in the query."""
-    q = queries.select("query_id", F.explode(F.array_distinct(F.filter(content_tokens("query"), lambda t: ~t.isin(*SUMMARY_WORDS)))).alias("token"))
+def resolve_target_document(queries: DataFrame, titles: DataFrame, least: float = 0.5, margin: float = 2.0, rare: int = RARE) -> DataFrame:
+    """(query_id, kind, doc_id): resolved, ambiguous or none, by the share of title words in the query.
+
+    Words of at most ``rare`` titles give a row for each pair of a query and a title, more frequent ones
+    don't: titles with the same frequent words and as many words in all are alike to a query that has
+    none of their rare words, so the two smallest ids stand for them, and queries with the same
+    frequent words meet these once.
+    """
     words = F.array_distinct(content_tokens(F.regexp_replace("title", r"(?i)\.[a-z]{1,8}$", "")))
-    t = titles.select("doc_id", F.size(words).alias("n"), F.explode(words).alias("token"))
-    cover = q.join(t, "token").groupBy("query_id", "doc_id").agg((F.count("*") / F.first("n")).alias("coverage"))
+    q = queries.select("query_id", F.array_distinct(F.filter(content_tokens("query"), lambda t: ~t.isin(*SUMMARY_WORDS))).alias("tokens"))
+    t = titles.select("doc_id", words.alias("tokens"))
+    each = lambda rows, id: rows.select(id, F.explode("tokens").alias("token"))
+    frequent = written(each(t, "doc_id").groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > rare).select("token"))
+
+    def parted(rows: DataFrame, id: str) -> DataFrame:
+        """(id, tokens, often): the frequent ones of a row's tokens, in order."""
+        often = each(rows, id).join(frequent, "token").groupBy(id).agg(F.array_sort(F.collect_set("token")).alias("often"))
+        return rows.join(often, id, "left").withColumn("often", F.coalesce("often", F.array().cast("array<string>")))
+
+    q, t = written(parted(q, "query_id")), written(parted(t, "doc_id").withColumn("n", F.size("tokens")))
+    seldom = F.explode(F.array_except("tokens", "often")).alias("token")
+    met = q.select("query_id", F.col("often").alias("asked"), seldom).join(t.select("doc_id", "n", "often", seldom), "token")
+    both = F.size(F.array_intersect(F.first("asked"), F.first("often")))
+    near = met.groupBy("query_id", "doc_id").agg(((F.count("*") + both) / F.first("n")).alias("coverage"))
+
+    # a title met by a rare word too is better than its like, so two of them are enough
+    two = t.filter(F.size("often") > 0).withColumn("turn", F.row_number().over(Window.partitionBy("n", "often").orderBy("doc_id"))).filter("turn <= 2")
+    alike = two.groupBy("n", "often").agg(F.collect_list("doc_id").alias("docs")).select("n", "docs", F.xxhash64("n", "often").alias("set"), F.explode("often").alias("token"))
+    asked = q.filter(F.size("often") > 0).select(F.col("often").alias("asked")).distinct().select("asked", F.explode("asked").alias("token"))
+    far = asked.join(alike, "token").groupBy("asked", "set", "n").agg((F.count("*") / F.first("n")).alias("coverage"), F.first("docs").alias("docs")).select("asked", "coverage", F.explode("docs").alias("doc_id"))
+    best_two = far.withColumn("turn", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("coverage"), "doc_id"))).filter("turn <= 2").select(F.col("asked").alias("often"), "doc_id", "coverage")
+    common = q.select("query_id", "often").join(best_two, "often").select("query_id", "doc_id", "coverage")
+
+    cover = near.unionByName(common).groupBy("query_id", "doc_id").agg(F.max("coverage").alias("coverage"))
     line = Window.partitionBy("query_id").orderBy(F.desc("coverage"), "doc_id")
     best = cover.withColumn("turn", F.row_number().over(line)).withColumn("second", F.lead("coverage").over(line)).filter("turn = 1")
     kind = F.when(F.coalesce("coverage", F.lit(0.0)) < least, "none").when(F.col("coverage") < F.col("second") * margin, "ambiguous").otherwise("resolved")
