@@ -24,6 +24,10 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _SPACE = np.uint64(32)
 #: Sequences in a profile, relative lead of the nearest, characters below which nothing is said, and languages at most.
 SIZE, MARGIN, LEAST_CHARS, MOST_LANGUAGES = 300, 0.03, 40, 1000
+#: Characters whose sequences a task holds at a time, each about a hundred bytes.
+PORTION = 1 << 18
+#: Different sequences of a language that a task gathers before it sends their counts on.
+HELD = 1 << 18
 
 
 def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +49,19 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(found)
 
 
+def portions(texts: list[str | None], most: int = PORTION) -> Iterator[slice]:
+    """Runs of texts of about ``most`` characters; a longer text is one of its own."""
+    begin, held = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > begin and held + n > most:
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += n
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
 def ranked(rows: np.ndarray, grams: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, sequence, rank) of the ``size`` most frequent sequences of each row; ties by the sequence."""
     if not len(rows):
@@ -65,17 +82,24 @@ def ranked(rows: np.ndarray, grams: np.ndarray, size: int) -> tuple[np.ndarray,
 def learn_profiles(labelled: DataFrame, label: str = "lang", text: str = "text", size: int = SIZE) -> DataFrame:
     """(language, gram, rank): the profile of each non-null label."""
 
+    def counts_of(lang: str, of: dict[int, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(of)), pa.array(np.fromiter(of, np.uint64, len(of)).view(np.int64)), pa.array(list(of.values()), pa.int64())], ["language", "gram", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]):
         total: dict[str, dict[int, int]] = {}
         for b in batches:
             labels, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lang in set(labels):
-                _, grams = ngrams([t for t, g in zip(texts, labels, strict=True) if g == lang])
+                own = [t for t, g in zip(texts, labels, strict=True) if g == lang]
                 of = total.setdefault(lang, {})
-                for g, n in zip(*(x.tolist() for x in np.unique(grams, return_counts=True)), strict=True):
-                    of[g] = of.get(g, 0) + n
+                for part in portions(own):
+                    _, grams = ngrams(own[part])
+                    for g, n in zip(*(x.tolist() for x in np.unique(grams, return_counts=True)), strict=True):
+                        of[g] = of.get(g, 0) + n
+                if len(of) > HELD:
+                    yield counts_of(lang, total.pop(lang))
         for lang, of in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(of)), pa.array(np.fromiter(of, np.uint64, len(of)).view(np.int64)), pa.array(list(of.values()), pa.int64())], ["language", "gram", "n"])
+            yield counts_of(lang, of)
 
     counted = labelled.filter(F.col(label).isNotNull()).select(F.col(label).alias("language"), text).mapInArrow(count, "language string, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "gram"))
@@ -97,8 +121,7 @@ def detector(profiles: DataFrame, size: int = SIZE, margin: float = MARGIN, leas
         of = rows[rows["language"] == name]
         places[k, np.searchsorted(known, of["gram"])] = of["rank"]
 
-    @F.pandas_udf("language string, lead double")
-    def detect(texts: pd.Series) -> pd.DataFrame:
+    def nearest(texts: pd.Series) -> pd.DataFrame:
         n = len(texts)
         out = pd.DataFrame({"language": [None] * n, "lead": [None] * n})
         row, gram, rank = ranked(*ngrams(texts.tolist()), size)
@@ -117,6 +140,11 @@ def detector(profiles: DataFrame, size: int = SIZE, margin: float = MARGIN, leas
         out["lead"] = [x if s else None for x, s in zip(lead, some, strict=True)]
         return out
 
+    @F.pandas_udf("language string, lead double")
+    def detect(texts: pd.Series) -> pd.DataFrame:
+        found = [nearest(texts.iloc[part]) for part in portions(texts.tolist())]
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"language": [], "lead": []})
+
     return detect
 
 

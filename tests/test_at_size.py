@@ -2,9 +2,11 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corvane.operators import citations as L
+from corvane.operators import languages as G
 
 
 def brute_targets(queries, titles, least=0.5, margin=2.0):
@@ -37,3 +39,16 @@ def test_a_word_of_all_titles_pairs_no_query_with_every_title(spark):
     # 400 million pairs before
     got = L.resolve_target_document(q, t).agg(F.count("*"), F.count_if(F.col("kind") == "ambiguous"), F.count("doc_id")).first()
     assert tuple(got) == (n, 0, n)
+
+
+def test_language_is_detected_in_bounded_portions(spark, monkeypatch):
+    learnt = spark.createDataFrame([("x", "aaa bbb"), ("y", "ccc ddd")], "lang string, text string")
+    detect = G.detector(G.learn_profiles(learnt)).func
+    texts = pd.Series([None, "aaa " * 20, "", "ccc " * 30, "x", "aaa " * 5000] * 40)
+    whole, sizes, plain = detect(texts), [], G.ngrams
+    monkeypatch.setattr(G, "ngrams", lambda some: sizes.append(sum(len(t or "") for t in some)) or plain(some))
+    monkeypatch.setattr(G.portions, "__defaults__", (1000,))
+    parts = detect(texts)
+    assert parts.equals(whole) and len(parts) == len(texts) and set(parts["language"].dropna()) == {"x", "y"}
+    # of 800,000 characters a text, or a thousand in several, at a time
+    assert max(sizes) == 20_000 and sum(sizes) == sum(len(t or "") for t in texts)
