@@ -5,6 +5,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
+from corvane.operators import chunking as C
 from corvane.operators import citations as L
 from corvane.operators import languages as G
 
@@ -52,3 +53,23 @@ def test_language_is_detected_in_bounded_portions(spark, monkeypatch):
     assert parts.equals(whole) and len(parts) == len(texts) and set(parts["language"].dropna()) == {"x", "y"}
     # of 800,000 characters a text, or a thousand in several, at a time
     assert max(sizes) == 20_000 and sum(sizes) == sum(len(t or "") for t in texts)
+
+
+def test_units_of_many_documents_take_no_group_each(spark):
+    n = 3000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("id") % 7)).alias("ordinal"))
+    chunks = rows.select("doc_id", "ordinal", F.when(F.col("ordinal") == 3, "\x1c ").otherwise("words").alias("text"), (F.col("ordinal") * 300 + 100).alias("token_count"), F.concat(F.lit("t"), "doc_id").alias("title"), F.when(F.col("ordinal") > 1, F.array(F.concat(F.lit("S"), F.floor(F.col("ordinal") / 4).cast("string")), F.concat(F.lit("P"), F.col("ordinal").cast("string")))).alias("heading_path"))
+    built = C.build_units(chunks)
+    assert "FlatMapGroups" not in built._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in built.collect():
+        got.setdefault(r.doc_id, []).append((r.unit, r.title, r.tokens, r.first_ordinal, r.last_ordinal, r.n_chunks))
+    assert len(got) == n
+    for d, units in got.items():
+        own = [k for k in range(d % 7 + 1) if k != 3]
+        number = C.unit_numbers(C.np.array([k * 300 + 100 for k in own]), [f"S{k // 4}" if k > 1 else None for k in own])
+        want = []
+        for u in sorted(set(number.tolist())):
+            mine = [k for k, m in zip(own, number, strict=True) if m == u]
+            want.append((u, f"P{mine[-1]}" if mine[-1] > 1 else f"t{d}", sum(k * 300 + 100 for k in mine), mine[0], mine[-1], len(mine)))
+        assert sorted(units) == want
