@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from ..sources.shared import written
 MERGE_GAP = 6
 #: Titles up to which a word of theirs is joined with queries by itself.
 RARE = 64
+#: Letters and digits.
+WORD = re.compile(r"[^\W_]+")
 
 
 def extract_citations(df: DataFrame, id: str = "message_id", text: str = "content") -> DataFrame:
@@ -71,32 +76,49 @@ def word_rows(df: DataFrame, id, text: str) -> DataFrame:
     return placed.select(*ids, (F.row_number().over(line) - 1).alias("n"), F.lower("x.w").alias("word"), (F.col("end") - F.length("x.w")).alias("start"), "end")
 
 
-def _grams(rows: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids..., n, size, gram): the 3-grams, 2-grams and words of 5 letters that begin at each word."""
-    line = Window.partitionBy(*ids).orderBy("n")
-    one, two, three = F.col("word"), F.lead("word", 1).over(line), F.lead("word", 2).over(line)
-    wide = rows.select(*ids, "n", F.when(F.length(one) >= 5, one).alias("g1"), F.concat(one, F.lit(" "), two).alias("g2"), F.concat(one, F.lit(" "), two, F.lit(" "), three).alias("g3"))
-    each = F.array(*(F.struct(F.lit(i).alias("size"), F.col(f"g{i}").alias("gram")) for i in (1, 2, 3)))
-    return wide.select(*ids, "n", F.inline(F.filter(each, lambda x: x.gram.isNotNull())))
+def overlap_spans(snippet: str, text: str) -> list[tuple[int, int]]:
+    """Stretches of ``text`` that share the longest shingles they can with ``snippet``; see shingle_overlap()."""
+
+    def shingles(words: list[str], size: int) -> list[str]:
+        return [w if len(w) >= 5 else "" for w in words] if size == 1 else [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]
+
+    wanted = [w.lower() for w in WORD.findall(snippet) if len(w) >= 2]
+    found = [m for m in WORD.finditer(text) if m.end() - m.start() >= 2]
+    words = [m[0].lower() for m in found]
+    for size in (3, 2, 1):
+        known = set(shingles(wanted, size)) - {""}
+        hit = sorted({n for i, g in enumerate(shingles(words, size)) if g in known for n in range(i, i + size)})
+        if hit:
+            break
+    spans, before = [], None
+    for n in hit:
+        start, end = found[n].span()
+        if spans and (n == before + 1 or start - spans[-1][1] <= MERGE_GAP):
+            spans[-1] = (spans[-1][0], end)
+        else:
+            spans.append((start, end))
+        before = n
+    return spans
 
 
 def shingle_overlap(snippets: DataFrame, chunks: DataFrame) -> DataFrame:
     """Spans of each (snippet_id, chunk_id) pair's chunk that share word 3-grams with the snippet.
 
     2-grams, then single words of 5 letters, where longer shingles find nothing; spans at most 6
-    characters apart are one.  ``snippets``: (snippet_id, chunk_id, snippet).
+    characters apart are one.  ``snippets``: (snippet_id, chunk_id, snippet).  A pair's two texts meet in
+    one row, so no word or shingle is dealt out.
     """
-    a = word_rows(snippets, ["snippet_id", "chunk_id"], "snippet")
-    b = word_rows(chunks.join(snippets.select("chunk_id").distinct(), "chunk_id", "left_semi"), "chunk_id", "text")
-    wanted = _grams(a, ["snippet_id", "chunk_id"]).select("snippet_id", "chunk_id", "size", "gram").distinct()
-    hit = _grams(b, ["chunk_id"]).join(wanted, ["chunk_id", "size", "gram"])
-    found = hit.select("snippet_id", "chunk_id", F.explode(F.sequence("n", F.col("n") + F.col("size") - 1)).alias("n"), "size").distinct()
-    best = found.withColumn("top", F.max("size").over(Window.partitionBy("snippet_id", "chunk_id"))).filter("size = top").select("snippet_id", "chunk_id", "n").distinct()
-    tokens = best.join(b.select("chunk_id", "n", "start", "end"), ["chunk_id", "n"])
-    line = Window.partitionBy("snippet_id", "chunk_id").orderBy("n")
-    joins = (F.col("n") == F.lag("n").over(line) + 1) | (F.col("start") - F.lag("end").over(line) <= MERGE_GAP)
-    island = tokens.withColumn("new", F.when(joins, 0).otherwise(1)).withColumn("island", F.sum("new").over(line))
-    return island.groupBy("snippet_id", "chunk_id", "island").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end")).drop("island")
+
+    def spans(batches):
+        for batch in batches:
+            rows = [overlap_spans(s, t) for s, t in zip(batch.column("snippet").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            at = pa.array([i for i, x in enumerate(rows) for _ in x], pa.int64())
+            ends = (pa.array([x[k] for r in rows for x in r], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("snippet_id").take(at), batch.column("chunk_id").take(at), *ends], names=["snippet_id", "chunk_id", "start", "end"])
+
+    long = lambda c: F.col(c).cast("long").alias(c)
+    pairs = snippets.select(long("snippet_id"), long("chunk_id"), "snippet").join(chunks.select(long("chunk_id"), "text"), "chunk_id")
+    return pairs.filter("snippet IS NOT NULL AND text IS NOT NULL").mapInArrow(spans, "snippet_id long, chunk_id long, start long, end long")
 
 
 def literal_spans(df: DataFrame, id: str, text: str, needle: str) -> DataFrame:

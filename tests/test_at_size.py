@@ -73,3 +73,12 @@ def test_units_of_many_documents_take_no_group_each(spark):
             mine = [k for k, m in zip(own, number, strict=True) if m == u]
             want.append((u, f"P{mine[-1]}" if mine[-1] > 1 else f"t{d}", sum(k * 300 + 100 for k in mine), mine[0], mine[-1], len(mine)))
         assert sorted(units) == want
+
+
+def test_overlaps_shuffle_the_two_texts_of_a_pair_only(spark):
+    snippets = spark.createDataFrame([(1, 7, "one two three four"), (2, 7, "Frontier"), (3, 7, "a b c"), (4, 8, "x"), (5, 9, None)], "snippet_id long, chunk_id long, snippet string")
+    chunks = spark.createDataFrame([(7, "One, two three; four - a b c. FRONTIER land"), (8, None), (9, "x y")], "chunk_id long, text string")
+    found = L.shingle_overlap(snippets, chunks)
+    assert sorted(map(tuple, found.collect())) == [(1, 7, 0, 20), (2, 7, 30, 38)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Window" not in plan and "Aggregate" not in plan
