@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.operators import chunking as C
 from corvane.operators import citations as L
 from corvane.operators import languages as G
+from corvane.plans import q_search, views
 
 
 def brute_targets(queries, titles, least=0.5, margin=2.0):
@@ -82,3 +83,12 @@ def test_overlaps_shuffle_the_two_texts_of_a_pair_only(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 7, 0, 20), (2, 7, 30, 38)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "Window" not in plan and "Aggregate" not in plan
+
+
+def test_texts_of_hits_are_cut_from_their_documents_only(spark, sf):
+    plan = q_search._weighable(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    # the generator that cuts chunks stands above the join that leaves the hits' documents
+    assert "LeftSemi" in plan and plan.index("Generate") < plan.rindex("LeftSemi")
+    only = spark.createDataFrame([(3,), (5,)], "doc_id long")
+    every = views.chunks(spark, sf).filter("doc_id IN (3, 5)")
+    assert sorted(map(tuple, views.chunks(spark, sf, only).collect())) == sorted(map(tuple, every.collect()))
