@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .graph import connected_components, merge_components
 from .io import table, written
-from .pairing import block_edges, block_pairs, cross_component_pairs
+from .pairing import Joined, block_edges, block_pairs, cross_component_pairs
 
 NULL_ID = -(2**63)
 REGISTERS, PER_BAND, MANTISSA = 160, 5, 10
@@ -194,7 +194,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _linked(percent: int):
-    """Links between components inside each cluster's block, one for each class and component.
+    """Links between components inside each cluster's block, as many as connect what is linked there.
 
     An index from shingle to members gives a class's intersections with all members at once.
     """
@@ -204,6 +204,7 @@ def _linked(percent: int):
         lists = rows["shingles"].combine_chunks()
         values, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         order, edges = block_edges(cluster, i, j, node)
+        joined = Joined(comp)
         a, b = [], []
         for x, y in zip(edges[:-1], edges[1:], strict=True):
             at = order[x:y]
@@ -220,11 +221,11 @@ def _linked(percent: int):
                 size = high - low
                 places = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
                 both = np.bincount(owner[places], minlength=len(members))
-                hit = np.flatnonzero((100 * both >= percent * (n[f] + n[members] - both)) & (comp[members] != comp[f]))
+                hit = np.flatnonzero((100 * both >= percent * (n[f] + n[members] - both)) & (joined.labels(members) != joined.labels(f)))
                 if len(hit):
-                    _, first = np.unique(comp[members[hit]], return_index=True)
-                    a += [node[f]] * len(first)
-                    b += node[members[hit[first]]].tolist()
+                    new = joined.first(f, members[hit])
+                    a += [node[f]] * len(new)
+                    b += node[new].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return linked
@@ -277,7 +278,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     best = judged.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("j")).alias("j"), "b"))), 1, FIRST).alias("best"))
     found = connected_components(_verified(ordered(best.select("a", F.explode("best.b").alias("b"))), sets, percent))
 
-    across = cross_component_pairs(active, found, "rep", ("n", "registers"), _near(percent), reps.select("rep", "registers"), most=1)
+    across = cross_component_pairs(active, found, "rep", ("n", "registers"), _near(percent), reps.select("rep", "registers"), connect=True)
     clusters = merge_components(found, across)
     found = merge_components(found, _links_across(clusters, found, sets, percent))
 

@@ -14,12 +14,23 @@ from .io import written
 BLOCK = 2048
 
 
-def _best(found: np.ndarray, score: np.ndarray, groups: np.ndarray, most: int) -> np.ndarray:
-    """The ``most`` best of each group."""
-    order = np.lexsort((found, -score, groups))
-    start = np.flatnonzero(np.concatenate(([True], np.diff(groups[order]) != 0)))
-    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
-    return found[order[rank < most]]
+class Joined:
+    """Labels of components that links join one after the other, for tasks in which only connections count."""
+
+    def __init__(self, components: np.ndarray):
+        _, self.of = np.unique(components, return_inverse=True)
+        self.label = np.arange(self.of.max(initial=-1) + 1)
+
+    def labels(self, rows: np.ndarray | int) -> np.ndarray:
+        return self.label[self.of[rows]]
+
+    def first(self, f: int, members: np.ndarray) -> np.ndarray:
+        """Joins row ``f`` with ``members``; those of them that connect something new, one for each label."""
+        own, (labels, at) = self.labels(f), np.unique(self.labels(members), return_index=True)
+        new = labels != own
+        if new.any():
+            self.label[np.isin(self.label, labels)] = own
+        return members[at[new]]
 
 
 def block_pairs(nodes: DataFrame, key: str, block: int) -> DataFrame:
@@ -47,21 +58,22 @@ def block_edges(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate(([True], new, [True])))
 
 
-def _across(payload: tuple[str, ...], judge: Callable, most: int | None):
+def _across(payload: tuple[str, ...], judge: Callable, connect: bool):
     def across(rows: pa.Table) -> pa.Table:
         columns = {c: (rows[c].to_pylist() if pa.types.is_binary(rows.schema.field(c).type) else rows[c].to_numpy()) for c in payload}
         key, node, comp, i, j, odd, probe = (rows[c].to_numpy() for c in ("key", "node", "comp", "i", "j", "odd", "probe"))
         order, edges = block_edges(key, i, j, node)
         pairs = set()
+        joined = Joined(comp)
         for x, y in zip(edges[:-1], edges[1:], strict=True):
             at = order[x:y]
             members = at[~probe[at]]
             for f in at[probe[at]]:
-                m = members[(comp[members] != comp[f]) & (~odd[members] | (node[members] < node[f]))]
+                m = members[(joined.labels(members) != joined.labels(f)) & (~odd[members] | (node[members] < node[f]))]
                 if len(m):
-                    m, score = judge(columns, f, m)
-                    if most is not None and len(m):
-                        m = _best(m, score, comp[m], most)
+                    m, _ = judge(columns, f, m)
+                    if connect and len(m):
+                        m = joined.first(f, m)
                     one = int(node[f])
                     pairs |= {(min(one, o), max(one, o)) for o in node[m].tolist()}
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
@@ -69,12 +81,12 @@ def _across(payload: tuple[str, ...], judge: Callable, most: int | None):
     return across
 
 
-def cross_component_pairs(active: DataFrame, components: DataFrame, node: str, payload: tuple[str, ...], judge: Callable, extra: DataFrame | None = None, most: int | None = None) -> DataFrame:
+def cross_component_pairs(active: DataFrame, components: DataFrame, node: str, payload: tuple[str, ...], judge: Callable, extra: DataFrame | None = None, connect: bool = False) -> DataFrame:
     """Distinct pairs (a, b) of nodes that share a key, lie in different components and pass ``judge``.
 
     ``judge(columns, f, members)`` returns the members that may be linked to row f, and scores.
-    ``most`` keeps only so many best partners of a node in each other component and block: a
-    first round of few pairs that joins most components, before a round of all that are left.
+    With ``connect``, a task leaves out pairs whose components its other pairs have joined already: the
+    same components follow, from no more pairs than rows, whatever the number of components of a key.
 
     ``active``: (key, node, ...); ``extra``: a table of further payload by node.
     """
@@ -85,4 +97,4 @@ def cross_component_pairs(active: DataFrame, components: DataFrame, node: str, p
         split = split.join(extra.withColumnRenamed(node, "node"), "node")
     left = written(split.select("key", "node", "comp", "i", "j", "odd", "probe", *payload))
     groups = max(512, left.count() // 8192)
-    return left.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups))).applyInArrow(_across(payload, judge, most), "a long, b long").distinct()
+    return left.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups))).applyInArrow(_across(payload, judge, connect), "a long, b long").distinct()

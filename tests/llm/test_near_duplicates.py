@@ -96,3 +96,30 @@ def test_links_of_very_small_sets_are_exact(spark):
     for i in range(0, n, 2):
         a, b = sets[i], sets[i + 1]
         assert (out[i + 1] == i) == (100 * len(a & b) >= 80 * len(a | b)) and out[i] == i
+
+
+def test_pairs_that_connect_are_no_more_than_the_rows():
+    import pyarrow as pa
+
+    from corvane.llm.pairing import _across
+
+    rng, n = random.Random(7), 120
+    rows = [(key, node, node // 3 if node < 30 else node) for key in range(4) for node in range(n) if rng.random() < 0.8]
+    table = pa.table({"key": [r[0] for r in rows] * 2, "node": [r[1] for r in rows] * 2, "comp": [r[2] for r in rows] * 2, "i": [0] * (2 * len(rows)), "j": [0] * (2 * len(rows)), "odd": [True] * (2 * len(rows)), "probe": [False] * len(rows) + [True] * len(rows)})
+
+    def judge(columns, f, members):
+        node = columns["node"]
+        return members[(node[members] + node[f]) % 5 < 3], None
+
+    def parts(pairs):
+        part = {node: comp for _, node, comp in rows}
+        for a, b in pairs:
+            x, y = part[a], part[b]
+            part = {k: (x if v == y else v) for k, v in part.items()}
+        groups = {}
+        for k, v in part.items():
+            groups.setdefault(v, set()).add(k)
+        return sorted(map(sorted, groups.values()))
+
+    every, few = (list(zip(*_across(("node",), judge, connect)(table).to_pydict().values(), strict=True)) for connect in (False, True))
+    assert parts(few) == parts(every) and len(few) < n < len(every) / 10
