@@ -1,19 +1,24 @@
 """Where a query's words stand in a chunk: cover density and headlines.
 
 Both take words as equal when their stems are, German with weight A or English with weight B, and both
-look at the words of one (query, chunk) pair at a time, which a chunk's length bounds.
+look at the words of a chunk at a time, for all queries at once.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stems import ENGLISH_STOP, GERMAN_STOP, with_stems
 from ..functions.text import collapse, words_without
-from .lexical import MARK, UNMARK
+from ..sources.shared import written
+from .lexical import MARK, SMALL_CHARS, SMALL_ROWS, TOKEN, UNMARK, small_side
 from .postings import WEIGHT_A, WEIGHT_B, lexemes
 
 #: Between the fragments of a headline.
@@ -63,16 +68,136 @@ def cover_score(positions, items, weights) -> float:
     return total
 
 
+def cover_scores(group: np.ndarray, position: np.ndarray, item: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first row, number of items, cover_score) of each group of the rows, which are sorted by group and position.
+
+    A cover that ends at a row begins at the first row whose item does not come again up to there, and that is
+    where the running maximum of the items' next rows exceeds the row.
+    """
+    n = len(group)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    new = np.append(True, group[1:] != group[:-1])
+    first, of = np.flatnonzero(new), np.cumsum(new) - 1
+    end = np.append(first[1:], n)
+    order = np.lexsort((item, of))  # stable: by place inside an item
+    same = (of[order][1:] == of[order][:-1]) & (item[order][1:] == item[order][:-1])
+    later = end[of]
+    later[order[:-1][same]] = order[1:][same]
+    earliest = np.ones(n, bool)
+    earliest[order[1:][same]] = False
+    seen = np.cumsum(earliest)
+    items = np.add.reduceat(earliest.astype(np.int64), first)
+    whole = seen - (seen[first] - 1)[of] == items[of]
+    begins = new | np.append(True, position[1:] != position[:-1])
+    place = np.cumsum(begins) - 1  # places are numbered over all groups
+    inverse = np.concatenate(([0.0], np.cumsum(1.0 / np.maximum.reduceat(weight, np.flatnonzero(begins)))))
+    right = np.flatnonzero(whole & np.append(begins[1:], True))  # the last row of a place
+    left = np.searchsorted(np.maximum.accumulate(later), right, side="right")
+    a, b = place[left], place[right]
+    shorter = np.append(True, a[1:] != a[:-1])
+    a, b, left, right = a[shorter], b[shorter], left[shorter], right[shorter]
+    matched = b - a + 1
+    part = matched / (inverse[b + 1] - inverse[a]) / (1 + (position[right] - position[left] + 1) - matched)
+    return first, items, np.bincount(of[right], weights=part, minlength=len(first))
+
+
+#: Rows (query, place in a chunk) that a task scores at a time.
+AT_ONCE = 1 << 20
+
+
+def _asked_words(asked: DataFrame, chunks: DataFrame) -> pd.DataFrame | None:
+    """(word, query_id, item, w): the words of the chunks that match items of queries, if a count of them allows it."""
+    words = with_stems(chunks.select(F.explode(words_without("text", ())).alias("word")).distinct())
+    both = F.array(
+        F.struct(F.when(~F.col("word").isin(*GERMAN_STOP), F.col("german")).alias("term"), F.lit("A").alias("weight")),
+        F.struct(F.when(~F.col("word").isin(*ENGLISH_STOP), F.col("english")).alias("term"), F.lit("B").alias("weight")),
+    )
+    weight = F.when(F.col("weight") == "A", F.lit(WEIGHT_A)).otherwise(F.lit(WEIGHT_B))
+    met = words.select("word", F.inline(both)).join(asked, ["term", "weight"]).groupBy("word", "query_id", "item").agg(F.max(weight).alias("w"))
+    met = written(met)
+    n, chars = met.agg(F.count("*"), F.coalesce(F.sum(F.length("word") + F.length("item")), F.lit(0))).first()
+    return met.toPandas() if n <= SMALL_ROWS and chars <= SMALL_CHARS else None
+
+
+def _covered(met: pd.DataFrame):
+    """Chunks (chunk_id, text in lower case) to (query_id, chunk_id, n_items, covers) of all queries with a word in them."""
+    queries, query = np.unique(met["query_id"].to_numpy(np.int64), return_inverse=True)
+    words, word = np.unique(met["word"].to_numpy(str), return_inverse=True)
+    _, item = np.unique(met["item"].to_numpy(str), return_inverse=True)
+    order = np.argsort(word, kind="stable")
+    query, item, weight = query[order], item[order], met["w"].to_numpy(float)[order]
+    start = np.searchsorted(word[order], np.arange(len(words) + 1))
+    known = pa.array(words.tolist(), pa.string())
+
+    def score(row, position, number):
+        count = start[number + 1] - start[number]
+        places = np.repeat(start[number] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        # tokens stand in order, so a stable sort by pair leaves places in order
+        pair = np.repeat(row, count) * len(queries) + query[places]
+        by = np.argsort(pair, kind="stable")
+        pair = pair[by]
+        first, items, covers = cover_scores(pair, np.repeat(position, count)[by], item[places][by], weight[places][by])
+        row, q = np.divmod(pair[first], len(queries))
+        return row, queries[q], items, covers
+
+    def covered(batches):
+        for batch in batches:
+            if not len(queries) or not batch.num_rows:
+                continue
+            found = [TOKEN.findall(t) if t else [] for t in batch.column("text").to_pylist()]
+            size = np.array([len(x) for x in found])
+            number = pc.fill_null(pc.index_in(pa.array(list(chain.from_iterable(found)), pa.string()), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(found)), size)
+            position = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            hit = np.flatnonzero(number >= 0)
+            row, position, number = row[hit], position[hit], number[hit]
+            # whole chunks in portions of bounded rows
+            grown = np.cumsum(start[number + 1] - start[number])
+            part = np.zeros(len(found), np.int64)
+            np.maximum.at(part, row, grown // AT_ONCE)
+            part = np.maximum.accumulate(part)[row]
+            for cut in np.split(np.arange(len(row)), np.flatnonzero(np.diff(part)) + 1):
+                r, q, items, covers = score(row[cut], position[cut], number[cut])
+                yield pa.RecordBatch.from_arrays([pa.array(q), batch.column("chunk_id").take(pa.array(r)), pa.array(items), pa.array(covers)], names=["query_id", "chunk_id", "n_items", "covers"])
+
+    return covered
+
+
 def cover_density(queries: DataFrame, chunks: DataFrame, need: str = "present") -> DataFrame:
     """(query_id, chunk_id, n_items, score) of chunks with a word of the query.
 
     ``need="all"``: covers of all words of the query, other chunks score 0.  ``need="present"``: covers of
     the words that the chunk has, times their share of the query's.
+
+    Chunks are scored in the tasks that cut them, for all queries at once: nothing is shuffled but the distinct
+    words and the chunks' ids.  Rows that repeat an id are one chunk, and too many words of queries for the
+    tasks are joined instead.
     """
     if need not in ("all", "present"):
         raise ValueError(need)
     asked = query_items(queries)
     sizes = asked.groupBy("query_id").agg(F.countDistinct("item").alias("n_asked"))
+    met = _asked_words(asked, chunks) if dict(queries.dtypes)["query_id"] in ("bigint", "int") and queries.filter("query_id IS NULL").isEmpty() else None
+    if met is None:
+        scored = _joined_covers(asked, chunks)
+    else:
+        repeated = written(chunks.groupBy("chunk_id").count().filter("count > 1").select("chunk_id"))
+        again = None
+        if not repeated.isEmpty():
+            same = F.col("c.chunk_id").eqNullSafe(F.col("r.chunk_id"))
+            again = _joined_covers(asked, chunks.alias("c").join(repeated.alias("r"), same, "left_semi"))
+            chunks = chunks.alias("c").join(repeated.alias("r"), same, "left_anti")
+        kind = dict(chunks.dtypes)["chunk_id"]
+        scored = chunks.select("chunk_id", F.lower("text").alias("text")).mapInArrow(_covered(met), f"query_id long, chunk_id {kind}, n_items long, covers double")
+        scored = scored if again is None else scored.unionByName(again)
+    scored = scored.join(small_side(sizes, F.lit("")), "query_id")
+    score = F.when(F.col("n_items") == F.col("n_asked"), F.col("covers")).otherwise(F.lit(0.0)) if need == "all" else F.col("covers") * F.col("n_items") / F.col("n_asked")
+    return scored.select("query_id", "chunk_id", F.col("n_items").cast("long").alias("n_items"), score.alias("score"))
+
+
+def _joined_covers(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, n_items, covers) by a join of the words, whose places meet in a row for each pair."""
     weight = F.when(F.col("weight") == "A", F.lit(WEIGHT_A)).otherwise(F.lit(WEIGHT_B))
     hits = lexemes(chunks, "chunk_id").join(asked, ["term", "weight"]).groupBy("query_id", "chunk_id", "position", "item").agg(F.max(weight).alias("w"))
     rows = hits.groupBy("query_id", "chunk_id").agg(F.sort_array(F.collect_list(F.struct("position", "item", "w"))).alias("hits"), F.countDistinct("item").alias("n_items"))
@@ -81,9 +206,7 @@ def cover_density(queries: DataFrame, chunks: DataFrame, need: str = "present")
     def swept(hits: pd.Series) -> pd.Series:
         return pd.Series([cover_score([h["position"] for h in x], [h["item"] for h in x], [h["w"] for h in x]) for x in hits])
 
-    scored = rows.join(sizes, "query_id").withColumn("covers", swept("hits"))
-    score = F.when(F.col("n_items") == F.col("n_asked"), F.col("covers")).otherwise(F.lit(0.0)) if need == "all" else F.col("covers") * F.col("n_items") / F.col("n_asked")
-    return scored.select("query_id", "chunk_id", F.col("n_items").cast("long").alias("n_items"), score.alias("score"))
+    return rows.select("query_id", "chunk_id", "n_items", swept("hits").alias("covers"))
 
 
 def fragments(matches, n: int, least: int, most: int, count: int = 2) -> list[tuple[int, int]]:

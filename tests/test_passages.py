@@ -78,3 +78,33 @@ def test_headlines(spark):
     got = {r.chunk_id: r.headline for r in H.headlines(hits, queries).collect()}
     assert got[1] == "⟦Verträge⟧ sind alt mitte mitte mitte … ⟦Vertrag⟧ endet ende ende ende ende"
     assert got[2] == ("nothing to see " * 40)[:240] and got[3] == "Many ⟦houses,⟧ and one ⟦house's⟧ roof"[0:] and got[4] == "" and got[5] == "⟦Vertrag⟧"
+
+
+def test_cover_scores_of_many_groups_at_once():
+    import numpy as np
+
+    rng, rows = random.Random(4), []
+    for group in range(400):
+        hits = sorted({(rng.randrange(14), rng.randrange(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 12))})
+        rows += [(group * 3, p, i, rng.choice((1.0, 0.4))) for p, i in hits]
+    group, position, item, weight = (np.array(c) for c in zip(*rows, strict=True))
+    first, items, scores = H.cover_scores(group, position, item, weight)
+    want = [[r[1:] for r in rows if r[0] == g] for g in sorted(set(group.tolist()))]
+    assert items.tolist() == [len({i for _, i, _ in x}) for x in want] and group[first].tolist() == sorted(set(group.tolist()))
+    assert scores.tolist() == [H.cover_score(*zip(*x, strict=True)) for x in want]
+
+
+def test_covers_in_the_tasks_equal_those_of_the_join(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["Vertrag", "Verträge", "Häuser", "houses", "house", "the", "die", "running", "runs", "x"]
+    rows = [(i if i < 60 else i % 7, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30)))) for i in range(70)] + [(None, "house"), (None, "x house"), (99, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").repartition(3)
+    q = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 6)))) for i in range(20)], "query_id long, query string")
+    monkeypatch.setattr(H, "AT_ONCE", 50)
+    got = H.cover_density(q, chunks)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
+    rows_of = lambda df: sorted(map(str, df.collect()))
+    found = rows_of(got)
+    monkeypatch.setattr(H, "_asked_words", lambda *a: None)
+    assert found and found == rows_of(H.cover_density(q, chunks))
