@@ -7,6 +7,9 @@ expression without look-around, so the twins can say the same in SQL.
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +58,31 @@ def with_stems(df: DataFrame, word: str = "word") -> DataFrame:
     df = df.withColumn("_two", F.when(one.rlike("eed$"), agreed).when((cut != one) & cut.rlike(HAS_VOWEL), mended).otherwise(one))
     df = df.withColumn("english", F.regexp_replace("_two", f"({HAS_VOWEL}.*)y$".replace("(^", "^("), "$1i"))
     return df.drop("_one", "_cut", "_two")
+
+
+_ENDINGS, _EED = re.compile(GERMAN_ENDINGS), re.compile(f"({SOME_MEASURE}.*)eed$".replace("(^", "^("))
+_VOWEL, _SHORT, _Y = re.compile(HAS_VOWEL), re.compile(SHORT_STEM), re.compile(f"({HAS_VOWEL}.*)y$".replace("(^", "^("))
+_UMLAUTS = str.maketrans({"ä": "a", "ö": "o", "ü": "u", "ß": "ss"})
+
+
+@lru_cache(maxsize=1 << 17)
+def stems(word: str) -> tuple[str, str]:
+    """The German and the English stem of one lower-case word as with_stems() gives them, for tasks that hold whole texts."""
+    t = re.sub("^ge(.{4,})$", r"\1", word.translate(_UMLAUTS))
+    for group, mark in GERMAN_GROUPS:
+        t = t.replace(group, mark)
+    t = re.sub(r"(.)\*", r"\1\1", _ENDINGS.sub(r"\1\2", re.sub(r"(.)\1", r"\1*", t)))
+    for group, mark in GERMAN_GROUPS:
+        t = t.replace(mark, group)
+    one = word if len(word) <= 2 else re.sub("([^s])s$", r"\1", re.sub("ies$", "i", re.sub("sses$", "ss", word)))
+    cut, two = re.sub("(?:ed|ing)$", "", one), one
+    if one.endswith("eed"):
+        two = _EED.sub(r"\1ee", one)
+    elif cut != one and _VOWEL.search(cut):
+        if re.search("(?:at|bl|iz)$", cut):
+            two = cut + "e"
+        elif cut[-1] == cut[-2:-1] and re.search("..[^aeiouylsz]$", cut):
+            two = cut[:-1]
+        else:
+            two = cut + "e" if _SHORT.search(cut) else cut
+    return t, _Y.sub(r"\1i", two)

@@ -7,11 +7,15 @@ finds "house" whatever the language of query and chunk.
 The index is three tables in the shared folder:
 
 - ``words``: (slot, term, df, shards, most), one row a term, bucketed and sorted by the term's hash;
-- ``blocks``: up to BLOCK postings of one term a row, strongest first, with the block's greatest gain,
-  bucketed and sorted by the hash of (term, shard).  A term of more than SHARD chunks is dealt over
-  several shards, so no bucket or task holds a frequent term whole;
+- ``blocks``: up to BLOCK postings of one term a row, the strongest in the first block, with the block's
+  greatest gain, bucketed and sorted by the hash of (term, shard).  A term of more than SHARD chunks is dealt
+  over several shards, so no bucket or task holds a frequent term whole;
 - ``stats``: one row of counts and settings.
 
+Counts are kept as whole numbers (fifths, since the weights are 1 and 0.4), from which gains are computed
+when a block is opened.  The words of a chunk are stemmed and counted in the task that cuts them, once for the
+statistics and once for the lists: the only shuffle of postings is that of lists, one a term and batch.
+
 A search looks its terms up in ``words``, then reads the buckets, and inside them the row groups, of
 its terms' shards: both filters are literals, so Spark prunes buckets while planning.  More terms
 than LITERALS are joined on the bucketed hash instead, without a shuffle of the index.  The first
@@ -26,19 +30,26 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stems import ENGLISH_STOP, GERMAN_STOP, with_stems
+from ..functions.stems import ENGLISH_STOP, GERMAN_STOP, stems, with_stems
 from ..functions.text import words_without
 from ..sources.shared import new_folder, written
-from .lexical import B, K1, SMALL_CHARS, SMALL_ROWS, narrow, per_document_cap, top_per_group
+from .lexical import B, K1, SMALL_CHARS, SMALL_ROWS, TOKEN, narrow, per_document_cap, top_per_group
 
 #: Weights of a match under the German and the English configuration.
 WEIGHT_A, WEIGHT_B = 1.0, 0.4
 #: Postings in a block, chunks of a term in a shard, and terms up to which filters are literals.
 BLOCK, SHARD, LITERALS = 128, 1 << 20, 20_000
+#: The weights in fifths, and postings of a bucket.
+UNIT, UNITS_A, UNITS_B = 5, 5, 2
+BUCKET = 1 << 22
 
 
 def lexemes(texts: DataFrame, *ids: str, text: str = "text") -> DataFrame:
@@ -66,6 +77,117 @@ def weighted_postings(chunks: DataFrame) -> DataFrame:
     return counted.withColumn("len", F.sum("tf").over(Window.partitionBy("doc_id", "chunk_id")))
 
 
+def _counted(batch):
+    """Row, term number and units of each term of each text of a batch, by row, and the terms."""
+    found = [TOKEN.findall(t) if t else [] for t in batch.column("text").to_pylist()]
+    row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    tokens = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
+    number: dict[str, int] = {}
+    of = np.full((2, len(tokens.dictionary)), -1, np.int64)
+    for j, word in enumerate(tokens.dictionary.to_pylist()):
+        for side, (stem, stop) in enumerate(zip(stems(word), (GERMAN_STOP, ENGLISH_STOP), strict=True)):
+            if stem and word not in stop:
+                of[side, j] = number.setdefault(stem, len(number))
+    at = tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    term, units = of[:, at].ravel(), np.repeat([UNITS_A, UNITS_B], len(at))
+    real = term >= 0
+    several = max(len(number), 1)
+    cell, by = np.unique(np.tile(row, 2)[real] * several + term[real], return_inverse=True)
+    row, term = np.divmod(cell, several)
+    return row, term, np.bincount(by, weights=units[real], minlength=len(cell)).astype(np.int64), list(number)
+
+
+_MEASURED = pa.schema([("doc_id", pa.int64()), ("chunk_id", pa.int64()), ("units", pa.int64()), ("term", pa.string()), ("df", pa.int64())])
+
+
+def _measure(batches):
+    """A row (doc_id, chunk_id, units) for each chunk and (term, df) for each term of a batch."""
+    for batch in batches:
+        row, term, units, words = _counted(batch)
+        n, none = batch.num_rows, pa.nulls
+        size = np.bincount(row, weights=units, minlength=n).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("chunk_id"), pa.array(size), none(n, pa.string()), none(n, pa.int64())], schema=_MEASURED)
+        m = len(words)
+        yield pa.RecordBatch.from_arrays([none(m, pa.int64())] * 3 + [pa.array(words, pa.string()), pa.array(np.bincount(term, minlength=m))], schema=_MEASURED)
+
+
+_LISTS = "term string, shard int, doc_ids array<long>, chunk_ids array<long>, tf array<int>, len array<int>"
+
+
+def _lists(shards: dict[str, int]):
+    """The postings of a batch of chunks, a row for each term and shard."""
+
+    def lists(batches):
+        for batch in batches:
+            row, term, units, words = _counted(batch)
+            if not len(row):
+                continue
+            size = np.bincount(row, weights=units, minlength=batch.num_rows).astype(np.int64)
+            many = np.array([shards.get(w, 1) for w in words], np.int64)
+            chunk, doc = batch.column("chunk_id"), batch.column("doc_id")
+            mixed = (pc.fill_null(chunk, 0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            shard = mixed[row].astype(np.int64) % many[term]
+            order = np.lexsort((row, shard, term))
+            row, term, units, shard = row[order], term[order], units[order], shard[order]
+            first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (shard[1:] != shard[:-1])))
+            cuts = pa.array(np.append(first, len(row)).astype(np.int32))
+            listed = (pa.ListArray.from_arrays(cuts, x) for x in (doc.take(pa.array(row)), chunk.take(pa.array(row)), pa.array(units.astype(np.int32)), pa.array(size[row].astype(np.int32))))
+            yield pa.RecordBatch.from_arrays([pa.array([words[t] for t in term[first]], pa.string()), pa.array(shard[first].astype(np.int32)), *listed], names=["term", "shard", "doc_ids", "chunk_ids", "tf", "len"])
+
+    return lists
+
+
+_POSTING = pa.struct([("doc_id", pa.int64()), ("chunk_id", pa.int64()), ("tf", pa.int32()), ("len", pa.int32())])
+
+
+def _blocks(average: float, k1: float, b: float, block: int):
+    """Lists sorted by slot, term and shard to blocks; besides the batch, no more than one shard of a term is held."""
+    keys, lists = ["slot", "term", "shard"], ["doc_ids", "chunk_ids", "tf", "len"]
+
+    def cut(rows: pa.Table):
+        """All blocks of rows with whole keys."""
+        rows = rows.combine_chunks()
+        slot, term, shard = (rows[c].combine_chunks() for c in keys)
+        _, name = np.unique(term.dictionary_encode().indices.to_numpy(), return_inverse=True)
+        new = np.append(True, (np.diff(slot.to_numpy()) != 0) | (np.diff(name) != 0) | (np.diff(shard.to_numpy()) != 0))
+        size = rows["tf"].combine_chunks().value_lengths().to_numpy()
+        key = np.repeat(np.cumsum(new) - 1, size)
+        doc, chunk, tf, length = (rows[c].combine_chunks().flatten() for c in lists)
+        worth = gain(tf.to_numpy() / UNIT, length.to_numpy() / UNIT, average, k1, b)
+        ids = pc.fill_null(chunk, np.iinfo(np.int64).min).to_numpy()
+        by = np.lexsort((ids, -worth, key))
+        key = key[by]
+        number = (np.arange(len(key)) - np.searchsorted(key, key)) // block
+        # inside a block by id
+        again = np.lexsort((ids[by], number, key))
+        by, key, number = by[again], key[again], number[again]
+        at = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(number) != 0)))
+        cuts, whole = np.append(at, len(key)), pa.array(np.flatnonzero(new)[key[at]])
+        postings = pa.StructArray.from_arrays([x.take(pa.array(by)) for x in (doc, chunk, tf, length)], fields=list(_POSTING))
+        return pa.RecordBatch.from_arrays([*(x.take(whole) for x in (slot, term, shard)), pa.array(number[at].astype(np.int32)), pa.array(np.diff(cuts).astype(np.int32)), pa.array(np.maximum.reduceat(worth[by], at)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), postings)], names=[*keys, "block", "n", "most", "postings"])
+
+    def blocks(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            if held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in keys):
+                yield cut(pa.Table.from_batches(held))
+                held = []
+            last = n - 1
+            while last and all(batch.column(c)[last - 1] == batch.column(c)[n - 1] for c in keys):
+                last -= 1
+            if last:
+                yield cut(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield cut(pa.Table.from_batches(held))
+
+    return blocks
+
+
 def gain(tf, length, average, k1: float = K1, b: float = B) -> Column:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
 
@@ -103,45 +225,61 @@ class Store:
     n: int
     average: float
     buckets: int
+    k1: float
+    b: float
     name: str
 
     def table(self, kind: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{kind}")
 
+    def postings(self, blocks: DataFrame, *columns: str) -> DataFrame:
+        """(columns..., doc_id, chunk_id, tf, gain) of the postings in ``blocks``."""
+        tf, length = F.col("tf") / UNIT, F.col("len") / UNIT
+        rows = blocks.select(*columns, F.inline("postings"))
+        return rows.select(*columns, "doc_id", "chunk_id", tf.alias("tf"), gain(tf, length, F.lit(self.average), self.k1, self.b).alias("gain"))
+
 
 _COLUMNS = {
     "words": "slot bigint, term string, df bigint, shards int, most double",
-    "blocks": "slot bigint, term string, shard int, block int, n int, most double, postings array<struct<doc_id: bigint, chunk_id: bigint, gain: double, tf: double>>",
+    "blocks": "slot bigint, term string, shard int, block int, n int, most double, postings array<struct<doc_id: bigint, chunk_id: bigint, tf: int, len: int>>",
 }
 
 
-def build_store(chunks: DataFrame, path: str | None = None, buckets: int = 16, k1: float = K1, b: float = B, shard: int = SHARD, block: int = BLOCK) -> Store:
+def build_store(chunks: DataFrame, path: str | None = None, buckets: int | None = None, k1: float = K1, b: float = B, shard: int = SHARD, block: int = BLOCK) -> Store:
     """Writes the index of all chunks (doc_id, chunk_id, text) and opens it.
 
-    ``buckets`` should grow with the corpus: a bucket of a few hundred MB is a good size.
+    Without ``buckets`` their number follows from that of the postings.
     """
     spark = chunks.sparkSession
     path = path or new_folder(spark, "postings")
-    found = written(weighted_postings(chunks))
-    n, average = found.dropDuplicates(["chunk_id"]).agg(F.count("*"), F.avg("len")).first()
-    average = average or 1.0
-    scored = found.withColumn("gain", gain(F.col("tf"), F.col("len"), F.lit(average), k1, b))
-    counts = written(scored.groupBy("term").agg(F.count("*").alias("df"), F.max("gain").alias("most")).withColumn("shards", F.ceil(F.col("df") / shard).cast("int")))
+    texts = chunks.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_id").cast("long").alias("chunk_id"), F.lower("text").alias("text"))
+    ids = ["doc_id", "chunk_id"]
+    measured = written(texts.mapInArrow(_measure, "doc_id long, chunk_id long, units long, term string, df long"))
+    sizes = measured.filter("term IS NULL").select(*ids, "units")
+    repeated = written(sizes.groupBy(*ids).agg(F.count("*").alias("rows"), F.sum("units").alias("units")).filter("rows > 1").select(*ids, "units"))
+    if not repeated.isEmpty():
+        # rows that repeat an id are one chunk
+        texts = texts.groupBy(*ids).agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+        measured = written(texts.mapInArrow(_measure, "doc_id long, chunk_id long, units long, term string, df long"))
+        sizes = measured.filter("term IS NULL").select(*ids, "units")
+    n, average = sizes.filter("units > 0").dropDuplicates(["chunk_id"]).agg(F.count("*"), F.avg("units")).first()
+    average = average / UNIT if average else 1.0
+    counts = written(measured.filter("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df")).withColumn("shards", F.ceil(F.col("df") / shard).cast("int")))
+    buckets = buckets or max(16, -(-(counts.agg(F.sum("df")).first()[0] or 0) // BUCKET))
     # terms of more than one shard: at most as many as the postings fill shards
-    frequent = counts.filter("shards > 1").select("term", F.col("shards").alias("_shards"))
-    dealt = scored.join(frequent, "term", "left").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("chunk_id"), F.col("_shards")), F.lit(0)).cast("int"))
-    dealt = dealt.withColumn("slot", slot_of("term", "shard")).repartition(buckets, "slot")
-    place = F.row_number().over(Window.partitionBy("slot", "term", "shard").orderBy(F.desc("gain"), "chunk_id"))
-    blocked = dealt.withColumn("block", F.floor((place - 1) / block).cast("int"))
-    posting = F.struct("gain", "chunk_id", "doc_id", "tf")
-    listed = F.transform(F.sort_array(F.collect_list(posting), asc=False), lambda p: F.struct(p.doc_id.alias("doc_id"), p.chunk_id.alias("chunk_id"), p.gain.alias("gain"), p.tf.alias("tf")))
-    blocks = blocked.groupBy("slot", "term", "shard", "block").agg(F.count("*").cast("int").alias("n"), F.max("gain").alias("most"), listed.alias("postings"))
-    words = counts.withColumn("slot", F.xxhash64("term")).select("slot", "term", "df", "shards", "most").repartition(buckets, "slot")
+    frequent = {r.term: r.shards for r in counts.filter("shards > 1").collect()}
+    dealt = texts.mapInArrow(_lists(frequent), _LISTS).withColumn("slot", slot_of("term", "shard")).repartition(buckets, "slot").sortWithinPartitions("slot", "term", "shard")
+    blocks = dealt.mapInArrow(_blocks(float(average), k1, b, block), _COLUMNS["blocks"])
     name = f"postings_{uuid.uuid4().hex}"
-    for kind, df in (("words", words), ("blocks", blocks)):
-        df.write.bucketBy(buckets, "slot").sortBy("slot").option("path", f"{path}/{kind}").format("parquet").saveAsTable(f"{name}_{kind}")
+
+    def store(kind: str, df: DataFrame) -> None:
+        df.write.bucketBy(buckets, "slot").sortBy("slot").option("path", f"{path}/{kind}").option("compression", "zstd").format("parquet").saveAsTable(f"{name}_{kind}")
+
+    store("blocks", blocks)
+    most = spark.table(f"{name}_blocks").groupBy("term").agg(F.max("most").alias("most"))
+    store("words", counts.join(most, "term").withColumn("slot", F.xxhash64("term")).select("slot", "term", "df", "shards", "most").repartition(buckets, "slot"))
     spark.createDataFrame([(n, float(average), buckets, k1, b)], "n long, average double, buckets int, k1 double, b double").write.parquet(f"{path}/stats")
-    return Store(spark, path, n, float(average), buckets, name)
+    return Store(spark, path, n, float(average), buckets, k1, b, name)
 
 
 def open_store(spark: SparkSession, path: str) -> Store:
@@ -150,7 +288,7 @@ def open_store(spark: SparkSession, path: str) -> Store:
     name = f"postings_{uuid.uuid4().hex}"
     for kind, columns in _COLUMNS.items():
         spark.sql(f"CREATE TABLE {name}_{kind} ({columns}) USING parquet CLUSTERED BY (slot) SORTED BY (slot) INTO {stats.buckets} BUCKETS LOCATION '{path}/{kind}'")
-    return Store(spark, path, stats.n, stats.average, stats.buckets, name)
+    return Store(spark, path, stats.n, stats.average, stats.buckets, stats.k1, stats.b, name)
 
 
 def _small(df: DataFrame) -> tuple[int, int]:
@@ -194,7 +332,7 @@ def _search(queries: DataFrame, store: Store, docs: DataFrame, k: int, cap: int
     everything = known.groupBy("query_id").agg(F.sum("bound").alias("all_bounds"))
 
     def scores(some: DataFrame) -> DataFrame:
-        rows = some.select("query_id", "idf", F.inline("postings"))
+        rows = store.postings(some, "query_id", "idf")
         return rows.groupBy("query_id", "doc_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("gain")).alias("score"))
 
     by_query = blocks.join(known, "term")

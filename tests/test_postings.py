@@ -103,3 +103,33 @@ def test_empty_library(spark):
     docs = spark.createDataFrame([(1, "ready")], "doc_id long, status string")
     assert P.search_stored(asked(spark, "haus"), store, docs).count() == 0
     assert P.search_stored(spark.createDataFrame([], "query_id long, query string"), store, docs).count() == 0
+
+
+def test_stems_of_the_tasks_equal_those_of_the_columns(spark):
+    from corvane.functions.stems import stems
+
+    rng = random.Random(11)
+    parts = ["ge", "sch", "ei", "ie", "ss", "ed", "eed", "ing", "ies", "sses", "at", "bl", "iz", "y", "em", "er", "nd", "t", "e", "s", "n", "ä", "ß", "oo", "ll", "b", "r", "a", "7", "77"]
+    words = sorted({"".join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(6000)})
+    got = {r.word: (r.german, r.english) for r in with_stems(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert {w: stems(w) for w in words} == got
+
+
+def test_postings_are_shuffled_as_lists(spark, library, monkeypatch):
+    chunks, _ = library
+    lists, sent = P._lists, []
+
+    def counting(shards):
+        run = lists(shards)
+        sent.append(chunks.select("doc_id", "chunk_id", F.lower("text").alias("text")).mapInArrow(run, P._LISTS).count())
+        return run
+
+    monkeypatch.setattr(P, "_lists", counting)
+    # rows that repeat an id are one chunk, as in the scan
+    for some in (chunks, chunks.unionByName(chunks.filter("chunk_id < 9").withColumn("text", F.lit("Gemeinsam wort7 Häuser")))):
+        want = sorted((r.term, r.doc_id, r.chunk_id, round(r.tf, 6), round(r.len, 6)) for r in P.weighted_postings(some).collect())
+        store = P.build_store(some, buckets=3, shard=30, block=8)
+        rows = store.table("blocks").select("term", F.inline("postings")).collect()
+        assert sorted((r.term, r.doc_id, r.chunk_id, r.tf / 5, r.len / 5) for r in rows) == want
+    # far fewer rows than postings before: one a posting
+    assert sent[0] < len(want) / 4
