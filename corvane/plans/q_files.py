@@ -14,12 +14,12 @@ def _corpus(spark, d) -> str:
     root = scratch(spark)
     name = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 100).cast("string"))
     lines = docs(spark, d).select(name.alias("part"), "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    lines.repartition("part").sortWithinPartitions("part", "doc_id", "place").select("part", "line").write.partitionBy("part").text(root)
+    A.write_text_files(lines, root, "part", ["doc_id", "place"], "line")
     return root
 
 
 def _part(path: str = "source_path"):
-    return F.regexp_extract(path, "part=([^/]+)/", 1)
+    return F.regexp_extract(path, "part=([^/]+?)(?:/[^/]*|[.]txt)$", 1)
 
 
 LINES = "SELECT source || '-' || (doc_id // 100) AS part, doc_id, i AS place, parts[i + 1] AS line FROM (SELECT source, doc_id, parts, unnest(range(0, len(parts))) AS i FROM (SELECT source, doc_id, string_split(text, chr(10)) AS parts FROM docs))"

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +78,61 @@ def read_text_corpus(spark: SparkSession, root: str) -> DataFrame:
     return text_files(_files(spark, root), root)
 
 
+#: Folders over which write_text_files() deals its files, so that none holds them all and few have to be listed.
+FOLDERS = 256
+
+
+def _write_files(root: str, name: str, line: str):
+    """Runs of rows of one name to a file each, which appears under its name when it is whole."""
+
+    def place(value: str) -> tuple[str, str]:
+        folder, _, part = value.partition("/")
+        folder = f"{root}/{folder}"
+        os.makedirs(folder, exist_ok=True)
+        return f"{folder}/.{uuid.uuid4().hex}", f"{folder}/part={part}.txt"
+
+    def write(batches):
+        now, out, at, files = None, None, None, 0
+        for batch in batches:
+            lines = batch.column(line).to_pylist()
+            runs = pa.compute.run_end_encode(batch.column(name))
+            start = 0
+            for value, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if value != now:
+                    if out:
+                        out.close()
+                        os.replace(*at)
+                    now, at, files = value, place(value), files + 1
+                    out = open(at[0], "wb")
+                out.write(("\n".join(lines[start:end]) + "\n").encode())
+                start = end
+        if out:
+            out.close()
+            os.replace(*at)
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    return write
+
+
+def write_text_files(lines: DataFrame, root: str, part: str, order: list[str], line: str) -> None:
+    """The lines of each ``part``, by ``order``, as one text file below ``root``, with ``part=<name>`` in its path.
+
+    Spark's writer makes a folder a file, and on a file system without native Hadoop a process a file
+    (to set its permissions), so tasks write the files of a ``file:`` root themselves: to a hidden name first,
+    so that a repeated task replaces what it left.  Other roots are written by Spark.
+    """
+    spark = lines.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    plain = F.col(part).rlike("^[^/\\x00-\\x1F%\"#'*:=?\\\\{\\[\\]^]{1,60}$")
+    if urlparse(whole).scheme != "file" or lines.filter(~F.coalesce(plain, F.lit(False))).limit(1).count():
+        lines.repartition(part).sortWithinPartitions(part, *order).select(part, line).write.partitionBy(part).text(root)
+        return
+    folder = F.concat(F.lpad(F.pmod(F.hash(part), F.lit(FOLDERS)).cast("string"), 3, "0"), F.lit("/"), part)
+    rows = lines.repartition(part).sortWithinPartitions(part, *order).select(folder.alias("name"), F.col(line).alias("line"))
+    rows.mapInArrow(_write_files(unquote(urlparse(whole).path), "name", "line"), "files long").agg(F.sum("files")).first()
+
+
 def read_jsonl_questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(questions (chunkId, question), count of malformed or wrongly typed lines)."""
     rows = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
