@@ -22,8 +22,10 @@ than LITERALS are joined on the bucketed hash instead, without a shuffle of the
 block of every list gives each query a score that its k-th hit reaches at least; blocks which, with
 the best of the query's other terms, stay below that are dropped before their postings are unpacked.
 That loses nothing: a chunk in a dropped block can't be among the k.  It saves most where a query's
-terms are all frequent; beside a rare term, which any block may meet, few blocks fall.  A stopword of
-one language is a word of the other.
+terms are all frequent; beside a rare term, which any block may meet, few blocks fall.  The postings that
+remain are dealt out by document, once for all queries, with the ids of the documents that may be found;
+a task sums the scores of its documents and gives their k best hits of each query, so no row a pair of query and
+chunk is shuffled.  A stopword of one language is a word of the other.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,6 +53,8 @@ BLOCK, SHARD, LITERALS = 128, 1 << 20, 20_000
 #: The weights in fifths, and postings of a bucket.
 UNIT, UNITS_A, UNITS_B = 5, 5, 2
 BUCKET = 1 << 22
+#: Cells (chunk, query) that a task scores at a time, and what rounded scores may differ by.
+CELLS, NEAR = 1 << 20, 3e-9
 
 
 def lexemes(texts: DataFrame, *ids: str, text: str = "text") -> DataFrame:
@@ -336,9 +341,183 @@ def _search(queries: DataFrame, store: Store, docs: DataFrame, k: int, cap: int
         return rows.groupBy("query_id", "doc_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("gain")).alias("score"))
 
     by_query = blocks.join(known, "term")
+    # the first blocks: no more of them than lists that queries ask for
     first = _top(scores(by_query.filter("block = 0")), docs, k, cap, allowed)
     floor = written(first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).filter(F.col("n") == k).select("query_id", "floor"))
     best = F.col("all_bounds") - F.col("bound") + F.col("idf") * F.col("most")
     # sums in another order may differ in the last digits
     kept = by_query.join(total(everything), "query_id").join(total(floor), "query_id", "left").filter(F.col("floor").isNull() | (best >= F.col("floor") - 1e-9))
-    return _top(scores(kept), docs, k, cap, allowed), by_query, kept
+    whole_ids = dict(known.dtypes)["query_id"] in ("bigint", "int")
+    if allowed is not None or not (n <= SMALL_ROWS and chars <= SMALL_CHARS and whole_ids):
+        return _top(scores(kept), docs, k, cap, allowed), by_query, kept
+    asked = known.filter("query_id IS NOT NULL").join(everything, "query_id").join(floor, "query_id", "left").select("query_id", "term", "idf", "bound", "all_bounds", "floor").toPandas()
+    # what a term's best posting in a block must be worth to any of its queries
+    asked["need"] = (asked["floor"].fillna(-np.inf) - asked["all_bounds"] + asked["bound"] - 1e-9) / asked["idf"]
+    needs = asked.groupby("term", sort=True, as_index=False)["need"].min()
+    some = blocks.join(F.broadcast(store.spark.createDataFrame(needs, "term string, need double")), "term").filter("most >= need")
+    ready = docs.filter("status = 'ready' AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
+    parts = max(int(store.spark.conf.get("spark.sql.shuffle.partitions")), store.buckets)
+    dealt = some.select("term", "postings").mapInArrow(_dealt(needs["term"].tolist(), parts), _DEALT).unionByName(ready.mapInArrow(_ready(parts), _DEALT))
+    found = dealt.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_best(asked, store, k, cap), "query_id long, doc_id long, chunk_id long, score double")
+    found = per_document_cap(found, cap) if cap is not None else found
+    return top_per_group(found, ["query_id"], [F.desc(F.round("score", 9)), "chunk_id"], k).select("query_id", "rank", "chunk_id", "doc_id", "score"), by_query, kept
+
+
+_DEALT = "part int, kind int, doc_ids array<long>, chunk_ids array<long>, terms array<int>, tf array<int>, len array<int>"
+#: Stands for a null chunk id, which comes before all others too.
+NO_CHUNK = np.iinfo(np.int64).min
+
+
+def _part_of(doc: np.ndarray, parts: int) -> np.ndarray:
+    return (((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+
+
+def _by_part(part, doc, chunk, *values):
+    """A row for each part: its ids, sorted, as steps from one to the next, and the values."""
+    order = np.lexsort((chunk, doc, part))
+    part, doc, chunk = part[order], doc[order], chunk[order]
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    cuts = pa.array(np.append(first, len(part)).astype(np.int32))
+    lists = []
+    for x in (doc, chunk):
+        steps = np.diff(x, prepend=np.int64(0))
+        steps[first] = x[first]
+        lists.append(pa.ListArray.from_arrays(cuts, pa.array(steps)))
+    return pa.array(part[first]), lists + [pa.ListArray.from_arrays(cuts, pa.array(v[order].astype(np.int32))) for v in values]
+
+
+_DEALT_NAMES = ["part", "kind", "doc_ids", "chunk_ids", "terms", "tf", "len"]
+
+
+def _dealt(terms: list[str], parts: int):
+    """Postings of blocks (term, postings) to a row for each part of the documents and batch; terms are numbered."""
+    known = pa.array(terms, pa.string())
+
+    def deal(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("postings")
+            number = pc.index_in(batch.column("term"), value_set=known).to_numpy(zero_copy_only=False)
+            term = np.repeat(number, lists.value_lengths().to_numpy(zero_copy_only=False))
+            doc, chunk, tf, length = lists.flatten().flatten()
+            real = np.flatnonzero(doc.is_valid().to_numpy(zero_copy_only=False))
+            doc, chunk = pc.fill_null(doc, 0).to_numpy()[real], pc.fill_null(chunk, NO_CHUNK).to_numpy()[real]
+            part, columns = _by_part(_part_of(doc, parts), doc, chunk, term[real], tf.to_numpy()[real], length.to_numpy()[real])
+            yield pa.RecordBatch.from_arrays([part, pa.array(np.ones(len(part), np.int32)), *columns], names=_DEALT_NAMES)
+
+    return deal
+
+
+def _ready(parts: int):
+    """The documents that may be found, a row for each part and batch; they come before the postings."""
+
+    def ready(batches):
+        for batch in batches:
+            doc = np.unique(batch.column("doc_id").to_numpy())
+            none = np.zeros(len(doc), np.int64)
+            part, columns = _by_part(_part_of(doc, parts), doc, none, none, none, none)
+            yield pa.RecordBatch.from_arrays([part, pa.array(np.zeros(len(part), np.int32)), columns[0], *([pa.nulls(len(part), pa.list_(pa.int64()))] + [pa.nulls(len(part), pa.list_(pa.int32()))] * 3)], names=_DEALT_NAMES)
+
+    return ready
+
+
+def _places(score: np.ndarray, *group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows by group and falling score, and the first and the last place of the group of each of them."""
+    order = np.lexsort((-score, *group))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([g[order][1:] != g[order][:-1] for g in group], axis=0)
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(order)))
+    return order, np.repeat(first, size), np.repeat(first + size - 1, size)
+
+
+def _best(asked: pd.DataFrame, store: Store, k: int, cap: int | None):
+    """Rows of _dealt() and _ready(), sorted by part, to the best hits (query_id, doc_id, chunk_id, score) of each part's documents.
+
+    Whole documents are in a part, so what a document's other chunks or better hits of the part displace
+    is no hit at all.  One part is held at a time, and scored in portions of bounded cells.
+    """
+    queries, query = np.unique(asked["query_id"].to_numpy(np.int64), return_inverse=True)
+    terms, term = np.unique(asked["term"].to_numpy(str), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    query, idf = query[order], asked["idf"].to_numpy(float)[order]
+    start = np.searchsorted(term[order], np.arange(len(terms) + 1))
+    average, k1, b = store.average, store.k1, store.b
+    step = max(1, CELLS // max(1, len(queries)))
+
+    def cut(rows):
+        """Of (query, doc, chunk, score) those that may be among the hits, and each query's k-th score, 0 without.
+
+        What another rounding may put in the place of a hit of its document stays, but doesn't count.
+        """
+        q, doc, _, score = rows
+        counted = may = np.ones(len(q), bool)
+        if cap is not None:
+            order, first, last = _places(score, doc, q)
+            counted, may = np.zeros((2, len(q)), bool)
+            counted[order] = np.arange(len(q)) - first < cap
+            may[order] = score[order] >= score[order[np.minimum(first + cap - 1, last)]] - NEAR
+        at = np.flatnonzero(counted)
+        order, first, _ = _places(score[at], q[at])
+        least = np.zeros(len(queries))
+        kth = at[order[np.arange(len(order)) - first == k - 1]]
+        least[q[kth]] = score[kth]
+        may = np.flatnonzero(may & (score >= least[q] - NEAR))
+        return tuple(x[may] for x in rows), least
+
+    def best(may, doc, chunk, number, tf, length):
+        real = np.isin(doc, may)
+        doc, chunk, number, tf, length = (x[real] for x in (doc, chunk, number, tf, length))
+        order = np.lexsort((chunk, doc))
+        doc, chunk, number, tf, length = (x[order] for x in (doc, chunk, number, tf, length))
+        if not len(doc):
+            return None
+        new = np.append(True, (doc[1:] != doc[:-1]) | (chunk[1:] != chunk[:-1]))
+        row, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        worth = gain(tf / UNIT, length / UNIT, average, k1, b)
+        held, floor = None, np.zeros(len(queries))
+        for low in range(0, len(first), step):
+            own = slice(first[low], first[low + step] if low + step < len(first) else len(doc))
+            count = start[number[own] + 1] - start[number[own]]
+            at = np.repeat(start[number[own]] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            cell = np.repeat((row[own] - low) * len(queries), count) + query[at]
+            score = np.bincount(cell, weights=np.repeat(worth[own], count) * idf[at], minlength=0)
+            some = np.flatnonzero(np.bincount(cell, minlength=0))
+            q = some % len(queries)
+            fine = score[some] >= floor[q]
+            some, q = some[fine], q[fine]
+            place = first[low + some // len(queries)]
+            found = (q, doc[place], chunk[place], score[some])
+            held, least = cut(found if held is None else tuple(np.concatenate(x) for x in zip(held, found, strict=True)))
+            floor = least - NEAR
+        q, doc, chunk, score = held
+        return pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(doc), pa.array(chunk, mask=chunk == NO_CHUNK), pa.array(score)], names=["query_id", "doc_id", "chunk_id", "score"])
+
+    def whole(rows):
+        """The hits of a part's rows."""
+        steps = lambda x: np.cumsum(x.values.to_numpy())
+        may = [steps(r["doc_ids"]) for r in rows if not r["kind"].as_py()]
+        lists = [r for r in rows if r["kind"].as_py()]
+        if not may or not lists:
+            return None
+        plain = (np.concatenate([r[c].values.to_numpy() for r in lists]) for c in ("terms", "tf", "len"))
+        return best(np.concatenate(may), *(np.concatenate([steps(r[c]) for r in lists]) for c in ("doc_ids", "chunk_ids")), *plain)
+
+    def run(batches):
+        held, part = [], None
+        for batch in batches:
+            for j in range(batch.num_rows):
+                row = {c: batch.column(c)[j] for c in _DEALT_NAMES}
+                if held and row["part"].as_py() != part:
+                    found = whole(held)
+                    held = []
+                    if found is not None:
+                        yield found
+                part = row["part"].as_py()
+                held.append(row)
+        found = whole(held) if held else None
+        if found is not None:
+            yield found
+
+    return run
