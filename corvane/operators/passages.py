@@ -11,11 +11,10 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stems import ENGLISH_STOP, GERMAN_STOP, with_stems
+from ..functions.stems import ENGLISH_STOP, GERMAN_STOP, stems, with_stems
 from ..functions.text import collapse, words_without
 from ..sources.shared import written
 from .lexical import MARK, SMALL_CHARS, SMALL_ROWS, TOKEN, UNMARK, small_side
@@ -106,48 +105,64 @@ def cover_scores(group: np.ndarray, position: np.ndarray, item: np.ndarray, weig
 AT_ONCE = 1 << 20
 
 
-def _asked_words(asked: DataFrame, chunks: DataFrame) -> pd.DataFrame | None:
-    """(word, query_id, item, w): the words of the chunks that match items of queries, if a count of them allows it."""
-    words = with_stems(chunks.select(F.explode(words_without("text", ())).alias("word")).distinct())
-    both = F.array(
-        F.struct(F.when(~F.col("word").isin(*GERMAN_STOP), F.col("german")).alias("term"), F.lit("A").alias("weight")),
-        F.struct(F.when(~F.col("word").isin(*ENGLISH_STOP), F.col("english")).alias("term"), F.lit("B").alias("weight")),
-    )
-    weight = F.when(F.col("weight") == "A", F.lit(WEIGHT_A)).otherwise(F.lit(WEIGHT_B))
-    met = words.select("word", F.inline(both)).join(asked, ["term", "weight"]).groupBy("word", "query_id", "item").agg(F.max(weight).alias("w"))
-    met = written(met)
-    n, chars = met.agg(F.count("*"), F.coalesce(F.sum(F.length("word") + F.length("item")), F.lit(0))).first()
-    return met.toPandas() if n <= SMALL_ROWS and chars <= SMALL_CHARS else None
-
-
-def _covered(met: pd.DataFrame):
-    """Chunks (chunk_id, text in lower case) to (query_id, chunk_id, n_items, covers) of all queries with a word in them."""
-    queries, query = np.unique(met["query_id"].to_numpy(np.int64), return_inverse=True)
-    words, word = np.unique(met["word"].to_numpy(str), return_inverse=True)
-    _, item = np.unique(met["item"].to_numpy(str), return_inverse=True)
-    order = np.argsort(word, kind="stable")
-    query, item, weight = query[order], item[order], met["w"].to_numpy(float)[order]
-    start = np.searchsorted(word[order], np.arange(len(words) + 1))
-    known = pa.array(words.tolist(), pa.string())
-
-    def score(row, position, number):
+def _asked_words(asked: DataFrame) -> pd.DataFrame | None:
+    """The rows (query_id, item, term, weight) of a user's queries if a count of rows and characters allows it."""
+    n, chars = asked.agg(F.count("*"), F.coalesce(F.sum(F.length("term") + F.length("item")), F.lit(0))).first()
+    return asked.toPandas() if n <= SMALL_ROWS and chars <= SMALL_CHARS else None
+
+
+def _covered(asked: pd.DataFrame):
+    """Chunks (chunk_id, text in lower case) to (query_id, chunk_id, n_items, covers) of all queries with a word in them.
+
+    Words are stemmed in the task, so what it holds depends on the queries only: the words that match the
+    same terms share their places in the queries.
+    """
+    queries, query_of = np.unique(asked["query_id"].to_numpy(np.int64), return_inverse=True)
+    _, item_of = np.unique(asked["item"].to_numpy(str), return_inverse=True)
+    terms: dict[tuple[str, str], list[tuple[int, int]]] = {}
+    for key, q, i in zip(zip(asked["term"], asked["weight"], strict=True), query_of.tolist(), item_of.tolist(), strict=True):
+        terms.setdefault(key, []).append((q, i))
+    numbers: dict[tuple, int] = {}
+    places: list[np.ndarray] = []
+
+    def number_of(word: str) -> int:
+        """Of the places (query, item, weight) that a word matches, -1 without any."""
+        sides = ((stem, weight) for stem, weight, stop in zip(stems(word), "AB", (GERMAN_STOP, ENGLISH_STOP), strict=True) if word not in stop)
+        met = tuple(side for side in sides if side in terms)
+        if met and met not in numbers:
+            best: dict[tuple[int, int], float] = {}
+            for side in reversed(met):  # the greater weight comes last
+                best.update(dict.fromkeys(terms[side], WEIGHT_A if side[1] == "A" else WEIGHT_B))
+            numbers[met] = len(places)
+            places.append(np.array([(*at, w) for at, w in best.items()]))
+        return numbers[met] if met else -1
+
+    def score(row, position, number, start, query, item, weight):
         count = start[number + 1] - start[number]
-        places = np.repeat(start[number] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        at = np.repeat(start[number] - np.cumsum(count) + count, count) + np.arange(count.sum())
         # tokens stand in order, so a stable sort by pair leaves places in order
-        pair = np.repeat(row, count) * len(queries) + query[places]
+        pair = np.repeat(row, count) * len(queries) + query[at]
         by = np.argsort(pair, kind="stable")
         pair = pair[by]
-        first, items, covers = cover_scores(pair, np.repeat(position, count)[by], item[places][by], weight[places][by])
+        first, items, covers = cover_scores(pair, np.repeat(position, count)[by], item[at][by], weight[at][by])
         row, q = np.divmod(pair[first], len(queries))
         return row, queries[q], items, covers
 
     def covered(batches):
+        known = 0
+        start, flat = np.zeros(1, np.int64), np.zeros((0, 3))
         for batch in batches:
             if not len(queries) or not batch.num_rows:
                 continue
             found = [TOKEN.findall(t) if t else [] for t in batch.column("text").to_pylist()]
             size = np.array([len(x) for x in found])
-            number = pc.fill_null(pc.index_in(pa.array(list(chain.from_iterable(found)), pa.string()), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            tokens = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
+            of = np.array([number_of(w) for w in tokens.dictionary.to_pylist()], np.int64)
+            number = of[tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+            if known < len(places):
+                known = len(places)
+                start, flat = np.concatenate(([0], np.cumsum([len(x) for x in places]))), np.concatenate(places)
+            query, item, weight = flat[:, 0].astype(np.int64), flat[:, 1].astype(np.int64), flat[:, 2]
             row = np.repeat(np.arange(len(found)), size)
             position = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
             hit = np.flatnonzero(number >= 0)
@@ -158,7 +173,7 @@ def _covered(met: pd.DataFrame):
             np.maximum.at(part, row, grown // AT_ONCE)
             part = np.maximum.accumulate(part)[row]
             for cut in np.split(np.arange(len(row)), np.flatnonzero(np.diff(part)) + 1):
-                r, q, items, covers = score(row[cut], position[cut], number[cut])
+                r, q, items, covers = score(row[cut], position[cut], number[cut], start, query, item, weight)
                 yield pa.RecordBatch.from_arrays([pa.array(q), batch.column("chunk_id").take(pa.array(r)), pa.array(items), pa.array(covers)], names=["query_id", "chunk_id", "n_items", "covers"])
 
     return covered
@@ -170,15 +185,14 @@ def cover_density(queries: DataFrame, chunks: DataFrame, need: str = "present")
     ``need="all"``: covers of all words of the query, other chunks score 0.  ``need="present"``: covers of
     the words that the chunk has, times their share of the query's.
 
-    Chunks are scored in the tasks that cut them, for all queries at once: nothing is shuffled but the distinct
-    words and the chunks' ids.  Rows that repeat an id are one chunk, and too many words of queries for the
+    Chunks are scored in the tasks that cut them, for all queries at once: nothing is shuffled but the chunks' ids.  Rows that repeat an id are one chunk, and too many words of queries for the
     tasks are joined instead.
     """
     if need not in ("all", "present"):
         raise ValueError(need)
     asked = query_items(queries)
     sizes = asked.groupBy("query_id").agg(F.countDistinct("item").alias("n_asked"))
-    met = _asked_words(asked, chunks) if dict(queries.dtypes)["query_id"] in ("bigint", "int") and queries.filter("query_id IS NULL").isEmpty() else None
+    met = _asked_words(asked) if dict(queries.dtypes)["query_id"] in ("bigint", "int") and queries.filter("query_id IS NULL").isEmpty() else None
     if met is None:
         scored = _joined_covers(asked, chunks)
     else:
